@@ -111,7 +111,7 @@ def audit(rules: DataFrame, paths: DataFrame, exempt_names: Sequence[str] = (),
         F.bool_and(F.col("sim") > 0).alias("all_matched")))
     w_agg = w_typed.groupBy(*KEYS).agg(
         F.collect_set("var").alias("w_names"),
-        F.collect_set(F.when(F.col("sort") != "R", F.col("sval"))).alias("svals"),
+        F.collect_set(F.when(F.col("sval") != "", F.col("sval"))).alias("svals"),
         F.bool_or(F.col("sort").isin("V", "E")).alias("w_var_var"))
     lit_flags = rlits.groupBy(*KEYS).agg(
         F.bool_or(F.col("lit_error").isNotNull()).alias("lit_err"),
