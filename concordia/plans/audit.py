@@ -87,125 +87,221 @@ def _flag(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
+class AuditPlan:
+    """The audit as named stages; each stage is built (and checkpointed) on first use,
+    so a query that needs only an early stage never runs the later ones."""
+
+    def __init__(self, rules: DataFrame, paths: DataFrame, exempt_names: Sequence[str] = (),
+                 checkpoint: bool = True):
+        self.rules, self.paths, self.exempt_names, self.checkpoint = rules, paths, tuple(exempt_names), checkpoint
+        self._cache: dict[str, object] = {}
+
+    def _get(self, name, build):
+        if name not in self._cache:
+            self._cache[name] = build()
+        return self._cache[name]
+
+    # ---- A / B -------------------------------------------------------------------------------
+    @property
+    def path_stage(self) -> tuple[DataFrame, DataFrame]:
+        return self._get("paths", lambda: prepare_paths(self.paths, self.checkpoint))
+
+    @property
+    def info(self) -> DataFrame:
+        return self.path_stage[0]
+
+    @property
+    def plits(self) -> DataFrame:
+        return self.path_stage[1]
+
+    @property
+    def rule_stage(self) -> tuple[DataFrame, DataFrame]:
+        return self._get("rules", lambda: prepare_rules(self.rules, self.checkpoint))
+
+    @property
+    def state(self) -> DataFrame:
+        return self.rule_stage[0]
+
+    @property
+    def rlits(self) -> DataFrame:
+        return self.rule_stage[1]
+
+    # ---- C: similarity matching of crisp literals ---------------------------------------------
+    @property
+    def matches(self) -> DataFrame:
+        def build():
+            crisp_keys = self.state.where(F.col("screen") == "crisp").select(*KEYS)
+            c_lits = self.rlits.join(crisp_keys, KEYS, "left_semi")
+            return L.best_match(c_lits.select(*KEYS, "slot", "var", "op", "sval", "nval"),
+                                self.plits.select("unit", "path_no", "pos", "var", "op", "sval", "nval"),
+                                self.exempt_names)
+        return self._get("matches", build)
+
+    @property
+    def rewritten(self) -> DataFrame:
+        return self._get("rewritten", lambda: L.rewrite_rule(self.matches))
+
+    @property
+    def w_typed(self) -> DataFrame:
+        return self._get("w_typed", lambda: R.typed_literals(
+            self.rewritten.where(F.col("w_var").isNotNull())
+            .select(*KEYS, "slot", F.col("w_var").alias("var"), F.col("w_op").alias("op"),
+                    F.col("w_sval").alias("sval"), F.col("w_nval").alias("nval"))))
+
+    @property
+    def st(self) -> DataFrame:
+        return self._get("st", self._build_state)
+
+    def _build_state(self) -> DataFrame:
+        info, state, rlits, matches, w_typed = self.info, self.state, self.rlits, self.matches, self.w_typed
+        sims = (matches.groupBy(*KEYS).agg(
+            F.sort_array(F.collect_list(F.struct("slot", "sim"))).alias("s"),
+            F.bool_and(F.col("sim") > 0).alias("all_matched")))
+        w_agg = w_typed.groupBy(*KEYS).agg(
+            F.collect_set("var").alias("w_names"),
+            F.collect_set(F.when(F.col("sval") != "", F.col("sval"))).alias("svals"),
+            F.bool_or(F.col("sort").isin("V", "E")).alias("w_var_var"))
+        lit_flags = rlits.groupBy(*KEYS).agg(
+            F.bool_or(F.col("lit_error").isNotNull()).alias("lit_err"),
+            F.bool_or(F.col("sort") == "E").alias("empty_val"),
+            F.bool_or(F.col("sort") == "V").alias("var_var"),
+            F.bool_or(R.symbols_expr(F.col("var"), F.col("sval"))).alias("symbols"),
+            F.collect_set("var").alias("l_names"))
+
+        st = (state.join(lit_flags, KEYS, "left").join(sims, KEYS, "left").join(w_agg, KEYS, "left")
+              .withColumn("similarity", F.when(F.col("all_matched") & F.col("rpn").isNotNull(),
+                                               L.fold_similarity(F.col("rpn"), F.transform("s", lambda x: x["sim"]))))
+              .withColumn("names", F.when(F.col("screen") == "crisp", F.col("w_names"))
+                          .otherwise(F.array_union(F.coalesce("l_names", _empty()), F.coalesce("right_names", _empty())))))
+
+        # ---- source gate: every checked name occurs in the unit's observed text ----------------------
+        name_rows = st.where(F.col("names").isNotNull()).select(*KEYS, F.explode("names").alias("name"))
+        found = (name_rows.join(info.select("unit", "line"), "unit")
+                 .groupBy(*KEYS, "name").agg(F.bool_or(F.col("line").contains(F.col("name"))).alias("found"))
+                 .groupBy(*KEYS).agg(F.bool_and("found").alias("in_source")))
+        self._cache["found"] = found
+        bad_units = info.where("path_error").select("unit").distinct().withColumn("unit_path_error", F.lit(True))
+        st = st.join(found, KEYS, "left").join(bad_units, "unit", "left")
+
+        multi = F.col("n_slots") > 1
+        crisp_reason = _first_reason(
+            (_flag("lit_err") & multi, "quarantine:numeric_left_equality"),
+            (F.col("dnf").isNull() & multi, "quarantine:skeleton"),
+            (_flag("empty_val") & multi, "quarantine:empty_value"),
+            (_flag("symbols"), "skip:symbols"),
+            (_flag("unit_path_error"), "quarantine:path_parse"),
+            (~_flag("all_matched") & (F.col("n_slots") > 0), "quarantine:no_match"),
+            (F.col("rpn").isNull(), "quarantine:similarity_fold"),
+            (L.similarity_gate(F.col("similarity")), "skip:similarity_gate"),
+            (~_flag("in_source"), "skip:names_absent"),
+            (_flag("w_var_var"), "undecided:var_var"),
+        )
+        fuzzy_reason = _first_reason(
+            (F.col("exist_flag").isNull(), "quarantine:fuzzy_word_left_only"),
+            (_flag("lit_err") & multi, "quarantine:numeric_left_equality"),
+            (F.col("dnf").isNull(), "quarantine:skeleton"),
+            (_flag("empty_val") & multi, "quarantine:empty_value"),
+            (~_flag("in_source"), "skip:names_absent"),
+            (_flag("var_var"), "undecided:var_var"),
+        )
+        st = st.withColumn("reason", F.when(F.col("screen") == "crisp", crisp_reason)
+                           .when(F.col("screen") == "fuzzy", fuzzy_reason)
+                           .otherwise(F.concat(F.lit("skip:"), F.col("screen"))))
+        if self.checkpoint:
+            st = materialize(st)
+        return st
+
+
+    # ---- D: decision ---------------------------------------------------------------------------
+    @property
+    def decision(self) -> dict[str, DataFrame]:
+        return self._get("decision", self._build_decision)
+
+    def _build_decision(self) -> dict[str, DataFrame]:
+        st, w_typed, rlits, plits, info = self.st, self.w_typed, self.rlits, self.plits, self.info
+        ready = st.where(F.col("reason").isNull())
+        checked = (w_typed.join(ready.where(F.col("screen") == "crisp").select(*KEYS), KEYS, "left_semi")
+                   .unionByName(rlits.join(ready.where(F.col("screen") == "fuzzy").select(*KEYS), KEYS, "left_semi")
+                                .select(*w_typed.columns)))
+        clauses = (ready.select(*KEYS, F.posexplode("dnf").alias("clause_id", "lits"))
+                   .select(*KEYS, F.col("clause_id").cast("int").alias("clause_id"), F.explode("lits").alias("signed"))
+                   .select(*KEYS, "clause_id", (F.abs("signed") - 1).alias("slot"), (F.col("signed") < 0).alias("negated")))
+        sat = decide.jointly_satisfiable(decide.clause_literals(checked, clauses), decide.path_scopes(plits))
+        sat_wide = sat.groupBy(*KEYS, "path_no").agg(
+            F.bool_or(F.col("scope") == "full").alias("sat_full"),
+            F.bool_or(F.col("scope") == "err").alias("sat_err"))
+
+        pairs = (ready.select(*KEYS, "screen", "names", F.coalesce("svals", _empty()).alias("svals"),
+                              F.coalesce("vars", _empty()).alias("vars"), "exist_flag")
+                 .join(info, "unit").join(sat_wide, KEYS + ["path_no"], "left")
+                 .fillna(False, subset=["sat_full", "sat_err"]))
+        covered = decide.covers(F.col("names"), F.col("pnames"))
+        err_cover = decide.covers(F.col("names"), F.col("err_names"))
+        values_in = F.forall("svals", lambda v: F.col("line").contains(v))
+        left = F.trim(F.expr("substring(line, 1, greatest(length(line) - length(substring_index(line, '->', -1)) - 2, 0))"))
+        right = F.trim(F.expr("substring(line, length(line) - length(substring_index(line, '->', -1)) - 1)"))
+        text_cover = F.forall("names", lambda n: F.col("line").contains(n))
+        is_err = F.col("kind") == "error"
+        crisp_result = (F.when(F.col("path_error"), F.lit(True))
+                        .when(~covered, F.lit(False))
+                        .when(is_err, F.when(err_cover & values_in, ~F.col("sat_full")))
+                        .otherwise(F.col("sat_full")))
+        crisp_hit = ~F.col("path_error") & covered & is_err & err_cover & values_in & F.col("sat_err")
+        fuzzy_result = (F.when(~text_cover, F.lit(None).cast("boolean"))
+                        .when(F.col("path_error"), F.lit(True))
+                        .when(~covered, F.lit(False))
+                        .otherwise(F.col("sat_full") & decide.existence_expr(F.col("vars"), F.col("exist_flag"), left, right)))
+        results = pairs.select(*KEYS, "path_no", "kind", F.col("screen").alias("mode"),
+                               F.when(F.col("screen") == "crisp", crisp_result).otherwise(fuzzy_result).alias("result"),
+                               F.when(F.col("screen") == "crisp", crisp_hit).otherwise(F.lit(False)).alias("hit"))
+        verdicts = decide.verdict(results)
+
+        checks = pairs.select(*KEYS, "path_no", covered.alias("covered"), err_cover.alias("err_cover"),
+                              values_in.alias("values_in"))
+        return {"sat": sat, "pairs": pairs, "checks": checks, "results": results, "verdicts": verdicts}
+
+    @property
+    def verdicts(self) -> DataFrame:
+        return self.decision["verdicts"]
+
+    @property
+    def found(self) -> DataFrame:
+        self.st
+        return self._cache["found"]
+
+    def findings(self) -> DataFrame:
+        """V7: every BAD rule with its text and an example path (the first path that
+        raised for BAD_ERROR, else the first path whose result is false)."""
+        rep = self.report().where(F.col("verdict").startswith("BAD"))
+        res = self.decision["results"]
+        example = (res.join(rep.select(*KEYS, "verdict"), KEYS)
+                   .where(F.when(F.col("verdict") == "BAD_ERROR", F.col("hit")).otherwise(F.col("result") == False))  # noqa: E712
+                   .groupBy(*KEYS).agg(F.min("path_no").alias("path_no")))
+        return (rep.select(*KEYS, F.col("verdict").alias("kind"))
+                .join(self.rules.select(*KEYS, "text"), KEYS)
+                .join(example, KEYS, "left")
+                .join(self.info.select("unit", "path_no", "line"), ["unit", "path_no"], "left")
+                .select(*KEYS, "kind", "text", "path_no", "line"))
+
+    def report(self) -> DataFrame:
+        """V6 output: one row per rule."""
+        st, verdicts = self.st, self.verdicts
+        out = st.join(verdicts.select(*KEYS, "verdict", "n_results", "n_true"), KEYS, "left")
+        status = (F.when(F.col("reason").startswith("skip:"), F.lit("SKIPPED"))
+                  .when(F.col("reason").startswith("quarantine:"), F.lit("QUARANTINED"))
+                  .when(F.col("reason").startswith("undecided:"), F.lit("UNDECIDED"))
+                  .otherwise(F.coalesce(F.col("verdict"), F.lit("CONSISTENT"))))
+        return out.select(*KEYS, "screen", status.alias("verdict"), "reason",
+                          F.when(F.col("screen") == "crisp", F.round(F.col("similarity") * 100).cast("int"))
+                          .alias("similarity"),
+                          F.coalesce("n_results", F.lit(0)).alias("n_results"),
+                          F.coalesce("n_true", F.lit(0)).alias("n_true"))
+
+
 def audit(rules: DataFrame, paths: DataFrame, exempt_names: Sequence[str] = (),
           checkpoint: bool = True) -> DataFrame:
     """One row per rule: unit, rule_id, screen, verdict, reason, similarity (hundredths),
     n_results, n_true.
 
     verdict: BAD | BAD_ERROR | BAD_FUZZY | CONSISTENT | SKIPPED | QUARANTINED | UNDECIDED."""
-    info, plits = prepare_paths(paths, checkpoint)
-    state, rlits = prepare_rules(rules, checkpoint)
-    crisp_keys = state.where(F.col("screen") == "crisp").select(*KEYS)
-
-    # ---- C: similarity matching of crisp literals --------------------------------------------
-    c_lits = rlits.join(crisp_keys, KEYS, "left_semi")
-    matches = L.best_match(c_lits.select(*KEYS, "slot", "var", "op", "sval", "nval"),
-                           plits.select("unit", "path_no", "pos", "var", "op", "sval", "nval"), exempt_names)
-    rewritten = L.rewrite_rule(matches)
-    w_typed = R.typed_literals(
-        rewritten.where(F.col("w_var").isNotNull())
-        .select(*KEYS, "slot", F.col("w_var").alias("var"), F.col("w_op").alias("op"),
-                F.col("w_sval").alias("sval"), F.col("w_nval").alias("nval")))
-    sims = (matches.groupBy(*KEYS).agg(
-        F.sort_array(F.collect_list(F.struct("slot", "sim"))).alias("s"),
-        F.bool_and(F.col("sim") > 0).alias("all_matched")))
-    w_agg = w_typed.groupBy(*KEYS).agg(
-        F.collect_set("var").alias("w_names"),
-        F.collect_set(F.when(F.col("sval") != "", F.col("sval"))).alias("svals"),
-        F.bool_or(F.col("sort").isin("V", "E")).alias("w_var_var"))
-    lit_flags = rlits.groupBy(*KEYS).agg(
-        F.bool_or(F.col("lit_error").isNotNull()).alias("lit_err"),
-        F.bool_or(F.col("sort") == "E").alias("empty_val"),
-        F.bool_or(F.col("sort") == "V").alias("var_var"),
-        F.bool_or(R.symbols_expr(F.col("var"), F.col("sval"))).alias("symbols"),
-        F.collect_set("var").alias("l_names"))
-
-    st = (state.join(lit_flags, KEYS, "left").join(sims, KEYS, "left").join(w_agg, KEYS, "left")
-          .withColumn("similarity", F.when(F.col("all_matched") & F.col("rpn").isNotNull(),
-                                           L.fold_similarity(F.col("rpn"), F.transform("s", lambda x: x["sim"]))))
-          .withColumn("names", F.when(F.col("screen") == "crisp", F.col("w_names"))
-                      .otherwise(F.array_union(F.coalesce("l_names", _empty()), F.coalesce("right_names", _empty())))))
-
-    # ---- source gate: every checked name occurs in the unit's observed text ----------------------
-    name_rows = st.where(F.col("names").isNotNull()).select(*KEYS, F.explode("names").alias("name"))
-    found = (name_rows.join(info.select("unit", "line"), "unit")
-             .groupBy(*KEYS, "name").agg(F.bool_or(F.col("line").contains(F.col("name"))).alias("found"))
-             .groupBy(*KEYS).agg(F.bool_and("found").alias("in_source")))
-    bad_units = info.where("path_error").select("unit").distinct().withColumn("unit_path_error", F.lit(True))
-    st = st.join(found, KEYS, "left").join(bad_units, "unit", "left")
-
-    multi = F.col("n_slots") > 1
-    crisp_reason = _first_reason(
-        (_flag("lit_err") & multi, "quarantine:numeric_left_equality"),
-        (F.col("dnf").isNull() & multi, "quarantine:skeleton"),
-        (_flag("empty_val") & multi, "quarantine:empty_value"),
-        (_flag("symbols"), "skip:symbols"),
-        (_flag("unit_path_error"), "quarantine:path_parse"),
-        (~_flag("all_matched") & (F.col("n_slots") > 0), "quarantine:no_match"),
-        (F.col("rpn").isNull(), "quarantine:similarity_fold"),
-        (L.similarity_gate(F.col("similarity")), "skip:similarity_gate"),
-        (~_flag("in_source"), "skip:names_absent"),
-        (_flag("w_var_var"), "undecided:var_var"),
-    )
-    fuzzy_reason = _first_reason(
-        (F.col("exist_flag").isNull(), "quarantine:fuzzy_word_left_only"),
-        (_flag("lit_err") & multi, "quarantine:numeric_left_equality"),
-        (F.col("dnf").isNull(), "quarantine:skeleton"),
-        (_flag("empty_val") & multi, "quarantine:empty_value"),
-        (~_flag("in_source"), "skip:names_absent"),
-        (_flag("var_var"), "undecided:var_var"),
-    )
-    st = st.withColumn("reason", F.when(F.col("screen") == "crisp", crisp_reason)
-                       .when(F.col("screen") == "fuzzy", fuzzy_reason)
-                       .otherwise(F.concat(F.lit("skip:"), F.col("screen"))))
-    if checkpoint:
-        st = materialize(st)
-
-    # ---- D: decision over the rules still standing -------------------------------------------------
-    ready = st.where(F.col("reason").isNull())
-    checked = (w_typed.join(ready.where(F.col("screen") == "crisp").select(*KEYS), KEYS, "left_semi")
-               .unionByName(rlits.join(ready.where(F.col("screen") == "fuzzy").select(*KEYS), KEYS, "left_semi")
-                            .select(*w_typed.columns)))
-    clauses = (ready.select(*KEYS, F.posexplode("dnf").alias("clause_id", "lits"))
-               .select(*KEYS, F.col("clause_id").cast("int").alias("clause_id"), F.explode("lits").alias("signed"))
-               .select(*KEYS, "clause_id", (F.abs("signed") - 1).alias("slot"), (F.col("signed") < 0).alias("negated")))
-    sat = decide.jointly_satisfiable(decide.clause_literals(checked, clauses), decide.path_scopes(plits))
-    sat_wide = sat.groupBy(*KEYS, "path_no").agg(
-        F.bool_or(F.col("scope") == "full").alias("sat_full"),
-        F.bool_or(F.col("scope") == "err").alias("sat_err"))
-
-    pairs = (ready.select(*KEYS, "screen", "names", F.coalesce("svals", _empty()).alias("svals"),
-                          F.coalesce("vars", _empty()).alias("vars"), "exist_flag")
-             .join(info, "unit").join(sat_wide, KEYS + ["path_no"], "left")
-             .fillna(False, subset=["sat_full", "sat_err"]))
-    covered = decide.covers(F.col("names"), F.col("pnames"))
-    err_cover = decide.covers(F.col("names"), F.col("err_names"))
-    values_in = F.forall("svals", lambda v: F.col("line").contains(v))
-    left = F.trim(F.expr("substring(line, 1, greatest(length(line) - length(substring_index(line, '->', -1)) - 2, 0))"))
-    right = F.trim(F.expr("substring(line, length(line) - length(substring_index(line, '->', -1)) - 1)"))
-    text_cover = F.forall("names", lambda n: F.col("line").contains(n))
-    is_err = F.col("kind") == "error"
-    crisp_result = (F.when(F.col("path_error"), F.lit(True))
-                    .when(~covered, F.lit(False))
-                    .when(is_err, F.when(err_cover & values_in, ~F.col("sat_full")))
-                    .otherwise(F.col("sat_full")))
-    crisp_hit = ~F.col("path_error") & covered & is_err & err_cover & values_in & F.col("sat_err")
-    fuzzy_result = (F.when(~text_cover, F.lit(None).cast("boolean"))
-                    .when(F.col("path_error"), F.lit(True))
-                    .when(~covered, F.lit(False))
-                    .otherwise(F.col("sat_full") & decide.existence_expr(F.col("vars"), F.col("exist_flag"), left, right)))
-    results = pairs.select(*KEYS, F.col("screen").alias("mode"),
-                           F.when(F.col("screen") == "crisp", crisp_result).otherwise(fuzzy_result).alias("result"),
-                           F.when(F.col("screen") == "crisp", crisp_hit).otherwise(F.lit(False)).alias("hit"))
-    verdicts = decide.verdict(results)
-
-    out = st.join(verdicts.select(*KEYS, "verdict", "n_results", "n_true"), KEYS, "left")
-    status = (F.when(F.col("reason").startswith("skip:"), F.lit("SKIPPED"))
-              .when(F.col("reason").startswith("quarantine:"), F.lit("QUARANTINED"))
-              .when(F.col("reason").startswith("undecided:"), F.lit("UNDECIDED"))
-              .otherwise(F.coalesce(F.col("verdict"), F.lit("CONSISTENT"))))
-    return out.select(*KEYS, "screen", status.alias("verdict"), "reason",
-                      F.when(F.col("screen") == "crisp", F.round(F.col("similarity") * 100).cast("int"))
-                      .alias("similarity"),
-                      F.coalesce("n_results", F.lit(0)).alias("n_results"),
-                      F.coalesce("n_true", F.lit(0)).alias("n_true"))
+    return AuditPlan(rules, paths, exempt_names, checkpoint).report()

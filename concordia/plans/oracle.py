@@ -151,8 +151,12 @@ def opcos_values() -> str:
     return f"opcos(o1, o2, c) AS (VALUES {rows})"
 
 
-def audit_sql() -> str:
-    """Oracle of the full audit (flagship): one row per rule."""
+def audit_with(final: str) -> str:
+    """The audit's CTE chain followed by ``final`` (a SELECT over any of its CTEs)."""
+    return _audit_ctes() + "\n" + final
+
+
+def _audit_ctes() -> str:
     exist_re = "([A-Za-z0-9_]+)\\s*(?:=|!=)\\s*['\"](?:" + "|".join(vocab.FUZZY_EXISTENCE) + ")['\"]"
     nonexist_re = "([A-Za-z0-9_]+)\\s*(?:=|!=)\\s*['\"](?:" + "|".join(vocab.FUZZY_NONEXISTENCE) + ")['\"]"
     return f"""
@@ -206,7 +210,7 @@ pinfo AS (
 bad_units AS (SELECT DISTINCT unit FROM pinfo WHERE path_error),
 -- best match of crisp literals
 crl AS (SELECT l.* FROM rl l JOIN live v USING (unit, rule_id) WHERE v.screen = 'crisp'),
-cands AS (SELECT unit, var, op, sval, nval, min(path_no * 100000 + pos) AS first FROM pl GROUP BY ALL),
+cands AS (SELECT unit, var, op, sval, nval, min(CAST(path_no AS BIGINT) * 1048576 + pos) AS first FROM pl GROUP BY ALL),
 scored AS (
   SELECT r.unit, r.rule_id, r.slot, c.var AS m_var, c.op AS m_op, c.sval AS m_sval, c.nval AS m_nval, c.first,
     {pyround2_sql(f"(0.25::DOUBLE * {nlev_sql('r.var', 'c.var')} + 0.5::DOUBLE * o.c + 0.25::DOUBLE * {nlev_sql(q_val('r'), q_val('c'))})")} AS sim
@@ -353,7 +357,7 @@ res AS (
     coalesce(s.sat_full, false) AS sat_full, coalesce(s.sat_err, false) AS sat_err
   FROM ready r JOIN pinfo p USING (unit) LEFT JOIN sat s USING (unit, rule_id, path_no)),
 res2 AS (
-  SELECT unit, rule_id, screen,
+  SELECT unit, rule_id, screen, path_no, kind,
     CASE WHEN screen = 'crisp' THEN (CASE
         WHEN path_error THEN true WHEN NOT covered THEN false
         WHEN kind = 'error' THEN (CASE WHEN err_cover AND values_in THEN NOT sat_full END)
@@ -382,7 +386,15 @@ allst AS (
   SELECT unit, rule_id, screen, reason, similarity FROM st
   UNION ALL
   SELECT unit, rule_id, screen, 'skip:' || screen, NULL FROM scr WHERE screen NOT IN ('crisp', 'fuzzy'))
-SELECT a.unit, a.rule_id, a.screen,
+"""
+
+
+
+def q_val(alias: str) -> str:
+    return f"(CASE WHEN {alias}.sval <> '' THEN {alias}.sval ELSE {alias}.nval END)"
+
+
+AUDIT_FINAL = """SELECT a.unit, a.rule_id, a.screen,
   CASE WHEN starts_with(a.reason, 'skip:') THEN 'SKIPPED' WHEN starts_with(a.reason, 'quarantine:') THEN 'QUARANTINED'
        WHEN starts_with(a.reason, 'undecided:') THEN 'UNDECIDED' ELSE coalesce(v.verdict, 'CONSISTENT') END AS verdict,
   a.reason,
@@ -392,5 +404,6 @@ FROM allst a LEFT JOIN vd v USING (unit, rule_id)
 """
 
 
-def q_val(alias: str) -> str:
-    return f"(CASE WHEN {alias}.sval <> '' THEN {alias}.sval ELSE {alias}.nval END)"
+def audit_sql() -> str:
+    """Oracle of the full audit (flagship): one row per rule."""
+    return audit_with(AUDIT_FINAL)

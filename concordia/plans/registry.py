@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from concordia.plans import oracle
-from concordia.plans.audit import audit
-from concordia.sources.fixtures import fixture
+from concordia.operators import paths as P, rules as R, similarity as L
+from concordia.plans import oracle as O
+from concordia.plans.audit import KEYS, AuditPlan
+from concordia.sources.fixtures import duckdb_ctes, fixture
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -24,6 +26,162 @@ def register(name: str, sql: str | None):
     return deco
 
 
-@register("v6_audit_verdicts", oracle.audit_sql())
-def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit(fixture(spark, sf_dir, "fx_rules"), fixture(spark, sf_dir, "fx_paths"))
+def _plan(spark: SparkSession, sf_dir: str) -> AuditPlan:
+    return AuditPlan(fixture(spark, sf_dir, "fx_rules"), fixture(spark, sf_dir, "fx_paths"))
+
+
+# ---- flagship ------------------------------------------------------------------------------------
+@register("v6_audit_verdicts", O.audit_sql())
+def q_audit(spark, sf_dir):
+    return _plan(spark, sf_dir).report()
+
+
+# ---- rule tables (C) ---------------------------------------------------------------------------------
+_ALL_LITS = f"WITH {duckdb_ctes('fx_rules')}, {O.literals_ctes('al', 'fx_rules', ['unit', 'rule_id'], 'text', 'slot')}"
+
+
+@register("c7_screen_rules", O.audit_with("SELECT unit, rule_id, screen FROM scr"))
+def q_screen(spark, sf_dir):
+    return R.screen_rules(fixture(spark, sf_dir, "fx_rules")).select(*KEYS, "screen")
+
+
+@register("c1_rule_literals", _ALL_LITS + " SELECT * FROM al")
+def q_literals(spark, sf_dir):
+    return R.rule_literals(fixture(spark, sf_dir, "fx_rules"))
+
+
+@register("c3_typed_literals", _ALL_LITS + f" SELECT *, {O.typed_select()} FROM al")
+def q_typed(spark, sf_dir):
+    return R.typed_literals(R.rule_literals(fixture(spark, sf_dir, "fx_rules")))
+
+
+_CLAUSES_SQL = f"""WITH {duckdb_ctes('fx_rules')},
+k0 AS (SELECT unit, rule_id, {O.skeleton_select(O.norm_sql('text'))} FROM fx_rules),
+{O.dnf_ctes('k', 'k0', ['unit', 'rule_id'])},
+kc AS (SELECT unit, rule_id, CAST(ci - 1 AS INTEGER) AS clause_id, dnf[ci] AS lits
+       FROM (SELECT unit, rule_id, dnf, unnest(generate_series(1, len(dnf))) AS ci FROM k WHERE dnf IS NOT NULL))
+SELECT unit, rule_id, clause_id, CAST(pi - 1 AS INTEGER) AS pos, abs(lits[pi]) - 1 AS slot, lits[pi] < 0 AS negated
+FROM (SELECT *, unnest(generate_series(1, len(lits))) AS pi FROM kc)"""
+
+
+@register("c2_rule_clauses", _CLAUSES_SQL)
+def q_clauses(spark, sf_dir):
+    return R.rule_clauses(fixture(spark, sf_dir, "fx_rules"))
+
+
+@register("c5_path_parts", O.audit_with(
+    "SELECT i.unit, i.path_no, p.line, i.kind, i.error_params, i.conditions "
+    "FROM pinfo0 i JOIN pp p USING (unit, path_no)"))
+def q_path_parts(spark, sf_dir):
+    return P.path_parts(fixture(spark, sf_dir, "fx_paths"))
+
+
+@register("c5_path_literals", O.audit_with("SELECT * FROM pl"))
+def q_path_literals(spark, sf_dir):
+    return P.path_literals(P.path_parts(fixture(spark, sf_dir, "fx_paths")))
+
+
+@register("c8_fuzzy_vars", O.audit_with("SELECT unit, rule_id, vars, exist_flag FROM fz"))
+def q_fuzzy_vars(spark, sf_dir):
+    r = R.screen_rules(fixture(spark, sf_dir, "fx_rules")).where(F.col("screen") == "fuzzy")
+    return R.fuzzy_vars(r)
+
+
+@register("c9_names_in_source", O.audit_with("SELECT unit, rule_id, in_source FROM insrc"))
+def q_names_in_source(spark, sf_dir):
+    return _plan(spark, sf_dir).found
+
+
+# ---- similarity (L) ------------------------------------------------------------------------------------
+@register("l2_literal_similarity", O.audit_with(
+    "SELECT unit, rule_id, slot, CAST(first // 1048576 AS INTEGER) AS path_no, CAST(first % 1048576 AS INTEGER) AS pos, "
+    "CAST(round(sim * 100) AS INTEGER) AS sim100 FROM scored"))
+def q_literal_similarity(spark, sf_dir):
+    plan = _plan(spark, sf_dir)
+    crisp = plan.rlits.join(plan.state.where(F.col("screen") == "crisp").select(*KEYS), KEYS, "left_semi")
+    crisp = crisp.where(~R.is_number(F.col("nval")))
+    scored = L.score_candidates(crisp, L.unit_candidates(plan.plits))
+    return scored.select(*KEYS, "slot", F.expr(f"CAST(first div {L.POSITION_BASE} AS INT)").alias("path_no"),
+                         F.expr(f"CAST(first % {L.POSITION_BASE} AS INT)").alias("pos"),
+                         F.round(F.col("sim") * 100).cast("int").alias("sim100"))
+
+
+@register("l3_best_match", O.audit_with("""
+SELECT r.unit, r.rule_id, r.slot,
+  CAST(round(100 * CASE WHEN r.nval <> '' AND try_cast(r.nval AS DOUBLE) IS NOT NULL THEN 1.0 ELSE coalesce(b.sim, 0.0) END) AS INTEGER) AS sim100,
+  CASE WHEN r.nval <> '' AND try_cast(r.nval AS DOUBLE) IS NOT NULL THEN r.var ELSE b.m_var END AS m_var,
+  CASE WHEN r.nval <> '' AND try_cast(r.nval AS DOUBLE) IS NOT NULL THEN r.op ELSE b.m_op END AS m_op,
+  CASE WHEN r.nval <> '' AND try_cast(r.nval AS DOUBLE) IS NOT NULL THEN r.sval ELSE b.m_sval END AS m_sval,
+  CASE WHEN r.nval <> '' AND try_cast(r.nval AS DOUBLE) IS NOT NULL THEN r.nval ELSE b.m_nval END AS m_nval
+FROM crl r LEFT JOIN best b USING (unit, rule_id, slot)"""))
+def q_best_match(spark, sf_dir):
+    m = _plan(spark, sf_dir).matches
+    return m.select(*KEYS, "slot", F.round(F.col("sim") * 100).cast("int").alias("sim100"),
+                    "m_var", "m_op", "m_sval", "m_nval")
+
+
+@register("l5_rewrite_rule", O.audit_with(
+    "SELECT unit, rule_id, slot, CAST(round(sim * 100) AS INTEGER) AS sim100, var AS w_var, op AS w_op, "
+    "sval AS w_sval, nval AS w_nval FROM mt"))
+def q_rewrite(spark, sf_dir):
+    w = _plan(spark, sf_dir).rewritten
+    return w.select(*KEYS, "slot", F.round(F.col("sim") * 100).cast("int").alias("sim100"),
+                    "w_var", "w_op", "w_sval", "w_nval")
+
+
+@register("l4_rule_similarity", O.audit_with(
+    "SELECT unit, rule_id, CAST(round(similarity * 100) AS INTEGER) AS similarity, "
+    "coalesce(similarity > 0.85 AND similarity < 1, false) AS gated FROM st WHERE screen = 'crisp'"))
+def q_rule_similarity(spark, sf_dir):
+    st = _plan(spark, sf_dir).st.where(F.col("screen") == "crisp")
+    return st.select(*KEYS, F.round(F.col("similarity") * 100).cast("int").alias("similarity"),
+                     F.coalesce(L.similarity_gate(F.col("similarity")), F.lit(False)).alias("gated"))
+
+
+# ---- decision (V) --------------------------------------------------------------------------------------
+@register("v1_jointly_satisfiable", O.audit_with(
+    "SELECT DISTINCT unit, rule_id, path_no, scope FROM clause_sat WHERE ok"))
+def q_sat(spark, sf_dir):
+    return _plan(spark, sf_dir).decision["sat"]
+
+
+@register("v3_covers", O.audit_with("SELECT unit, rule_id, path_no, covered, err_cover, values_in FROM res"))
+def q_covers(spark, sf_dir):
+    return _plan(spark, sf_dir).decision["checks"]
+
+
+@register("v4_error_hit", O.audit_with(
+    "SELECT unit, rule_id, path_no, result, hit FROM res2 WHERE screen = 'crisp' AND kind = 'error'"))
+def q_error_hit(spark, sf_dir):
+    r = _plan(spark, sf_dir).decision["results"]
+    return r.where((F.col("mode") == "crisp") & (F.col("kind") == "error")).select(*KEYS, "path_no", "result", "hit")
+
+
+@register("v5_fuzzy_outcome", O.audit_with("SELECT unit, rule_id, path_no, result FROM res2 WHERE screen = 'fuzzy'"))
+def q_fuzzy_outcome(spark, sf_dir):
+    r = _plan(spark, sf_dir).decision["results"]
+    return r.where(F.col("mode") == "fuzzy").select(*KEYS, "path_no", "result")
+
+
+@register("v8_quarantine", O.audit_with(
+    "SELECT s.unit, s.rule_id, r.text, s.reason FROM st s JOIN fx_rules r USING (unit, rule_id) "
+    "WHERE starts_with(s.reason, 'quarantine:')"))
+def q_quarantine(spark, sf_dir):
+    plan = _plan(spark, sf_dir)
+    return (plan.st.where(F.col("reason").startswith("quarantine:")).select(*KEYS, "reason")
+            .join(plan.rules.select(*KEYS, "text"), KEYS).select(*KEYS, "text", "reason"))
+
+
+@register("v7_findings_report", O.audit_with("""
+, rep AS (""" + O.AUDIT_FINAL + """),
+ex AS (
+  SELECT r2.unit, r2.rule_id, min(r2.path_no) AS path_no
+  FROM res2 r2 JOIN rep USING (unit, rule_id)
+  WHERE starts_with(rep.verdict, 'BAD') AND (CASE WHEN rep.verdict = 'BAD_ERROR' THEN r2.hit ELSE r2.result = false END)
+  GROUP BY ALL)
+SELECT rep.unit, rep.rule_id, rep.verdict AS kind, f.text, ex.path_no, p.line
+FROM rep JOIN fx_rules f USING (unit, rule_id) LEFT JOIN ex USING (unit, rule_id)
+LEFT JOIN pinfo p ON p.unit = ex.unit AND p.path_no = ex.path_no
+WHERE starts_with(rep.verdict, 'BAD')"""))
+def q_findings(spark, sf_dir):
+    return _plan(spark, sf_dir).findings()
