@@ -185,3 +185,92 @@ LEFT JOIN pinfo p ON p.unit = ex.unit AND p.path_no = ex.path_no
 WHERE starts_with(rep.verdict, 'BAD')"""))
 def q_findings(spark, sf_dir):
     return _plan(spark, sf_dir).findings()
+
+
+# ---- evaluation (X) ----------------------------------------------------------------------------------
+from concordia.operators import evaluate as X  # noqa: E402
+from concordia.sources import text as S  # noqa: E402
+from concordia.sources.tables import table  # noqa: E402
+
+_X1_SQL = f"""WITH {duckdb_ctes('fx_verdicts')},
+x1 AS (SELECT *, CASE WHEN predicted <> oracle THEN (CASE WHEN predicted THEN 'FN' ELSE 'FP' END)
+                      WHEN predicted THEN 'consistent' ELSE 'inconsistent' END AS label FROM fx_verdicts),
+x2 AS (SELECT CAST(count(*) AS INTEGER) AS total,
+              CAST(count(*) FILTER (WHERE label = 'consistent') AS INTEGER) AS consistent,
+              CAST(count(*) FILTER (WHERE label = 'inconsistent') AS INTEGER) AS inconsistent,
+              CAST(count(*) FILTER (WHERE label = 'FP') AS INTEGER) AS fp,
+              CAST(count(*) FILTER (WHERE label = 'FN') AS INTEGER) AS fn FROM x1)
+"""
+
+
+def _labels(spark, sf_dir):
+    return X.label_outcomes(fixture(spark, sf_dir, "fx_verdicts"))
+
+
+@register("x1_label_outcomes", _X1_SQL + "SELECT * FROM x1")
+def q_x1(spark, sf_dir):
+    return _labels(spark, sf_dir)
+
+
+@register("x2_confusion_counts", _X1_SQL + "SELECT * FROM x2")
+def q_x2(spark, sf_dir):
+    return X.confusion_counts(_labels(spark, sf_dir))
+
+
+@register("x3_quality_metrics", _X1_SQL + """SELECT *,
+  CAST(inconsistent AS DOUBLE) / NULLIF(inconsistent + fp, 0) AS precision,
+  CAST(inconsistent AS DOUBLE) / NULLIF(inconsistent + fn, 0) AS recall,
+  CAST(inconsistent + consistent AS DOUBLE) / NULLIF(total, 0) AS accuracy FROM x2""")
+def q_x3(spark, sf_dir):
+    return X.quality_metrics(X.confusion_counts(_labels(spark, sf_dir)))
+
+
+@register("x4_verdict_matrix", _X1_SQL + """SELECT family,
+  min(label) FILTER (WHERE variant = 0) AS v0, min(label) FILTER (WHERE variant = 1) AS v1,
+  min(label) FILTER (WHERE variant = 2) AS v2 FROM x1 GROUP BY family""")
+def q_x4(spark, sf_dir):
+    return X.verdict_matrix(_labels(spark, sf_dir))
+
+
+@register("x5_method_comparison", f"""WITH {duckdb_ctes('fx_records')}
+SELECT method,
+  CAST(count(*) FILTER (WHERE coalesce(note, '') <> 'miss' AND consistent = 1) AS INTEGER) AS correct,
+  CAST(count(*) FILTER (WHERE coalesce(note, '') <> 'miss' AND consistent = 0) AS INTEGER) AS incorrect,
+  CAST(count(*) FILTER (WHERE note = 'miss') AS INTEGER) AS missing,
+  count(*) FILTER (WHERE coalesce(note, '') <> 'miss' AND consistent = 1) / count(*) AS accuracy
+FROM fx_records GROUP BY method""")
+def q_x5(spark, sf_dir):
+    return X.method_comparison(fixture(spark, sf_dir, "fx_records"))
+
+
+@register("x6_confirmation_rate", """SELECT d.source,
+  CAST(count(*) FILTER (WHERE l.quality = 1) AS INTEGER) AS confirmed, CAST(count(*) AS INTEGER) AS reported,
+  count(*) FILTER (WHERE l.quality = 1) / count(*) AS rate
+FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source""")
+def q_x6(spark, sf_dir):
+    issues = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return X.confirmation_rate(issues)
+
+
+# ---- text sources (S) ---------------------------------------------------------------------------------
+@register("s2_scan_lines", """SELECT doc_id, CAST(i AS INTEGER) AS line_no,
+  regexp_replace(parts[i], '[ \\t\\r\\f\\x0B]+$', '') AS line
+FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))""")
+def q_s2(spark, sf_dir):
+    return S.scan_lines(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@register("s6_last_line", f"WITH {duckdb_ctes('fx_logs')} SELECT file, arg_max(line, line_no) AS last_line FROM fx_logs GROUP BY file")
+def q_s6(spark, sf_dir):
+    return S.last_line(fixture(spark, sf_dir, "fx_logs"), "file")
+
+
+@register("s9_parse_run_log", f"""WITH {duckdb_ctes('fx_logs')},
+p AS (SELECT file,
+        CASE WHEN line = 'BAD CONSTRAINT' THEN line ELSE regexp_extract(line, {O.q(S.COUNTER_RE)}, 1) END AS metric,
+        CASE WHEN line = 'BAD CONSTRAINT' THEN NULL ELSE CAST(regexp_extract(line, {O.q(S.COUNTER_RE)}, 2) AS BIGINT) END AS value
+      FROM fx_logs)
+SELECT file, metric, CAST(count(*) AS INTEGER) AS n_lines, sum(value) AS total FROM p WHERE metric <> '' GROUP BY ALL""")
+def q_s9(spark, sf_dir):
+    return S.parse_run_log(fixture(spark, sf_dir, "fx_logs"), "file")

@@ -125,3 +125,36 @@ def duckdb_ctes(*names: str) -> str:
         deps = {d: d for d in dependencies(n)}
         parts.append(f"{n} AS ({FIXTURE_SQL[n].format(**deps)})")
     return ",\n".join(parts)
+
+
+# fx_verdicts: predicted vs oracle consistency per labelled document; family 1..72 x variant 0..2.
+FIXTURE_SQL["fx_verdicts"] = """
+SELECT doc_id,
+       'c' || CAST(CAST(doc_id % 72 + 1 AS INT) AS STRING) || '-' || CAST(CAST(floor(doc_id / 72) % 3 AS INT) AS STRING) AS case_id,
+       CAST(doc_id % 72 + 1 AS INT) AS family,
+       CAST(floor(doc_id / 72) % 3 AS INT) AS variant,
+       quality = 1 AS predicted,
+       toxic = 0 AS oracle
+FROM {labels}
+"""
+
+# fx_records: extraction records per method (0, 1, 2).
+FIXTURE_SQL["fx_records"] = """
+SELECT doc_id, CAST(doc_id % 3 AS INT) AS method, quality AS consistent,
+       CASE WHEN toxic = 1 THEN 'miss' END AS note
+FROM {labels}
+"""
+
+# fx_logs: one run log per user; each event prints one line in (ts, event_id) order.
+FIXTURE_SQL["fx_logs"] = """
+SELECT 'c' || CAST(user_id AS STRING) || '-' || CAST(user_id % 3 AS STRING) AS file,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS line_no,
+       CASE event_type
+         WHEN 'error' THEN 'BAD CONSTRAINT'
+         WHEN 'click' THEN 'CLASS: ' || CAST(CAST(floor(value) AS INT) AS STRING)
+         WHEN 'view' THEN 'INSIDE FUNCTION: ' || CAST(CAST(floor(value) AS INT) AS STRING)
+         WHEN 'purchase' THEN 'INDEPENDENT FUNCTION: ' || CAST(CAST(floor(value) AS INT) AS STRING)
+         ELSE 'Before Filter: ' || CAST(CAST(floor(value) AS INT) AS STRING)
+       END AS line
+FROM {events}
+"""
