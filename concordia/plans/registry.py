@@ -274,3 +274,164 @@ p AS (SELECT file,
 SELECT file, metric, CAST(count(*) AS INTEGER) AS n_lines, sum(value) AS total FROM p WHERE metric <> '' GROUP BY ALL""")
 def q_s9(spark, sf_dir):
     return S.parse_run_log(fixture(spark, sf_dir, "fx_logs"), "file")
+
+
+# ---- parameter tables (E6-E8), alignment (A), cross references (G), requests (T) ------------------------
+from concordia.operators import align as A, extract as E, requests as T, xref as G  # noqa: E402
+
+_PARAMS_SQL = f"""WITH {duckdb_ctes('fx_params', 'fx_signatures')},
+e6b AS (
+  SELECT unit, project, section, pos,
+    CASE WHEN strpos(name, '(') > 1 THEN trim(substr(name, 1, strpos(name, '(') - 1)) ELSE name END AS name,
+    regexp_replace(descr, '\\s*,\\s*', ', ', 'g') AS descr
+  FROM fx_params WHERE unit IN (SELECT unit FROM fx_params WHERE section = 'param')),
+e6 AS (
+  SELECT unit, project, section, name, arg_max(descr, pos) AS descr, max(pos) AS pos FROM e6b
+  WHERE NOT (contains(name, '*') OR contains(name, '.') OR contains(name, '[') OR contains(name, ']')
+             OR (contains(name, ' ') AND NOT contains(name, ',')))
+  GROUP BY ALL),
+e7a AS (
+  SELECT unit, project, section, pos, descr,
+    CASE WHEN NOT contains(name, ',') THEN [name]
+      WHEN regexp_extract(name, '\\{{([^{{}}]+)\\}}_([a-zA-Z0-9_]+)', 1) <> '' THEN
+        list_transform(string_split(regexp_extract(name, '\\{{([^{{}}]+)\\}}_([a-zA-Z0-9_]+)', 1), ','),
+          lambda x: trim(trim(x) || '_' || regexp_extract(name, '\\{{([^{{}}]+)\\}}_([a-zA-Z0-9_]+)', 2)))
+      WHEN regexp_extract(name, '\\(([^()]+)\\)', 1) <> '' THEN
+        (CASE WHEN project IN ({', '.join(O.q(p) for p in E.AND_PROJECTS)}) THEN
+           [array_to_string(list_transform(string_split(regexp_extract(name, '\\(([^()]+)\\)', 1), ','), lambda x: trim(x)), '_and_')]
+         ELSE list_transform(string_split(regexp_extract(name, '\\(([^()]+)\\)', 1), ','), lambda x: trim(x)) END)
+      ELSE list_transform(string_split(name, ','), lambda x: trim(x)) END AS aliases
+  FROM e6),
+e7b AS (SELECT unit, project, section, descr, aliases[k] AS name, CAST(pos AS BIGINT) * 1000 + (k - 1) AS ord
+        FROM (SELECT *, unnest(generate_series(1, len(aliases))) AS k FROM e7a)),
+e7 AS (SELECT unit, project, section, name, arg_max(descr, ord) AS descr, min(ord) AS "order" FROM e7b GROUP BY ALL),
+e8 AS (SELECT unit, project, name,
+         arg_max(descr, (CASE WHEN section = 'attr' THEN 1 ELSE 0 END) * CAST(1099511627776 AS BIGINT) + "order") AS descr
+       FROM e7 GROUP BY ALL),
+doc AS (SELECT DISTINCT unit, name FROM e7 WHERE section = 'param' AND NOT contains(name, '*')
+          AND NOT contains(name, 'kwargs') AND name <> 'cls'),
+code AS (SELECT DISTINCT unit, name FROM (SELECT unit, unnest(params) AS name FROM fx_signatures)
+         WHERE name <> 'self' AND NOT starts_with(name, '*') AND NOT contains(name, 'kwargs') AND name <> 'cls'),
+sides AS (SELECT coalesce(d.unit, c.unit) AS unit, coalesce(d.name, c.name) AS name,
+            d.name IS NOT NULL AS in_doc, c.name IS NOT NULL AS in_code
+          FROM doc d FULL OUTER JOIN code c ON d.unit = c.unit AND d.name = c.name),
+g1 AS (SELECT s.unit, s.name AS src, d.name AS dst FROM e8 s JOIN e8 d USING (unit)
+       WHERE s.name <> d.name AND (CASE WHEN length(s.name) >= 3 THEN contains(d.descr, s.name)
+                                        ELSE contains(d.descr, '`' || s.name || '`') END))
+"""
+
+
+def _params(spark, sf_dir):
+    return E.param_table(fixture(spark, sf_dir, "fx_params"))
+
+
+def _pa(spark, sf_dir):
+    return E.overlay_params(_params(spark, sf_dir))
+
+
+def _doc_code(spark, sf_dir):
+    doc = _params(spark, sf_dir).where(F.col("section") == "param").select("unit", "name")
+    code = A.declared_names(fixture(spark, sf_dir, "fx_signatures"))
+    return doc, code
+
+
+@register("e6_clean_params", _PARAMS_SQL + "SELECT * FROM e6")
+def q_e6(spark, sf_dir):
+    return E.clean_param_rows(fixture(spark, sf_dir, "fx_params"))
+
+
+@register("e7_expand_names", _PARAMS_SQL + "SELECT * FROM e7")
+def q_e7(spark, sf_dir):
+    return _params(spark, sf_dir)
+
+
+@register("e8_overlay_params", _PARAMS_SQL + "SELECT * FROM e8")
+def q_e8(spark, sf_dir):
+    return _pa(spark, sf_dir)
+
+
+@register("a1_drop_variadic", _PARAMS_SQL + """SELECT unit, CAST(k - 1 AS INTEGER) AS pos, params[k] AS name
+FROM (SELECT unit, params, unnest(generate_series(1, len(params))) AS k FROM fx_signatures)
+WHERE NOT contains(params[k], '*') AND NOT contains(params[k], 'kwargs') AND params[k] <> 'cls'""")
+def q_a1(spark, sf_dir):
+    sig = fixture(spark, sf_dir, "fx_signatures").select("unit", F.posexplode("params").alias("pos", "name"))
+    return A.drop_variadic(sig.select("unit", F.col("pos").cast("int").alias("pos"), "name"))
+
+
+@register("a2_param_mismatch", _PARAMS_SQL + """SELECT unit,
+  coalesce(list_sort(list(name) FILTER (WHERE in_doc)), []) AS doc,
+  coalesce(list_sort(list(name) FILTER (WHERE in_code)), []) AS code,
+  coalesce(list_sort(list(name) FILTER (WHERE NOT (in_doc AND in_code))), []) AS difference
+FROM sides GROUP BY unit HAVING count(*) FILTER (WHERE NOT (in_doc AND in_code)) > 0""")
+def q_a2(spark, sf_dir):
+    return A.param_mismatch(*_doc_code(spark, sf_dir))
+
+
+@register("a3_mismatch_side", _PARAMS_SQL + """SELECT unit, name, CASE WHEN in_doc THEN 'doc' ELSE 'code' END AS side
+FROM sides WHERE NOT (in_doc AND in_code)""")
+def q_a3(spark, sf_dir):
+    return A.mismatch_side(*_doc_code(spark, sf_dir))
+
+
+@register("c10_list_relations", _PARAMS_SQL + """SELECT d.unit, list_has_any(d.names, c.names) AS intersects,
+  len(list_filter(d.names, lambda x: NOT list_contains(c.names, x))) = 0 AS contained
+FROM (SELECT unit, list(name) AS names FROM doc GROUP BY unit) d
+JOIN (SELECT unit, list(name) AS names FROM code GROUP BY unit) c USING (unit)""")
+def q_c10(spark, sf_dir):
+    doc, code = _doc_code(spark, sf_dir)
+    d = A.drop_variadic(doc).groupBy("unit").agg(F.collect_set("name").alias("doc"))
+    c = A.drop_variadic(code).groupBy("unit").agg(F.collect_set("name").alias("code"))
+    return R.list_relations(d.join(c, "unit"), "doc", "code").select("unit", "intersects", "contained")
+
+
+@register("g1_xref_edges", _PARAMS_SQL + "SELECT * FROM g1")
+def q_g1(spark, sf_dir):
+    return G.xref_edges(_pa(spark, sf_dir))
+
+
+@register("g2_xref_degree", _PARAMS_SQL + "SELECT unit, src, CAST(count(*) AS INTEGER) AS n FROM g1 GROUP BY ALL")
+def q_g2(spark, sf_dir):
+    return G.xref_degree(G.xref_edges(_pa(spark, sf_dir)))
+
+
+@register("g3_prune_units", _PARAMS_SQL + "SELECT DISTINCT unit, project FROM e8 WHERE unit IN (SELECT unit FROM g1)")
+def q_g3(spark, sf_dir):
+    pa = _pa(spark, sf_dir)
+    return G.prune_units(pa.select("unit", "project").distinct(), G.xref_edges(pa))
+
+
+@register("g4_prune_summary", _PARAMS_SQL + """SELECT project, CAST(count(DISTINCT unit) AS INTEGER) AS n_before,
+  CAST(count(DISTINCT unit) FILTER (WHERE unit IN (SELECT unit FROM g1)) AS INTEGER) AS n_after FROM e8 GROUP BY project""")
+def q_g4(spark, sf_dir):
+    pa = _pa(spark, sf_dir)
+    return G.prune_summary(pa.select("unit", "project"), G.xref_edges(pa))
+
+
+@register("t1_render_doc", _PARAMS_SQL + """, pn AS (
+  SELECT unit, name, CASE WHEN section = 'param' THEN 0 ELSE 1 END AS r, "order" FROM e7 e
+  WHERE section = 'param' OR NOT EXISTS (SELECT 1 FROM e7 x WHERE x.unit = e.unit AND x.section = 'param' AND x.name = e.name))
+SELECT t.unit, t.text, p.param_list FROM (
+  SELECT unit,
+    (CASE WHEN count(*) FILTER (WHERE section = 'param') > 0 THEN 'Parameters' || chr(10) || '----------' ELSE '' END)
+    || coalesce(string_agg(chr(10) || name || ':' || descr, '' ORDER BY "order") FILTER (WHERE section = 'param'), '')
+    || (CASE WHEN count(*) FILTER (WHERE section = 'attr') > 0 THEN chr(10) || 'Attributes' || chr(10) || '----------' ELSE '' END)
+    || coalesce(string_agg(chr(10) || name || ':' || descr, '' ORDER BY "order") FILTER (WHERE section = 'attr'), '') AS text
+  FROM e7 GROUP BY unit) t
+JOIN (SELECT unit, string_agg(name, ',' ORDER BY r, "order") AS param_list FROM pn GROUP BY unit) p USING (unit)""")
+def q_t1(spark, sf_dir):
+    return T.render_doc(_params(spark, sf_dir))
+
+
+@register("t2_chunk_text", f"""SELECT doc_id AS key, CAST(i AS INTEGER) AS i, n,
+  '[START CHUNK ' || i || '/' || n || ']' || chr(10) || '### ' || CAST(doc_id AS VARCHAR) || ' ###' || chr(10)
+  || substr(text, (i - 1) * {T.CHUNK_SIZE} + 1, {T.CHUNK_SIZE}) || chr(10) || '[END CHUNK ' || i || '/' || n || ']' AS chunk
+FROM (SELECT doc_id, text, n, unnest(generate_series(1, n)) AS i
+      FROM (SELECT doc_id, text, CAST(ceil(length(text) / {T.CHUNK_SIZE}) AS INTEGER) AS n
+            FROM documents WHERE length(text) > {T.CHUNK_MIN_LEN}))""")
+def q_t2(spark, sf_dir):
+    return T.chunk_text(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@register("t3_build_messages", None)
+def q_t3(spark, sf_dir):
+    return T.build_messages(T.render_doc(_params(spark, sf_dir)))

@@ -158,3 +158,31 @@ SELECT 'c' || CAST(user_id AS STRING) || '-' || CAST(user_id % 3 AS STRING) AS f
        END AS line
 FROM {events}
 """
+
+# fx_params: parsed docstring entries (the output shape of the section parsers), one
+# block per part; names exercise cleaning, comma expansion, overlay and cross-references.
+FIXTURE_SQL["fx_params"] = """
+WITH p AS (SELECT p_partkey AS unit, p_type AS project, p_size, p_brand,
+                  CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM {part})
+SELECT unit, project, 'param' AS section, CAST(0 AS INT) AS pos, 'size' AS name,
+       'int, default=' || CAST(p_size AS STRING) || '. Number of items'
+         || CASE WHEN p_size % 3 = 0 THEN ' , like `brand`' ELSE '' END AS descr FROM p
+UNION ALL SELECT unit, project, 'param', CAST(1 AS INT), 'brand', 'str. Brand ' || p_brand || ' ,bounded by lo.' FROM p
+UNION ALL SELECT unit, project, 'param', CAST(2 AS INT), 'lo, hi', 'float. Range limits of the size.' FROM p
+UNION ALL SELECT unit, project, 'param', CAST(3 AS INT), '(a, b)', 'pair. Two ends.' FROM p
+UNION ALL SELECT unit, project, 'param', CAST(4 AS INT), '{{x,y}}_lim', 'float. Axis limits.' FROM p
+UNION ALL SELECT unit, project, 'param', CAST(5 AS INT), '**kw', 'dict. Extra options for brand.' FROM p
+UNION ALL SELECT unit, project, 'param', CAST(6 AS INT), 'shape (n,)', 'tuple. Output shape.' FROM p
+UNION ALL SELECT unit, project, 'param', CAST(7 AS INT), 'opts.verbose', 'bool. Verbose output.' FROM p
+UNION ALL SELECT unit, project, 'attr', CAST(8 AS INT), 'price_', 'float. Retail price ' || CAST(cents AS STRING) || ' cents.' FROM p
+UNION ALL SELECT unit, project, 'attr', CAST(9 AS INT), 'size', 'int. Size set from the `brand` table.' FROM p WHERE unit % 4 = 0
+"""
+
+# fx_signatures: declared parameters of every part's constructor.
+FIXTURE_SQL["fx_signatures"] = """
+SELECT p_partkey AS unit, p_type AS project,
+  split('self,size' || CASE WHEN p_size % 5 = 0 THEN '' ELSE ',brand' END || ',lo,hi,*args'
+        || CASE WHEN p_size % 7 = 0 THEN ',extra' ELSE '' END
+        || CASE WHEN p_partkey % 11 = 0 THEN ',cls' ELSE '' END, ',') AS params
+FROM {part}
+"""
