@@ -435,3 +435,186 @@ def q_t2(spark, sf_dir):
 @register("t3_build_messages", None)
 def q_t3(spark, sf_dir):
     return T.build_messages(T.render_doc(_params(spark, sf_dir)))
+
+
+# ---- repair / text helpers (C4, C6), L1, names (D), trees (P), more sources (S) --------------------------
+from concordia.operators import names as D, trees as Tr  # noqa: E402
+from concordia.sources import structured as ST  # noqa: E402
+
+_INJECT = "CASE path_no % 3 WHEN 0 THEN ')' || text WHEN 1 THEN text || ' ((' ELSE text END"
+
+
+def _reduce_sql(text: str, forward: bool) -> str:
+    """DuckDB oracle of one repair pass (list_reduce over characters)."""
+    if forward:
+        return (f"list_reduce(string_split({text}, ''), lambda acc, c: CASE "
+                "WHEN c = '(' THEN {'d': acc.d + 1, 's': acc.s || c} "
+                "WHEN c = ')' THEN (CASE WHEN acc.d > 0 THEN {'d': acc.d - 1, 's': acc.s || c} ELSE acc END) "
+                "ELSE {'d': acc.d, 's': acc.s || c} END, {'d': 0, 's': ''}).s")
+    return (f"list_reduce(list_reverse(string_split({text}, '')), lambda acc, c: CASE "
+            "WHEN c = ')' THEN {'d': acc.d + 1, 's': c || acc.s} "
+            "WHEN c = '(' THEN (CASE WHEN acc.d > 0 THEN {'d': acc.d - 1, 's': c || acc.s} ELSE acc END) "
+            "ELSE {'d': acc.d, 's': c || acc.s} END, {'d': 0, 's': ''}).s")
+
+
+@register("c4_balance_parens", f"""WITH {duckdb_ctes('fx_paths')},
+b AS (SELECT unit, path_no, {_INJECT} AS text FROM fx_paths)
+SELECT unit, path_no, text, {_reduce_sql(_reduce_sql('text', True), False)} AS repaired FROM b""")
+def q_c4(spark, sf_dir):
+    b = fixture(spark, sf_dir, "fx_paths").select("unit", "path_no", F.expr(_INJECT).alias("text"))
+    return b.select("unit", "path_no", "text", P.balance_parens(F.col("text")).alias("repaired"))
+
+
+@register("c6_paren_contents", "SELECT doc_id, regexp_extract_all(text, '\\((.*?)\\)', 1) AS contents FROM documents")
+def q_c6(spark, sf_dir):
+    return P.paren_contents(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "contents")
+
+
+@register("l1_norm_levenshtein", """SELECT a, b,
+  CASE WHEN greatest(length(a), length(b)) = 0 THEN 0.0 ELSE 1.0 - levenshtein(a, b) / greatest(length(a), length(b)) END AS score
+FROM (SELECT DISTINCT p.p_name AS a, s.s_name AS b FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+      JOIN supplier s ON l.l_suppkey = s.s_suppkey)""")
+def q_l1(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    pairs = (li.join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+             .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+             .select(F.col("p_name").alias("a"), F.col("s_name").alias("b")).distinct())
+    return L.norm_levenshtein_pairs(pairs, "a", "b")
+
+
+@register("d1_name_universe", """SELECT unit, name, CAST(count(DISTINCT lst) AS INTEGER) AS n_lists FROM (
+  SELECT DISTINCT c_nationkey AS unit, c_mktsegment AS name, 0 AS lst FROM customer
+  UNION ALL SELECT DISTINCT s_nationkey, s_name, 1 FROM supplier
+  UNION ALL SELECT DISTINCT n_nationkey, n_name, 2 FROM nation) GROUP BY ALL""")
+def q_d1(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("unit"), F.col("c_mktsegment").alias("name"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("unit"), F.col("s_name").alias("name"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit"), F.col("n_name").alias("name"))
+    return D.name_universe(c, s, n)
+
+
+@register("d2_undefined_names", _PARAMS_SQL + """SELECT DISTINCT u.unit, u.name FROM e7 u
+WHERE u.section = 'param' AND NOT EXISTS (SELECT 1 FROM code c WHERE c.unit = u.unit AND c.name = u.name)
+  AND NOT EXISTS (SELECT 1 FROM e7 a WHERE a.section = 'attr' AND a.unit = u.unit AND a.name = u.name)""")
+def q_d2(spark, sf_dir):
+    params = _params(spark, sf_dir)
+    uses = params.where(F.col("section") == "param").select("unit", "name").distinct()
+    defs = (fixture(spark, sf_dir, "fx_signatures").select("unit", F.explode("params").alias("name"))
+            .where((F.col("name") != "self") & ~F.col("name").startswith("*") & ~F.col("name").contains("kwargs")
+                   & (F.col("name") != "cls"))
+            .unionByName(params.where(F.col("section") == "attr").select("unit", "name")))
+    return D.undefined_names(uses, defs, ["unit", "name"])
+
+
+@register("d3_dict_encode", """WITH dct AS (SELECT p_type AS value, CAST(dense_rank() OVER (ORDER BY p_type) AS INTEGER) AS code
+                   FROM (SELECT DISTINCT p_type FROM part))
+SELECT p.p_partkey, p.p_type, d.code AS p_type_code, d.value AS decoded FROM part p JOIN dct d ON p.p_type = d.value""")
+def q_d3(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    dct = D.dictionary(part, "p_type")
+    enc = D.dict_encode(part, "p_type", dct)
+    return D.dict_decode(enc, "p_type_code", dct, "decoded").select("p_partkey", "p_type", "p_type_code", "decoded")
+
+
+_TREE_SQL = f"""WITH RECURSIVE {duckdb_ctes('fx_edges')},
+walk(unit, node, depth, nodes, labels) AS (
+  SELECT 'r' || CAST(r_regionkey AS VARCHAR), 'r' || CAST(r_regionkey AS VARCHAR), 0,
+         ['r' || CAST(r_regionkey AS VARCHAR)], CAST([] AS INTEGER[]) FROM region
+  UNION ALL
+  SELECT w.unit, e.child, w.depth + 1, list_append(w.nodes, e.child), list_append(w.labels, e.label)
+  FROM walk w JOIN fx_edges e ON e.unit = w.unit AND e.parent = w.node WHERE w.depth < {Tr.MAX_DEPTH}),
+paths AS (SELECT w.unit, w.node AS leaf, w.depth, w.nodes, w.labels FROM walk w
+          WHERE NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.unit = w.unit AND e.parent = w.node))
+"""
+
+
+def _tree_paths(spark, sf_dir):
+    roots = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("unit"),
+        F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root"))
+    return Tr.enumerate_paths(spark, fixture(spark, sf_dir, "fx_edges"), roots)
+
+
+@register("p1_enumerate_paths", _TREE_SQL + "SELECT * FROM paths")
+def q_p1(spark, sf_dir):
+    return _tree_paths(spark, sf_dir)
+
+
+_COND = ("CASE WHEN length(child) % 2 = 0 THEN '!' ELSE '' END || child || ' ' || "
+         "CASE length(child) % 3 WHEN 0 THEN '=' WHEN 1 THEN '<' ELSE '>=' END || ' 1'")
+
+
+@register("p2_flip_condition", f"""WITH {duckdb_ctes('fx_edges')},
+c AS (SELECT unit, parent, child, label, {_COND} AS cond FROM fx_edges),
+d AS (SELECT *, regexp_replace(cond, '^!+', '') AS body,
+        ((label = 1 AND starts_with(cond, '!')) OR (label = 0 AND NOT starts_with(cond, '!'))) AS flip FROM c),
+e AS (SELECT *, regexp_extract(body, '(!=|<=|>=|=|<|>)', 1) AS op FROM d)
+SELECT unit, parent, child, cond,
+  CASE WHEN regexp_matches(cond, '^-?[0-9]+(\\.[0-9]+)?$') THEN cond
+       WHEN flip AND op <> '' THEN regexp_replace(body, '(!=|<=|>=|=|<|>)',
+         CASE op WHEN '=' THEN '!=' WHEN '!=' THEN '=' WHEN '<' THEN '>=' WHEN '>=' THEN '<' WHEN '>' THEN '<=' ELSE '>' END, 'g')
+       ELSE body END AS taken
+FROM e""")
+def q_p2(spark, sf_dir):
+    e = fixture(spark, sf_dir, "fx_edges").select("unit", "parent", "child", "label", F.expr(_COND).alias("cond"))
+    return e.select("unit", "parent", "child", "cond", Tr.flip_condition(F.col("cond"), F.col("label")).alias("taken"))
+
+
+@register("p3_render_paths", _TREE_SQL + """SELECT unit, leaf, array_to_string(list_transform(generate_series(2, len(nodes)),
+  lambda i: '(' || nodes[i] || ' = ' || CAST(labels[i - 1] AS VARCHAR) || ')'), ' -> ') AS text FROM paths""")
+def q_p3(spark, sf_dir):
+    p = _tree_paths(spark, sf_dir)
+    conds = F.transform(F.arrays_zip(F.slice("nodes", 2, 1 << 30).alias("n"), F.col("labels").alias("l")),
+                        lambda x: F.concat(F.lit("("), x["n"], F.lit(" = "), x["l"].cast("string"), F.lit(")")))
+    return Tr.render_paths(p, conds)
+
+
+@register("s3_param_json", _PARAMS_SQL + """SELECT unit, section, name, descr FROM e7
+UNION ALL SELECT unit, 'pa', name, descr FROM e8""")
+def q_s3(spark, sf_dir):
+    params = _params(spark, sf_dir)
+    return ST.read_param_json(ST.write_param_json(params, E.overlay_params(params)))
+
+
+@register("s4_scan_rule_blocks", f"""WITH {duckdb_ctes('fx_rule_text')},
+ln AS (SELECT unit, CAST(i AS INTEGER) AS line_no, regexp_replace(parts[i], '[ \\t\\r\\f\\x0B]+$', '') AS line
+       FROM (SELECT unit, parts, unnest(generate_series(1, len(parts))) AS i
+             FROM (SELECT unit, string_split(text, chr(10)) AS parts FROM fx_rule_text))),
+w AS (SELECT unit, line_no, line,
+        coalesce(lead(line, 1) OVER (PARTITION BY unit ORDER BY line_no), '') AS nxt,
+        coalesce(lead(line, 2) OVER (PARTITION BY unit ORDER BY line_no), '') AS nxt2 FROM ln),
+r AS (SELECT unit, line_no,
+        CASE WHEN contains(nxt, '```') THEN
+          (CASE WHEN trim(nxt) = '```' THEN (CASE WHEN trim(nxt2) <> '' THEN trim(split_part(nxt2, ':', -1), '*`. ' || chr(10)) END)
+                ELSE trim(split_part(nxt, ':', -1), '*`. ' || chr(10)) END)
+        ELSE trim(split_part(line, ':', -1), '*`. ' || chr(10)) END AS rule
+      FROM w WHERE (contains(line, 'Logical format') OR contains(line, 'Logical Format')) AND contains(line, ':'))
+SELECT * FROM r WHERE contains(rule, '->')""")
+def q_s4(spark, sf_dir):
+    return S.scan_rule_blocks(S.scan_lines(fixture(spark, sf_dir, "fx_rule_text"), "unit"), "unit")
+
+
+@register("s5_lookup_case", f"""WITH {duckdb_ctes('fx_cases', 'fx_verdicts')},
+last AS (SELECT id, arg_max(class, doc_id) AS class, arg_max(func, doc_id) AS func,
+                arg_max(constraints, doc_id) AS constraints, arg_max(oracle, doc_id) AS oracle FROM fx_cases GROUP BY id)
+SELECT l.id AS case_id, CASE WHEN l.class = 'NA' THEN l.func ELSE l.class END AS unit,
+       trim(split_part(l.constraints, ':', -1)) AS rule_text, l.oracle
+FROM (SELECT DISTINCT case_id FROM fx_verdicts) v JOIN last l ON l.id = v.case_id""")
+def q_s5(spark, sf_dir):
+    return S.lookup_case(fixture(spark, sf_dir, "fx_cases"), fixture(spark, sf_dir, "fx_verdicts"))
+
+
+@register("s7_attach_results", """SELECT l.doc_id, l.quality, l.toxic, d.source FROM labels l JOIN documents d USING (doc_id)""")
+def q_s7(spark, sf_dir):
+    units = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return S.attach_results(table(spark, sf_dir, "labels"), units)
+
+
+@register("s8_read_records", None)
+def q_s8(spark, sf_dir):
+    path = ST.scratch_path(spark, "records")
+    (table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.col("text"), F.lit("\nnote: \"quoted\", line")).alias("info"))
+     .write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
+    recs = ST.read_records(spark, path)
+    return recs.select(F.col("item_id").cast("long").alias("item_id"), "info",
+                       F.regexp_extract("info", r"^([A-Za-z]+)", 1).alias("lib"))

@@ -186,3 +186,36 @@ SELECT p_partkey AS unit, p_type AS project,
         || CASE WHEN p_partkey % 11 = 0 THEN ',cls' ELSE '' END, ',') AS params
 FROM {part}
 """
+
+# fx_edges: decision trees: region -> nation -> supplier, rooted at each region.
+FIXTURE_SQL["fx_edges"] = """
+SELECT 'r' || CAST(n_regionkey AS STRING) AS unit, 'r' || CAST(n_regionkey AS STRING) AS parent,
+       'n' || CAST(n_nationkey AS STRING) AS child, CAST(n_nationkey % 2 AS INT) AS label
+FROM {nation}
+UNION ALL
+SELECT 'r' || CAST(n.n_regionkey AS STRING), 'n' || CAST(s.s_nationkey AS STRING),
+       's' || CAST(s.s_suppkey AS STRING), CAST(s.s_suppkey % 2 AS INT)
+FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey
+"""
+
+# fx_rule_text: annotated answers, one per supplier, in the shapes a rule can come in.
+FIXTURE_SQL["fx_rule_text"] = """
+SELECT s_suppkey AS unit, replace(CASE s_suppkey % 5
+  WHEN 0 THEN '1. Text Constraint: x needs y.' || chr(10) || 'Logical Format: (nation = `' || CAST(s_nationkey AS STRING) || '`) -> (acct != `None`).*'
+  WHEN 1 THEN 'Logical format:' || chr(10) || '```(size > ' || CAST(s_nationkey AS STRING) || ') -> (brand = `b`)```' || chr(10) || 'done'
+  WHEN 2 THEN 'Logical Format:' || chr(10) || '```' || chr(10) || '(key = ' || CAST(s_suppkey AS STRING) || ') -> (nation != `x`)`.' || chr(10) || '```'
+  WHEN 3 THEN 'Logical Format: (a = 1) and nothing follows'
+  ELSE 'Intro' || chr(10) || 'Logical format: **(q = `' || s_name || '`) -> (r = 2)**' END, '`', chr(39)) AS text
+FROM {supplier}
+"""
+
+# fx_cases: benchmark cases (id, class or 'NA', function, rule, oracle) from labelled documents.
+FIXTURE_SQL["fx_cases"] = """
+SELECT doc_id,
+       'c' || CAST(CAST(doc_id % 72 + 1 AS INT) AS STRING) || '-' || CAST(CAST(floor(doc_id / 72) % 3 AS INT) AS STRING) AS id,
+       CASE WHEN doc_id % 4 = 0 THEN 'NA' ELSE 'Class' || CAST(doc_id % 72 + 1 AS STRING) END AS class,
+       'func' || CAST(CAST(floor(doc_id / 72) % 3 AS INT) AS STRING) AS func,
+       'Logical format: (quality = ' || CAST(quality AS STRING) || ') -> (toxic = ' || CAST(toxic AS STRING) || ')' AS constraints,
+       CASE WHEN toxic = 0 THEN 'True' ELSE 'False' END AS oracle
+FROM {labels}
+"""

@@ -35,3 +35,42 @@ def parse_run_log(lines: DataFrame, key: str = "file") -> DataFrame:
     parsed = lines.select(key, metric.alias("metric"), value.alias("value")).where(F.col("metric") != "")
     return parsed.groupBy(key, "metric").agg(F.count(F.lit(1)).cast("int").alias("n_lines"),
                                              F.sum("value").alias("total"))
+
+
+def scan_rule_blocks(lines: DataFrame, key: str = "unit") -> DataFrame:
+    """Rules written in an answer text, ``key, line_no, rule``.
+
+    A line naming the logical format (and holding ``:``) gives its rule: the value after
+    the last ``:`` of that line, or of the next line when that one is fenced, or of the
+    line after a bare fence (when that is not blank); ``*`.`` and blanks are trimmed at
+    both ends and only texts with ``->`` are rules."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(key).orderBy("line_no")
+    nxt = F.coalesce(F.lead("line", 1).over(w), F.lit(""))
+    nxt2 = F.coalesce(F.lead("line", 2).over(w), F.lit(""))
+    clean = lambda c: F.expr(f"trim(BOTH '*`. \\n' FROM substring_index({c}, ':', -1))")
+    staged = lines.select(key, "line_no", "line", nxt.alias("nxt"), nxt2.alias("nxt2"))
+    marker = ((F.col("line").contains("Logical format") | F.col("line").contains("Logical Format"))
+              & F.col("line").contains(":"))
+    rule = (F.when(F.col("nxt").contains("```"),
+                   F.when(F.trim("nxt") == "```", F.when(F.trim("nxt2") != "", clean("nxt2")))
+                   .otherwise(clean("nxt")))
+            .otherwise(clean("line")))
+    return (staged.where(marker).select(key, "line_no", rule.alias("rule"))
+            .where(F.col("rule").contains("->")))
+
+
+def lookup_case(cases: DataFrame, ids: DataFrame) -> DataFrame:
+    """Per case id the audited unit (class, or the function when the class is 'NA'),
+    its rule and its oracle; of several records with one id the last one wins."""
+    last = cases.groupBy("id").agg(F.max_by(F.struct("class", "func", "constraints", "oracle"), "doc_id").alias("c"))
+    return (ids.select(F.col("case_id").alias("id")).distinct().join(last, "id")
+            .select(F.col("id").alias("case_id"),
+                    F.when(F.col("c.class") == "NA", F.col("c.func")).otherwise(F.col("c.class")).alias("unit"),
+                    F.trim(F.substring_index("c.constraints", ":", -1)).alias("rule_text"),
+                    F.col("c.oracle").alias("oracle")))
+
+
+def attach_results(results: DataFrame, units: DataFrame, keys=("doc_id",)) -> DataFrame:
+    """Results placed only on units that exist (semi join, then the unit's columns)."""
+    return results.join(units, list(keys), "left_semi").join(units, list(keys))
