@@ -1,0 +1,59 @@
+"""Skeleton analysis: DNF against brute-force truth tables; fold programs."""
+import itertools
+
+from hypothesis import given, settings, strategies as st
+
+from concordia.functions.skeleton import analyse, parse_logic, to_dnf
+
+
+def evaluate(tree, env):
+    kind = tree[0]
+    if kind == "slot":
+        return env[tree[1]]
+    if kind == "not":
+        return not evaluate(tree[1], env)
+    a, b = evaluate(tree[1], env), evaluate(tree[2], env)
+    return (a and b) if kind == "and" else (a or b)
+
+
+def dnf_value(dnf, env):
+    return any(all(env[abs(x) - 1] if x > 0 else not env[abs(x) - 1] for x in clause) for clause in dnf)
+
+
+@st.composite
+def formulas(draw, depth=0):
+    n = draw(st.integers(0, 3))
+    if depth > 2 or draw(st.booleans()):
+        text = "{%d}" % n
+    else:
+        op = draw(st.sampled_from(["^", "|"]))
+        a = draw(formulas(depth + 1))
+        b = draw(formulas(depth + 1))
+        text = "(" + a + op + b + ")"
+    if draw(st.integers(0, 4)) == 0:
+        text = "[" + text + "]"
+    return text
+
+
+@settings(max_examples=300, deadline=None)
+@given(formulas())
+def test_dnf_matches_truth_table(logic):
+    tree = parse_logic(logic)
+    dnf = to_dnf(tree)
+    for env in itertools.product([False, True], repeat=4):
+        assert dnf_value(dnf, env) == evaluate(tree, env), (logic, env)
+
+
+def test_right_fold_without_precedence():
+    # a ^ b | c  ==  a ^ (b | c)
+    assert to_dnf(parse_logic("{0}^{1}|{2}")) == [[1, 2], [1, 3]]
+
+
+def test_shapes_from_the_recorded_runs():
+    assert analyse("({})->({})")["logic"] == "{0}^{1}"
+    assert analyse("(({})||({}))->({})")["dnf"] == [[1, 3], [2, 3]]
+    r = analyse("!({})->({})")
+    assert r["logic"] == "[{0}]^{1}" and r["dnf"] == [[-1, 2]] and r["rpn"] == [-1000, 1, -1]
+    assert analyse("({})")["error"] == "single_literal"
+    # a negated group of plain slots cannot be folded into a similarity
+    assert analyse("!({}&&{})->({})")["error"].startswith("fold")
