@@ -63,3 +63,81 @@ def overlay_params(params: DataFrame) -> DataFrame:
 def param_table(raw: DataFrame, and_projects: Sequence[str] = AND_PROJECTS) -> DataFrame:
     """E6 then E7."""
     return expand_comma_names(clean_param_rows(raw), and_projects)
+
+
+# ---- section parsers (E4 numpy, E5 google) --------------------------------------------------------------
+from concordia.functions import vocab  # noqa: E402
+from pyspark.sql import Column, Window  # noqa: E402
+
+_WS = "[ \\t\\r\\n\\f\\x0B]"
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, "^" + _WS + "+|" + _WS + "+$", "")
+
+
+def _header_kind(line: Column, style: Column) -> tuple[Column, Column]:
+    """(kind, skips_next) of a header line for the doc's dialect; kind is 'param',
+    'attr' or 'none' (a section that is not read), null when the line is no header."""
+    numpy = F.lit(None).cast("string")
+    for h, kind in reversed(list(vocab.NUMPY_HEADERS.items())):
+        cond = line.startswith(h)
+        if h == "return":
+            cond = cond & ~line.contains(":")
+        numpy = F.when(cond, F.lit(kind or "none")).otherwise(numpy)
+    google = F.lit(None).cast("string")
+    for h, kind in reversed(list(vocab.GOOGLE_HEADERS.items())):
+        google = F.when(line.startswith(h), F.lit(kind or "none")).otherwise(google)
+    is_numpy = style.isin("Parameters", "Parameters:")
+    kind = F.when(is_numpy, numpy).when(style == "Args:", google)
+    g_skip = F.lit(False)
+    for h in vocab.GOOGLE_SKIP_NEXT:
+        g_skip = g_skip | line.startswith(h)
+    skips = F.when(is_numpy, kind.isNotNull()).otherwise(kind.isNotNull() & g_skip)
+    return kind, skips
+
+
+def parse_sections(lines: DataFrame, style: str = "flag") -> DataFrame:
+    """Docstring lines (unit, project, flag, line_no, line) to parameter rows
+    ``unit, project, section, pos, name, descr`` (pos = line of the key).
+
+    A header line switches the section ('param', 'attr', or one that is not read) and,
+    for numpy headers and google Raises:/Note:, swallows the next line (so of adjacent
+    such headers every second one is swallowed).  In a read section a line with ``:``
+    at the document's first key indent starts a key; deeper ``:`` lines and plain lines
+    continue it.  Deeper ``:`` lines met while no key is open wait for the next key.
+    Dialects other than 'Parameters', 'Parameters:' and 'Args:' yield nothing."""
+    w = Window.partitionBy("unit").orderBy("line_no")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kind, skips = _header_kind(F.col("line"), F.col(style))
+    s1 = lines.select("unit", "project", style, "line_no", "line", kind.alias("hkind"), skips.alias("hskip"))
+    run = (F.col("line_no") - 1) - F.coalesce(F.max(F.when(~F.col("hskip"), F.col("line_no"))).over(before), F.lit(0))
+    s2 = s1.withColumn("skipped", (run % 2) == 1)
+    s2 = s2.withColumn("hdr", F.col("hkind").isNotNull() & ~F.col("skipped"))
+    s3 = s2.withColumn("section", F.last(F.when(F.col("hdr"), F.col("hkind")), ignorenulls=True).over(upto))
+    content = ~F.col("hdr") & ~F.col("skipped") & F.col("section").isin("param", "attr")
+    indent = F.length("line") - F.length(F.regexp_replace("line", "^ +", ""))
+    s4 = (s3.withColumn("content", content).withColumn("colon", F.col("line").contains(":"))
+          .withColumn("indent", indent))
+    s4 = s4.withColumn("first_indent", F.first(F.when(F.col("content") & F.col("colon"), F.col("indent")),
+                                               ignorenulls=True).over(whole))
+    s5 = s4.withColumn("is_key", F.col("content") & F.col("colon") & (F.col("indent") == F.col("first_indent")))
+    last_key = F.max(F.when(F.col("is_key"), F.col("line_no"))).over(before)
+    last_hdr = F.max(F.when(F.col("hdr"), F.col("line_no"))).over(before)
+    next_key = F.min(F.when(F.col("is_key"), F.col("line_no"))).over(after)
+    open_key = last_key.isNotNull() & (last_hdr.isNull() | (last_key > last_hdr))
+    owner = (F.when(F.col("is_key"), F.col("line_no"))
+             .when(F.col("content") & open_key, last_key)
+             .when(F.col("content") & F.col("colon"), next_key))
+    part = F.when(F.col("is_key"), _strip(F.expr("substring(line, instr(line, ':') + 1)"))).otherwise(_strip(F.col("line")))
+    parts = s5.select("unit", "project", "line_no", "is_key", "section", "line", owner.alias("owner"), part.alias("part"))
+    keys = parts.where("is_key").select("unit", "project", F.col("line_no").alias("owner"), "section",
+                                        _strip(F.substring_index("line", ":", 1)).alias("name"))
+    vals = (parts.where(F.col("owner").isNotNull())
+            .groupBy("unit", "owner").agg(F.sort_array(F.collect_list(F.struct("line_no", "part"))).alias("ps")))
+    joined = F.regexp_replace(_strip(F.array_join(F.transform("ps", lambda x: x["part"]), " ")), r"\s*,\s*", ", ")
+    return (keys.join(vals, ["unit", "owner"])
+            .select("unit", "project", "section", F.col("owner").cast("int").alias("pos"), "name", joined.alias("descr")))

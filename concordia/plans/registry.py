@@ -618,3 +618,72 @@ def q_s8(spark, sf_dir):
     recs = ST.read_records(spark, path)
     return recs.select(F.col("item_id").cast("long").alias("item_id"), "info",
                        F.regexp_extract("info", r"^([A-Za-z]+)", 1).alias("lib"))
+
+
+# ---- docstring section parsers (E4 numpy, E5 google) ---------------------------------------------------
+from concordia.functions import vocab as V  # noqa: E402
+
+_STRIP = "regexp_replace({x}, '^[ \\t\\r\\n\\f\\x0B]+|[ \\t\\r\\n\\f\\x0B]+$', '', 'g')"
+
+
+def _hkind_sql() -> str:
+    def cases(table, numpy):
+        out = []
+        for h, kind in table.items():
+            cond = f"starts_with(line, {O.q(h)})" + (" AND NOT contains(line, ':')" if numpy and h == "return" else "")
+            out.append(f"WHEN {cond} THEN '{kind or 'none'}'")
+        return "CASE " + " ".join(out) + " END"
+    return (f"CASE WHEN flag IN ('Parameters', 'Parameters:') THEN ({cases(V.NUMPY_HEADERS, True)}) "
+            f"WHEN flag = 'Args:' THEN ({cases(V.GOOGLE_HEADERS, False)}) END")
+
+
+_W = "PARTITION BY unit ORDER BY line_no"
+_SECTIONS_SQL = f"""WITH {duckdb_ctes('fx_docs')},
+ln AS (SELECT unit, project, flag, CAST(i AS INTEGER) AS line_no, regexp_replace(parts[i], '[ \\t\\r\\f\\x0B]+$', '') AS line
+       FROM (SELECT unit, project, flag, parts, unnest(generate_series(1, len(parts))) AS i
+             FROM (SELECT unit, project, flag, string_split(docstring, chr(10)) AS parts FROM fx_docs))),
+h AS (SELECT *, {_hkind_sql()} AS hkind FROM ln),
+h2 AS (SELECT *, CASE WHEN flag IN ('Parameters', 'Parameters:') THEN hkind IS NOT NULL
+                      ELSE hkind IS NOT NULL AND ({' OR '.join(f"starts_with(line, {O.q(x)})" for x in V.GOOGLE_SKIP_NEXT)}) END AS hskip FROM h),
+s AS (SELECT *, ((line_no - 1) - coalesce(max(CASE WHEN NOT hskip THEN line_no END)
+        OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 2 = 1 AS skipped FROM h2),
+s2 AS (SELECT *, hkind IS NOT NULL AND NOT skipped AS hdr FROM s),
+s3 AS (SELECT *, last_value(CASE WHEN hdr THEN hkind END IGNORE NULLS)
+        OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM s2),
+s4 AS (SELECT *, NOT hdr AND NOT skipped AND coalesce(section IN ('param', 'attr'), false) AS content,
+        contains(line, ':') AS colon, length(line) - length(ltrim(line, ' ')) AS indent FROM s3),
+s5 AS (SELECT *, first_value(CASE WHEN content AND colon THEN indent END IGNORE NULLS)
+        OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_indent FROM s4),
+s6 AS (SELECT *, content AND colon AND indent = first_indent AS is_key FROM s5),
+s7 AS (SELECT *,
+        max(CASE WHEN is_key THEN line_no END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_key,
+        max(CASE WHEN hdr THEN line_no END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_hdr,
+        min(CASE WHEN is_key THEN line_no END) OVER ({_W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_key FROM s6),
+pt AS (SELECT unit, project, flag, section, line_no, line, is_key,
+        CASE WHEN is_key THEN line_no
+             WHEN content AND last_key IS NOT NULL AND (last_hdr IS NULL OR last_key > last_hdr) THEN last_key
+             WHEN content AND colon THEN next_key END AS owner,
+        CASE WHEN is_key THEN {_STRIP.format(x="substr(line, strpos(line, ':') + 1)")} ELSE {_STRIP.format(x="line")} END AS part
+       FROM s7),
+kv AS (SELECT unit, owner, regexp_replace({_STRIP.format(x="string_agg(part, ' ' ORDER BY line_no)")}, '\\s*,\\s*', ', ', 'g') AS descr
+       FROM pt WHERE owner IS NOT NULL GROUP BY ALL),
+sec AS (SELECT k.unit, k.project, k.flag, k.section, CAST(k.line_no AS INTEGER) AS pos,
+          {_STRIP.format(x="split_part(k.line, ':', 1)")} AS name, v.descr
+        FROM pt k JOIN kv v ON v.unit = k.unit AND v.owner = k.line_no WHERE k.is_key)
+"""
+
+
+def _sections(spark, sf_dir, flags):
+    docs = fixture(spark, sf_dir, "fx_docs").where(F.col("flag").isin(*flags))
+    lines = S.scan_lines(docs.select("unit", "project", "flag", F.col("docstring").alias("text")), ["unit", "project", "flag"])
+    return E.parse_sections(lines)
+
+
+@register("e4_sections_numpy", _SECTIONS_SQL + "SELECT unit, project, section, pos, name, descr FROM sec WHERE flag IN ('Parameters', 'Parameters:')")
+def q_e4(spark, sf_dir):
+    return _sections(spark, sf_dir, ["Parameters", "Parameters:"])
+
+
+@register("e5_sections_google", _SECTIONS_SQL + "SELECT unit, project, section, pos, name, descr FROM sec WHERE flag = 'Args:'")
+def q_e5(spark, sf_dir):
+    return _sections(spark, sf_dir, ["Args:"])

@@ -219,3 +219,47 @@ SELECT doc_id,
        CASE WHEN toxic = 0 THEN 'True' ELSE 'False' END AS oracle
 FROM {labels}
 """
+
+# doc_style: docstring dialect per project (half numpy 'Parameters', half google 'Args:').
+FIXTURE_SQL["doc_style"] = """
+SELECT DISTINCT p_type AS project,
+  CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'PROMO') THEN 'Parameters' ELSE 'Args:' END AS flag
+FROM {part}
+"""
+
+# fx_docs: one docstring per part in its project's dialect; the numpy form uses underlined
+# headers, the google form indented keys; both carry a Returns section whose keyed line
+# must be ignored, and every 4th part documents ``size`` again as an attribute.
+FIXTURE_SQL["fx_docs"] = """
+WITH p AS (
+  SELECT p.p_partkey AS unit, p.p_type AS project, s.flag, p.p_name, p.p_brand,
+         CAST(p.p_size AS STRING) AS sz, CAST(round(p.p_retailprice * 100) AS BIGINT) AS cents,
+         p.p_size % 3 = 0 AS mention, p.p_partkey % 4 = 0 AS dup
+  FROM {part} p JOIN {doc_style} s ON p.p_type = s.project)
+SELECT unit, project, flag, replace(CASE WHEN flag = 'Parameters' THEN
+     p_name || ' made by ' || p_brand || '.' || '~' || '~' || 'Parameters~----------'
+  || '~size : int, default=' || sz || '~    Number of items' || CASE WHEN mention THEN ' ,like `brand`' ELSE '' END
+  || '~brand : str~    Brand name ,bounded by lo.'
+  || '~    Note: brands repeat.'
+  || '~lo, hi : float~    Range limits of the size.'
+  || '~(a, b) : pair~    Two ends.'
+  || '~{{x,y}}_lim : float~    Axis limits.'
+  || '~**kw : dict~    Extra options.'
+  || '~~Attributes~----------~price_ : float~    Retail price ' || CAST(cents AS STRING) || ' cents.'
+  || CASE WHEN dup THEN '~size : int~    Size set from the `brand` table.' ELSE '' END
+  || '~~Returns~-------~out : ndarray~    The result.'
+  ELSE
+     p_name || ' made by ' || p_brand || '.~~Args:'
+  || '~    size: int, default=' || sz || '~        Number of items' || CASE WHEN mention THEN ' ,like `brand`' ELSE '' END
+  || '~    brand: str~        Brand name ,bounded by lo.'
+  || '~        Note: brands repeat.'
+  || '~    lo, hi: float~        Range limits of the size.'
+  || '~    (a, b): pair~        Two ends.'
+  || '~    {{x,y}}_lim: float~        Axis limits.'
+  || '~    **kw: dict~        Extra options.'
+  || '~Attributes:~    price_: float~        Retail price ' || CAST(cents AS STRING) || ' cents.'
+  || CASE WHEN dup THEN '~    size: int~        Size set from the `brand` table.' ELSE '' END
+  || '~Returns:~    out: ndarray~Raises:~    ValueError: on bad input.~    out2: never parsed'
+  END, '~', chr(10)) AS docstring
+FROM p
+"""
