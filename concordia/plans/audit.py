@@ -269,6 +269,19 @@ class AuditPlan:
         self.st
         return self._cache["found"]
 
+    def entailment(self) -> DataFrame:
+        """V2 for the crisp rules still standing, over every path of their unit."""
+        st, w_typed, plits, info = self.st, self.w_typed, self.plits, self.info
+        ready = st.where(F.col("reason").isNull() & (F.col("screen") == "crisp"))
+        checked = w_typed.join(ready.select(*KEYS), KEYS, "left_semi")
+        clauses = (ready.select(*KEYS, F.posexplode("dnf").alias("clause_id", "lits"))
+                   .select(*KEYS, F.col("clause_id").cast("int").alias("clause_id"), F.explode("lits").alias("signed"))
+                   .select(*KEYS, "clause_id", (F.abs("signed") - 1).alias("slot"), (F.col("signed") < 0).alias("negated")))
+        sat_neg = decide.jointly_satisfiable(decide.clause_literals(checked, clauses), decide.negated_path_scopes(plits))
+        pairs = (ready.select(*KEYS, "names").join(info.select("unit", "path_no", "kind", "pnames"), "unit")
+                 .select(*KEYS, "path_no", "kind", decide.covers(F.col("names"), F.col("pnames")).alias("covered")))
+        return decide.entails(sat_neg, pairs)
+
     def findings(self) -> DataFrame:
         """V7: every BAD rule with its text and an example path (the first path that
         raised for BAD_ERROR, else the first path whose result is false)."""

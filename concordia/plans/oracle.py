@@ -407,3 +407,52 @@ FROM allst a LEFT JOIN vd v USING (unit, rule_id)
 def audit_sql() -> str:
     """Oracle of the full audit (flagship): one row per rule."""
     return audit_with(AUDIT_FINAL)
+
+
+def candidate_sat_ctes(p: str, u: str, pairs: str) -> str:
+    """Candidate-point satisfiability CTEs ``{p}cand .. {p}clause`` over a literal union
+    ``u`` (keys unit, rule_id, clause_id, path_no, scope) and its ``pairs``."""
+    k = "unit, rule_id, clause_id, path_no, scope"
+    return f"""
+{p}cand AS (
+  SELECT DISTINCT {k}, var, sort, x, xs FROM (
+    SELECT {k}, var, sort, num + d AS x, NULL AS xs
+      FROM {u}, (VALUES (-0.000001::DOUBLE), (0.0::DOUBLE), (0.000001::DOUBLE)) e(d) WHERE sort = 'R'
+    UNION ALL SELECT {k}, var, sort, NULL, sv FROM {u} WHERE sort = 'S'
+    UNION ALL SELECT {k}, var, sort, NULL, chr(1) || 'fresh' FROM {u} WHERE sort = 'S'
+    UNION ALL SELECT {k}, var, sort, NULL, NULL FROM {u} WHERE sort = 'B')),
+{p}holds AS (
+  SELECT c.unit, c.rule_id, c.clause_id, c.path_no, c.scope, c.var, c.sort, c.x, c.xs,
+    bool_and(CASE
+      WHEN l.sort = 'B' THEN NOT l.falsum
+      WHEN l.sort = 'S' THEN (CASE l.rop WHEN '=' THEN c.xs = l.sv ELSE c.xs <> l.sv END)
+      ELSE (CASE l.rop WHEN '=' THEN c.x = l.num WHEN '!=' THEN c.x <> l.num WHEN '<' THEN c.x < l.num
+                       WHEN '<=' THEN c.x <= l.num WHEN '>' THEN c.x > l.num ELSE c.x >= l.num END) END) AS ok
+  FROM {p}cand c JOIN {u} l USING ({k}, var, sort) GROUP BY ALL),
+{p}grp AS (SELECT {k}, var, sort, bool_or(ok) AS ok FROM {p}holds GROUP BY ALL),
+{p}clause AS (
+  SELECT q.unit, q.rule_id, q.clause_id, q.path_no, q.scope, coalesce(bool_and(g.ok), true) AS ok
+  FROM {pairs} q LEFT JOIN {p}grp g USING ({k}) GROUP BY ALL)"""
+
+
+NEG_OP_SQL = ("CASE rop WHEN '=' THEN '!=' WHEN '!=' THEN '=' WHEN '<' THEN '>=' WHEN '>=' THEN '<' "
+              "WHEN '>' THEN '<=' WHEN '<=' THEN '>' END")
+
+ENTAILS_SQL = audit_with(f"""
+, nscope AS (SELECT unit, path_no, CAST(pos AS VARCHAR) AS scope, var, sort, {NEG_OP_SQL} AS rop, num, sv,
+                    sort = 'B' AS falsum FROM pl WHERE sort IN ('S', 'R', 'B')),
+crcl AS (SELECT c.unit, c.rule_id, c.clause_id FROM clauses c JOIN ready r USING (unit, rule_id) WHERE r.screen = 'crisp'),
+npairs AS (SELECT c.unit, c.rule_id, c.clause_id, s.path_no, s.scope FROM crcl c
+           JOIN (SELECT DISTINCT unit, path_no, scope FROM nscope) s USING (unit)),
+nu AS (SELECT q.unit, q.rule_id, q.clause_id, q.path_no, q.scope, l.var, l.sort, l.rop, l.num, l.sv, l.falsum
+       FROM npairs q JOIN clit l USING (unit, rule_id, clause_id) WHERE l.sort IN ('S', 'R', 'B')
+       UNION ALL
+       SELECT q.unit, q.rule_id, q.clause_id, q.path_no, q.scope, l.var, l.sort, l.rop, l.num, l.sv, l.falsum
+       FROM npairs q JOIN nscope l USING (unit, path_no, scope)),
+{candidate_sat_ctes('n', 'nu', 'npairs')},
+refuted AS (SELECT DISTINCT unit, rule_id, path_no FROM nclause WHERE ok)
+SELECT r.unit, r.rule_id, p.path_no,
+  CASE WHEN len(list_filter(r.names, lambda n: NOT list_contains(p.pnames, n))) > 0 THEN true
+       WHEN p.kind = 'error' THEN f.unit IS NOT NULL ELSE f.unit IS NULL END AS holds
+FROM ready r JOIN pinfo p USING (unit) LEFT JOIN refuted f USING (unit, rule_id, path_no)
+WHERE r.screen = 'crisp'""")

@@ -687,3 +687,8 @@ def q_e4(spark, sf_dir):
 @register("e5_sections_google", _SECTIONS_SQL + "SELECT unit, project, section, pos, name, descr FROM sec WHERE flag = 'Args:'")
 def q_e5(spark, sf_dir):
     return _sections(spark, sf_dir, ["Args:"])
+
+
+@register("v2_entails", O.ENTAILS_SQL)
+def q_entails(spark, sf_dir):
+    return _plan(spark, sf_dir).entailment()
