@@ -46,11 +46,11 @@ def screen_rules(rules: DataFrame, text: str = "text", **word_lists) -> DataFram
 
 
 def normalize_constants(text: Column) -> Column:
-    """None / True / False become quoted string constants, quoted or not."""
+    """None / True / False become quoted string constants, quoted or not (quotes around
+    them are dropped, then every occurrence is quoted: one pass, as the three words
+    never overlap)."""
     t = F.regexp_replace(text, QUOTED_CONSTANT_RE, "$1")
-    for word in ("None", "False", "True"):
-        t = F.regexp_replace(t, word, "'" + word + "'")
-    return t
+    return F.regexp_replace(t, "(None|False|True)", "'$1'")
 
 
 def has_call(norm: Column) -> Column:
@@ -65,7 +65,9 @@ def templated_expr(norm: Column) -> Column:
 
 
 def _extract_groups(norm: Column) -> Column:
-    call = has_call(norm)  # ``norm`` must be a staged column: it is referenced 9 times
+    """Literal matches of a (staged) normalised text: four group arrays zipped (codegen'd
+    regex extraction; a per-match lambda would run interpreted)."""
+    call = has_call(norm)
 
     def grp(i: int) -> Column:
         return F.when(call, F.regexp_extract_all(norm, F.lit(CALL_LITERAL_RE), i)).otherwise(

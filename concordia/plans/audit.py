@@ -34,6 +34,8 @@ def prepare_paths(paths: DataFrame, checkpoint: bool = True) -> tuple[DataFrame,
     """Phase A: ``info`` (unit, path_no, line, kind, pnames, err_names, path_error) and
     typed path literals."""
     parts = P.path_parts(paths)
+    if checkpoint:
+        parts = materialize(parts)
     lits = P.path_literals(parts)
     if checkpoint:
         lits = materialize(lits)
@@ -132,9 +134,11 @@ class AuditPlan:
         def build():
             crisp_keys = self.state.where(F.col("screen") == "crisp").select(*KEYS)
             c_lits = self.rlits.join(crisp_keys, KEYS, "left_semi")
-            return L.best_match(c_lits.select(*KEYS, "slot", "var", "op", "sval", "nval"),
-                                self.plits.select("unit", "path_no", "pos", "var", "op", "sval", "nval"),
-                                self.exempt_names)
+            m = L.best_match(c_lits.select(*KEYS, "slot", "var", "op", "sval", "nval"),
+                             self.plits.select("unit", "path_no", "pos", "var", "op", "sval", "nval"),
+                             self.exempt_names)
+            # read by the similarity fold, the source gate and the decision: cut it once
+            return materialize(m) if self.checkpoint else m
         return self._get("matches", build)
 
     @property
