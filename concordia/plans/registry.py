@@ -692,3 +692,93 @@ def q_e5(spark, sf_dir):
 @register("v2_entails", O.ENTAILS_SQL)
 def q_entails(spark, sf_dir):
     return _plan(spark, sf_dir).entailment()
+
+
+# ---- units from source files (E1-E3), file scan (S1) ------------------------------------------------------
+from concordia.operators import units as U  # noqa: E402
+
+
+def _structure(spark, sf_dir):
+    src = fixture(spark, sf_dir, "fx_sources").where(~F.element_at(F.split("path", "/"), -1).contains("{"))
+    lines = S.scan_lines(src, ["project", "path"], "content")
+    return U.code_structure(lines, fixture(spark, sf_dir, "doc_style"))
+
+
+_UNITS_SQL = f"""WITH {duckdb_ctes('fx_sources', 'doc_style')},
+src AS (SELECT * FROM fx_sources WHERE NOT contains(split_part(path, '/', -1), '{{')),
+ln AS (SELECT project, path, CAST(i AS INTEGER) AS line_no, regexp_replace(parts[i], '[ \\t\\r\\f\\x0B]+$', '') AS line
+       FROM (SELECT project, path, parts, unnest(generate_series(1, len(parts))) AS i
+             FROM (SELECT project, path, string_split(content, chr(10)) AS parts FROM src))),
+l0 AS (SELECT *, length(line) - length(ltrim(line, ' ')) AS indent, trim(line) = '' AS blank,
+         regexp_replace(regexp_extract(line, {O.q(U.HEADER_RE)}, 2), ' +', ' ', 'g') AS hkind,
+         regexp_extract(line, {O.q(U.HEADER_RE)}, 3) AS name,
+         (length(line) - length(regexp_replace(line, {O.q(U.TRIPLE_RE)}, '', 'g'))) / 3 AS tq FROM ln),
+l AS (SELECT *,
+        min(CASE WHEN NOT blank THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_nb,
+        min(CASE WHEN tq > 0 THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_tq
+      FROM l0),
+heads AS (SELECT * FROM l WHERE hkind <> ''),
+openers AS (SELECT path, line_no AS p_line, indent AS p_indent, hkind AS p_kind, name AS p_name FROM l
+            WHERE NOT blank AND regexp_matches(line, ':\\s*$')),
+par AS (SELECT h.path, h.line_no, max(o.p_line) AS p_line FROM heads h JOIN openers o
+          ON o.path = h.path AND o.p_line < h.line_no AND o.p_indent < h.indent GROUP BY ALL),
+h AS (SELECT hd.*, o.p_kind, o.p_name, s.line AS s_line, s.tq AS s_tq, s.next_tq AS s_next_tq,
+        coalesce(regexp_matches(trim(s.line), '^[rRuU]?(""\"|'''''')'), false) AS is_doc,
+        CASE WHEN s.tq >= 2 THEN hd.next_nb ELSE s.next_tq END AS doc_end
+      FROM heads hd LEFT JOIN par p ON p.path = hd.path AND p.line_no = hd.line_no
+      LEFT JOIN openers o ON o.path = p.path AND o.p_line = p.p_line
+      LEFT JOIN l s ON s.path = hd.path AND s.line_no = hd.next_nb),
+docs AS (SELECT h.path, h.line_no,
+           trim(regexp_replace(string_agg(ltrim(x.line), chr(10) ORDER BY x.line_no), '^[rRuU]?(""\"|'''''')|(""\"|'''''')$', '', 'g')) AS docstring
+         FROM h JOIN l x ON x.path = h.path AND x.line_no BETWEEN h.next_nb AND h.doc_end
+         WHERE h.is_doc AND h.doc_end IS NOT NULL GROUP BY ALL),
+st AS (SELECT h.project, h.path, h.line_no, h.hkind, h.name,
+         CASE WHEN h.hkind = 'class' THEN 'class' WHEN h.hkind = 'async def' THEN 'async'
+              WHEN h.p_kind = 'class' THEN 'member' ELSE 'function' END AS kind,
+         CASE WHEN h.p_kind = 'class' THEN h.p_name END AS parent, d.docstring, h.line, s.flag,
+         coalesce(contains(d.docstring, CASE WHEN s.flag = 'Parameters' THEN 'Parameters' || chr(10) || '-----' ELSE s.flag END), false) AS with_doc
+       FROM h LEFT JOIN docs d ON d.path = h.path AND d.line_no = h.line_no LEFT JOIN doc_style s ON s.project = h.project)
+"""
+
+
+@register("e1_extract_units", _UNITS_SQL + """SELECT project, path, line_no, kind, name, parent, with_doc,
+  CASE WHEN with_doc THEN docstring END AS docstring FROM st
+WHERE (kind IN ('class', 'function') AND with_doc) OR (kind = 'member' AND name <> '__init__')""")
+def q_e1(spark, sf_dir):
+    return U.extract_units(_structure(spark, sf_dir))
+
+
+@register("e2_unit_stats", _UNITS_SQL + """SELECT project,
+  CAST(count(*) FILTER (WHERE kind = 'class') AS INTEGER) AS class,
+  CAST(count(*) FILTER (WHERE kind = 'class' AND with_doc) AS INTEGER) AS class_with_doc,
+  CAST(count(*) FILTER (WHERE kind = 'member' AND name <> '__init__') AS INTEGER) AS member,
+  CAST(count(*) FILTER (WHERE kind = 'member' AND name <> '__init__' AND with_doc) AS INTEGER) AS member_with_doc,
+  CAST(count(*) FILTER (WHERE kind = 'function') AS INTEGER) AS function,
+  CAST(count(*) FILTER (WHERE kind = 'function' AND with_doc) AS INTEGER) AS function_with_doc
+FROM st GROUP BY project""")
+def q_e2(spark, sf_dir):
+    return U.unit_stats(_structure(spark, sf_dir))
+
+
+@register("e3_signature_params", _UNITS_SQL + """, sg AS (
+  SELECT project, path, CASE WHEN kind = 'member' THEN parent ELSE name END AS unit,
+    regexp_replace(regexp_replace(regexp_extract(line, '\\((.*)\\)', 1),
+      '\\([^()]*\\)|\\[[^\\[\\]]*\\]|\\{[^{}]*\\}', '', 'g'), '\\([^()]*\\)|\\[[^\\[\\]]*\\]|\\{[^{}]*\\}', '', 'g') AS args_text
+  FROM st WHERE kind = 'function' OR (kind = 'member' AND name = '__init__')),
+nm AS (SELECT project, path, unit,
+         list_filter(list_transform(string_split(args_text, ','), lambda x: regexp_extract(trim(x), '^([*]{0,2}[A-Za-z_][A-Za-z0-9_]*)', 1)),
+                     lambda n: n <> '' AND n <> 'self' AND NOT starts_with(n, '*')) AS names FROM sg)
+SELECT project, path, unit, CAST(k - 1 AS INTEGER) AS pos, names[k] AS name
+FROM (SELECT *, unnest(generate_series(1, len(names))) AS k FROM nm)""")
+def q_e3(spark, sf_dir):
+    return U.signature_params(_structure(spark, sf_dir))
+
+
+@register("s1_scan_sources", None)
+def q_s1(spark, sf_dir):
+    root = ST.scratch_path(spark, "sources")
+    src = fixture(spark, sf_dir, "fx_sources").select(
+        "project", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.py$", "").alias("fname"), "content")
+    # one file per source: a folder per (project, file name), the content as a single text value
+    src.repartition("project", "fname").write.partitionBy("project", "fname").text(root)
+    return ST.scan_sources(spark, root, "*.txt")
