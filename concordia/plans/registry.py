@@ -782,3 +782,43 @@ def q_s1(spark, sf_dir):
     # one file per source: a folder per (project, file name), the content as a single text value
     src.repartition("project", "fname").write.partitionBy("project", "fname").text(root)
     return ST.scan_sources(spark, root, "*.txt")
+
+
+@register("p4_decision_table", O.audit_with("""
+, shapes AS (SELECT l_orderkey AS unit, l_returnflag AS returnflag, l_linestatus AS linestatus,
+               CAST(l_quantity AS INTEGER) AS quantity, CAST(round(l_discount * 100) AS INTEGER) AS discount,
+               count(*) AS n_rows FROM lineitem GROUP BY ALL),
+ceff AS (SELECT unit, path_no, regexp_extract(replace(line, ' ', ''), '^(.*)->', 1) AS cond_text,
+           regexp_extract(replace(line, ' ', ''), '.*->(.*)$', 1) AS effect FROM pinfo),
+""" + O.literals_ctes("cl0", "ceff", ["unit", "path_no"], "cond_text", "pos") + """,
+cl AS (SELECT *, """ + O.typed_select() + """ FROM cl0),
+need AS (SELECT unit, path_no, count(*) AS n_cond FROM cl GROUP BY ALL),
+uv AS (SELECT unit, returnflag, linestatus, quantity, discount, 'returnflag' AS var, returnflag AS s_val, NULL::DOUBLE AS n_val FROM shapes
+       UNION ALL SELECT unit, returnflag, linestatus, quantity, discount, 'linestatus', linestatus, NULL FROM shapes
+       UNION ALL SELECT unit, returnflag, linestatus, quantity, discount, 'quantity', NULL, CAST(quantity AS DOUBLE) FROM shapes
+       UNION ALL SELECT unit, returnflag, linestatus, quantity, discount, 'discount', NULL, CAST(discount AS DOUBLE) FROM shapes),
+hit AS (SELECT u.unit, u.returnflag, u.linestatus, u.quantity, u.discount, c.path_no, count(*) AS n_hold
+        FROM uv u JOIN cl c ON c.unit = u.unit AND c.var = u.var
+        WHERE coalesce(CASE WHEN c.sort = 'S' THEN (CASE c.rop WHEN '=' THEN u.s_val = c.sv WHEN '!=' THEN u.s_val <> c.sv END)
+                            WHEN c.sort = 'R' THEN (CASE c.rop WHEN '=' THEN u.n_val = c.num WHEN '!=' THEN u.n_val <> c.num
+                                 WHEN '<' THEN u.n_val < c.num WHEN '<=' THEN u.n_val <= c.num
+                                 WHEN '>' THEN u.n_val > c.num WHEN '>=' THEN u.n_val >= c.num END) END, false)
+        GROUP BY ALL),
+firsthit AS (SELECT h.unit, h.returnflag, h.linestatus, h.quantity, h.discount, min(h.path_no) AS path_no
+             FROM hit h JOIN need n USING (unit, path_no) WHERE h.n_hold = n.n_cond GROUP BY ALL)
+SELECT s.unit, s.returnflag, s.linestatus, s.quantity, s.discount, s.n_rows, f.path_no, coalesce(e.effect, 'Unknown') AS effect
+FROM shapes s LEFT JOIN firsthit f USING (unit, returnflag, linestatus, quantity, discount)
+LEFT JOIN ceff e ON e.unit = f.unit AND e.path_no = f.path_no"""))
+def q_p4(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    rows = (li.groupBy(F.col("l_orderkey").alias("unit"), F.col("l_returnflag").alias("returnflag"),
+                       F.col("l_linestatus").alias("linestatus"), F.col("l_quantity").cast("int").alias("quantity"),
+                       F.round(F.col("l_discount") * 100).cast("int").alias("discount"))
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+    parts = P.path_parts(fixture(spark, sf_dir, "fx_paths")).withColumn("__nb", F.regexp_replace("line", " ", ""))
+    parts = parts.select("unit", "path_no",
+                         F.expr("substring(__nb, 1, length(__nb) - length(substring_index(__nb, '->', -1)) - 2)").alias("cond_text"),
+                         F.substring_index("__nb", "->", -1).alias("effect"))
+    cond = R.typed_literals(R.literals_from_text(parts, "cond_text", ["unit", "path_no"], "pos"))
+    return Tr.apply_decision_table(rows, parts, cond, {"returnflag": "returnflag", "linestatus": "linestatus"},
+                                   {"quantity": "quantity", "discount": "discount"})
