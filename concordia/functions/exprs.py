@@ -60,12 +60,17 @@ def py_round2(v: Column) -> Column:
     """Round a double in [0, 2) to 2 decimals exactly like Python's ``round(v, 2)``:
     half-even on the exact binary value (not on its shortest decimal spelling).
 
-    v * 2**62 is an exact integer for v >= 2**-10, so the midpoint test is done in exact
-    decimal arithmetic; below 0.001 the result is 0."""
-    k = F.floor(v * F.lit(100.0))
+    Fast path in doubles: unless v * 100 lies within 1e-9 of a midpoint k + 0.5, plain
+    rounding of v * 100 is already exact.  Near a midpoint the exact test runs: v * 2**62
+    is an exact integer for v >= 2**-10, compared with the midpoint in exact decimals.
+    Below 0.001 the result is 0."""
+    r = v * F.lit(100.0)
+    k = F.floor(r)
+    frac = r - k
     scaled = (v * F.lit(_TWO_62)).cast("long").cast("decimal(38,0)") * F.lit(100).cast("decimal(38,0)")
     midpoint = (k * 2 + 1).cast("decimal(38,0)") * F.lit(2 ** 61).cast("decimal(38,0)")
-    up = F.when(scaled > midpoint, True).when(scaled < midpoint, False).otherwise(k % 2 == 1)
+    exact_up = F.when(scaled > midpoint, True).when(scaled < midpoint, False).otherwise(k % 2 == 1)
+    up = F.when(F.abs(frac - F.lit(0.5)) > F.lit(1e-9), frac > F.lit(0.5)).otherwise(exact_up)
     rounded = (k + F.when(up, 1).otherwise(0)).cast("double") / F.lit(100.0)
     return F.when(v.isNull(), None).when(v < 0.001, F.lit(0.0)).otherwise(rounded)
 
