@@ -116,6 +116,14 @@ class AuditPlan:
     def plits(self) -> DataFrame:
         return self.path_stage[1]
 
+    @property
+    def path_summary(self) -> DataFrame:
+        """Rule-independent constraint summaries of every path scope (read twice)."""
+        def build():
+            ps = decide.path_summaries(decide.path_scopes(self.plits))
+            return materialize(ps) if self.checkpoint else ps
+        return self._get("path_summary", build)
+
     @property
     def rule_stage(self) -> tuple[DataFrame, DataFrame]:
         return self._get("rules", lambda: prepare_rules(self.rules, self.checkpoint))
@@ -230,7 +238,8 @@ class AuditPlan:
         clauses = (ready.select(*KEYS, F.posexplode("dnf").alias("clause_id", "lits"))
                    .select(*KEYS, F.col("clause_id").cast("int").alias("clause_id"), F.explode("lits").alias("signed"))
                    .select(*KEYS, "clause_id", (F.abs("signed") - 1).alias("slot"), (F.col("signed") < 0).alias("negated")))
-        sat = decide.jointly_satisfiable(decide.clause_literals(checked, clauses), decide.path_scopes(plits))
+        sat = decide.jointly_satisfiable(decide.clause_literals(checked, clauses), p_sum=self.path_summary,
+                                         materialize=materialize if self.checkpoint else None)
         sat_wide = sat.groupBy(*KEYS, "path_no").agg(
             F.bool_or(F.col("scope") == "full").alias("sat_full"),
             F.bool_or(F.col("scope") == "err").alias("sat_err"))
