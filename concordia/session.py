@@ -38,8 +38,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
-    local = tempfile.mkdtemp(prefix="concordia-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    local = tempfile.mkdtemp(prefix="concordia-ckpt-")  # only when the session names none (tests)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # noqa: BLE001 - a session may refuse runtime changes of core settings
+        pass
     spark.sparkContext.setCheckpointDir(local)
     return local
 
