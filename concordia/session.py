@@ -32,22 +32,24 @@ def build_session(master: str | None = None, app: str = "concordia",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; only when it is unset (local
+    """Return the checkpoint folder in use: the one already registered, else the shared
+    folder the session names in ``spark.checkpoint.dir``; only when it names none (local
     tests) a scratch folder is created and registered."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    sc = spark.sparkContext
+    registered = sc.getCheckpointDir()
+    if registered:
+        return registered
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        sc.setCheckpointDir(named)
+        return sc.getCheckpointDir() or named
     local = tempfile.mkdtemp(prefix="concordia-ckpt-")  # only when the session names none (tests)
     try:
         spark.conf.set("spark.checkpoint.dir", local)
     except Exception:  # noqa: BLE001 - a session may refuse runtime changes of core settings
         pass
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc.setCheckpointDir(local)
+    return sc.getCheckpointDir() or local
 
 
 def materialize(df, eager: bool = True):
