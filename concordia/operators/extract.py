@@ -48,7 +48,7 @@ def expand_comma_names(params: DataFrame, and_projects: Sequence[str] = AND_PROJ
     exploded = params.select("unit", "project", "section", "pos", "descr",
                              F.posexplode(aliases).alias("sub", "alias"))
     ranked = exploded.select("unit", "project", "section", F.col("alias").alias("name"), "descr",
-                             (F.col("pos") * SUB_BASE + F.col("sub")).alias("order"))
+                             (F.col("pos").cast("long") * SUB_BASE + F.col("sub")).alias("order"))
     return (ranked.groupBy("unit", "project", "section", "name")
             .agg(F.max_by("descr", "order").alias("descr"), F.min("order").alias("order")))
 

@@ -271,7 +271,7 @@ p AS (SELECT file,
         CASE WHEN line = 'BAD CONSTRAINT' THEN line ELSE regexp_extract(line, {O.q(S.COUNTER_RE)}, 1) END AS metric,
         CASE WHEN line = 'BAD CONSTRAINT' THEN NULL ELSE CAST(regexp_extract(line, {O.q(S.COUNTER_RE)}, 2) AS BIGINT) END AS value
       FROM fx_logs)
-SELECT file, metric, CAST(count(*) AS INTEGER) AS n_lines, sum(value) AS total FROM p WHERE metric <> '' GROUP BY ALL""")
+SELECT file, metric, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(value) AS BIGINT) AS total FROM p WHERE metric <> '' GROUP BY ALL""")
 def q_s9(spark, sf_dir):
     return S.parse_run_log(fixture(spark, sf_dir, "fx_logs"), "file")
 
