@@ -57,3 +57,25 @@ def test_error_path_contradicting_rule_is_not_a_hit(spark):
     out = run(spark, [(1, 1, "(strategy = 'uniform') -> (sample_weight != 'None')")], paths)
     # the raising path is the documented behaviour (result true), the other path is not covered
     assert out[1]["verdict"] == "CONSISTENT"
+
+
+def test_fuzzy_rule_without_a_satisfying_path_is_bad_fuzzy(spark):
+    # the right side names an existence word; only paths mentioning both names give results
+    paths = [(1, 1, "(strategy = 'y') -> \"(weight = 'existence_flag')\""),
+             (1, 2, "(strategy = 'x') -> \"(other = 1)\"")]
+    out = run(spark, [(1, 1, "(strategy = 'x') -> (weight = 'specified')")], paths)
+    assert out[1]["screen"] == "fuzzy"
+    assert out[1]["verdict"] == "BAD_FUZZY" and out[1]["n_results"] == 1
+
+
+def test_fuzzy_rule_with_a_satisfying_path_is_consistent(spark):
+    paths = [(1, 1, "(strategy = 'y') -> \"(weight = 'existence_flag')\""),
+             (1, 2, "(strategy = 'x') -> \"(weight = 'existence_flag')\"")]
+    out = run(spark, [(1, 1, "(strategy = 'x') -> (weight = 'specified')")], paths)
+    assert out[1]["verdict"] == "CONSISTENT" and out[1]["n_true"] == 1
+
+
+def test_fuzzy_word_only_on_the_left_is_quarantined(spark):
+    paths = [(1, 1, "(a = 1) -> \"(b = 1)\"")]
+    out = run(spark, [(1, 1, "(a = 'ignore') -> (b = 1)")], paths)
+    assert out[1]["reason"] == "quarantine:fuzzy_word_left_only"
