@@ -6,11 +6,10 @@ universal hash minima give 32 bands of four; classes that share a band's key are
 enough of the signature and are then confirmed on the full sets, recomputed from the texts.
 
 Within a key all members are first held against the smallest one (a star, linear in the
-members). Where that leaves a key with several components, members of different components
-are compared: in keys of up to 32 members pair by pair; the members of larger keys meet by
-prefix filtering, which is exact: in one order of shingles, rarest first, two sets of
-similarity 0.75 share one of their first n - ceil(0.75 n) + 1 shingles. So no key emits all
-its pairs, and no link between different texts is lost that would join two components.
+members). Keys that still hold several components are gone through in cells: up to 256
+members at once, larger keys in blocks, those outside the key's largest component against
+all. A cell compares signatures as arrays, then full sets, and emits only links that join
+components, so no pairs are emitted as rows and no link that would join two is lost.
 
 Defined cases: a null or word-less text has an empty set and is linked with nothing; fewer
 words than five are one shingle; rows of one doc_id are one document (one node); a row with
@@ -26,7 +25,6 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from concordia.llm.common import as_bytes, binary_array, byte_slices, list_array, mix64, ship, stage
 from concordia.llm.components import components
@@ -35,7 +33,7 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 AGREE = 72  # of 128: 4.9 standard deviations below the mean at similarity 0.75
-MEMBERS = 32
+MEMBERS = 256
 PER_CELL = 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -195,30 +193,100 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .repartition("a", "part").sortWithinPartitions("a", "part", "is_b").mapInArrow(run, "a long, b long").distinct())
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs among ``members`` (node, root) of different roots, by prefix filtering."""
+def _across(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join different roots inside cells (key, i, j, node, root, side).
+    Members of side 0 are held against those of side 1, or against each other where the
+    cell has no side 1: signatures first, then full sets, and a pair only while its ends are
+    not yet joined, so that a cell emits fewer links than it has members."""
+
+    def joined(sets: list[np.ndarray], node: list[int], root: list[int], side: list[int]) -> Iterator[tuple[int, int]]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        sig = (minima(np.concatenate(sets), sizes) & np.uint32(255)).astype(np.uint8)
+        kind = np.array(side)
+        left = np.flatnonzero(kind == 0)
+        right = np.flatnonzero(kind == 1)
+        if not len(left):
+            return
+        alone = not len(right)
+        right = left if alone else right
+        agree = np.stack([(sig[i] == sig[right]).sum(axis=1) for i in left])
+        x, y = np.nonzero(agree >= AGREE)
+        i, j = left[x], right[y]
+        near = 100 * np.minimum(sizes[i], sizes[j]) >= 75 * np.maximum(sizes[i], sizes[j])
+        if alone:
+            near &= i < j
+        for k in np.flatnonzero(near)[np.argsort(-agree[x, y][near], kind="stable")].tolist():
+            a, b = int(i[k]), int(j[k])
+            if (ra := find(root[a])) == (rb := find(root[b])):
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                parent[ra] = rb
+                yield node[a], node[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, cell, held = WordHashes(), None, ([], [], [], [])
+
+        def flush() -> pa.RecordBatch | None:
+            found = list(joined(*held)) if held[0] else []
+            for h in held:
+                h.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
+                                               pa.array([y for _, y in found], pa.int64())], ["a", "b"]) if found else None
+
         for batch in batches:
-            lengths = pc.binary_length(batch.column(2).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
-            for at, to in byte_slices(lengths + 1, 1 << 20):
-                sets, sizes = shingle_sets(as_bytes(batch.column(2)[at:to]), cache)
-                node, root = (batch.column(k)[at:to].to_numpy() for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, sizes)), pa.array(np.repeat(root, sizes)),
-                                                  pa.array(np.repeat(sizes, sizes)), pa.array(sets.view(np.int64))],
-                                                 ["node", "root", "n", "shingle"])
-
-    rows = stage(members.join(texts, "node").select("node", "root", "text")
-                 .mapInArrow(run, "node long, root long, n long, shingle long"), "prefixes")
-    seen = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("node", "n").orderBy("df", "shingle"))
-    first = (rows.join(seen, "shingle").withColumn("rank", rank)
-             .where("rank <= n - ceil(0.75 * n) + 1 and df > 1").select("node", "root", "n", "shingle"))
-    x, y = first.alias("x"), first.alias("y")
-    return (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node"))
-                   & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= 75 * F.greatest("x.n", "y.n")))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+            lengths = pc.binary_length(batch.column(6).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
+            for at, to in byte_slices(lengths + 1, 2 << 20):
+                part = batch.slice(at, to - at)
+                key, i, j, node, root, side = (part.column(k).to_pylist() for k in range(6))
+                sets, sizes = shingle_sets(as_bytes(part.column(6)), cache)
+                for k, s in enumerate(np.split(sets, np.cumsum(sizes)[:-1])):
+                    if (key[k], i[k], j[k]) != cell:
+                        if (out := flush()) is not None:
+                            yield out
+                        cell = (key[k], i[k], j[k])
+                    for h, x in zip(held, (s, node[k], root[k], side[k])):
+                        h.append(x)
+        if (out := flush()) is not None:
+            yield out
+
+    where = ["key", "i", "j"]
+    return (cells.join(texts, "node").select(*where, "node", "root", "side", "text")
+            .repartition(*where).sortWithinPartitions(*where).mapInArrow(run, "a long, b long").distinct())
+
+
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, members, node, root) of the keys that hold several roots; keys of the
+    same members count once, and a pair has been held against its head already."""
+    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("y")]
+    keys = (placed.where("members > 2").groupBy("key", "members").agg(F.min("root").alias("low"), F.max("root").alias("high"), *same)
+            .where("low <> high").groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    return placed.join(keys, "key").select("key", "members", "node", "root")
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """Cells of large keys: blocks of the members outside a key's commonest root, each
+    against blocks of all its members."""
+    main = (rest.groupBy("key", "members", "root").agg(F.count("*").alias("n"))
+            .groupBy("key", "members").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most")))
+    main = main.select("key", "main", F.ceil((F.col("members") - F.col("most")) / MEMBERS).cast("int").alias("ni"),
+                       F.ceil(F.col("members") / MEMBERS).cast("int").alias("nj"))
+    at = rest.join(main, "key")
+    one = (at.where("root <> main").withColumn("i", F.pmod(F.xxhash64("node"), F.col("ni")).cast("int"))
+           .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("side", F.lit(0)))
+    all_ = (at.withColumn("j", F.pmod(F.xxhash64("node", "key"), F.col("nj")).cast("int"))
+            .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("side", F.lit(1)))
+    cols = ["key", "i", "j", "node", "root", "side"]
+    return one.select(cols).union(all_.select(cols))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,26 +302,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bands = sigs.select("node", F.explode("bands").alias("key")).distinct()
     heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1")
     shared = stage(bands.join(heads, "key"), "bands")
-    stars = stage(_agreeing(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(),
-                            sigs), "stars")
-    links = stage(_confirmed(stars, texts), "links")
+    pairs = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    links = stage(_confirmed(stage(_agreeing(pairs, sigs), "stars"), texts), "links")
     roots = components(links)
 
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = (placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                 .where("low <> high").select("key"))
-    rest = stage(placed.join(open_keys, "key").select("key", "node", "root", "members"), "open")
-    if not rest.isEmpty():
-        small, large = rest.where(F.col("members") <= MEMBERS), rest.where(F.col("members") > MEMBERS)
-        x, y = small.alias("x"), small.alias("y")
-        pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                        & (F.col("x.root") != F.col("y.root")))
-                 .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-        if not large.isEmpty():
-            pairs = pairs.union(_prefix_pairs(large.select("node", "root").distinct(), texts)).distinct()
-        more = stage(_confirmed(stage(_agreeing(pairs.join(stars, ["a", "b"], "left_anti"), sigs), "pairs"), texts), "links")
+    for large in (False, True):  # small keys first: what they join closes most of the large ones
+        rest = stage(_open(shared, roots).where(F.col("members") > MEMBERS if large else F.col("members") <= MEMBERS), "open")
+        if rest.isEmpty():
+            continue
+        zero = F.lit(0)
+        cells = _blocks(rest) if large else rest.select("key", zero.alias("i"), zero.alias("j"), "node", "root", zero.alias("side"))
+        more = stage(_across(cells, texts), "links")
         if not more.isEmpty():
-            roots = components(links.union(more))
+            links = stage(links.union(more), "links")
+            roots = components(links)
 
     by_class = classes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("class_root"))
     return (sets.select("doc_id", "n_shingles", "hi", "lo").join(by_class, ["hi", "lo"], "left")

@@ -70,8 +70,8 @@ def test_against_all_pairs(spark, tmp_path):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_large_keys_by_prefix(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(minhash, "MEMBERS", 1)
+def test_large_keys_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(minhash, "MEMBERS", 3)
     rows = corpus(6)
     write(spark, tmp_path, rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op5_minhash(spark, str(tmp_path)).collect()} == brute(rows)
