@@ -26,6 +26,7 @@ DIMS = ("size", "tokens", "rows")
 WEIGHTS = np.array([8.0, 1.0, 1.0])
 KEY = ("h", "text_crc32", "size")
 ROWS_A_CELL = 8192
+TOLERANCE = 0.001
 
 
 def pack(items: np.ndarray, shards: int) -> np.ndarray:
@@ -37,6 +38,16 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     for i in np.argsort(-items[:, 0], kind="stable"):
         out[i] = int(np.argmax(residual @ (items[i] * WEIGHTS)))
         residual[out[i]] -= items[i]
+    for _ in range(len(items)):  # then even out the law's dimension, from the fullest shard to the emptiest
+        full, empty = int(np.argmin(residual[:, 0])), int(np.argmax(residual[:, 0]))
+        gap = residual[empty, 0] - residual[full, 0]
+        mine = np.flatnonzero((out == full) & (items[:, 0] > 0) & (items[:, 0] < gap))
+        if not len(mine) or gap < TOLERANCE / shards:
+            break
+        i = mine[np.argmin(np.abs(items[mine, 0] - gap / 2))]
+        out[i] = empty
+        residual[full] += items[i]
+        residual[empty] -= items[i]
     return out
 
 
