@@ -44,7 +44,10 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
         mine = np.flatnonzero((out == full) & (items[:, 0] > 0) & (items[:, 0] < gap))
         if not len(mine) or gap < TOLERANCE / shards:
             break
-        i = mine[np.argmin(np.abs(items[mine, 0] - gap / 2))]
+        after = ((residual[full] + items[mine]) ** 2 + (residual[empty] - items[mine]) ** 2) @ WEIGHTS
+        if after.min() >= (residual[full] ** 2 + residual[empty] ** 2) @ WEIGHTS:
+            break
+        i = mine[np.argmin(after)]
         out[i] = empty
         residual[full] += items[i]
         residual[empty] -= items[i]
