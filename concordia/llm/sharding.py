@@ -23,7 +23,7 @@ from concordia.llm.common import stage
 FINE = 1024
 BUNDLES = 4096
 DIMS = ("size", "tokens", "rows")
-WEIGHTS = np.array([8.0, 1.0, 1.0])
+WEIGHTS = np.array([4.0, 2.0, 1.0])
 KEY = ("h", "text_crc32", "size")
 ROWS_A_CELL = 8192
 TOLERANCE = 0.001
@@ -38,16 +38,17 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     for i in np.argsort(-items[:, 0], kind="stable"):
         out[i] = int(np.argmax(residual @ (items[i] * WEIGHTS)))
         residual[out[i]] -= items[i]
-    for _ in range(len(items)):  # then even out the law's dimension, from the fullest shard to the emptiest
-        full, empty = int(np.argmin(residual[:, 0])), int(np.argmax(residual[:, 0]))
-        gap = residual[empty, 0] - residual[full, 0]
-        mine = np.flatnonzero((out == full) & (items[:, 0] > 0) & (items[:, 0] < gap))
-        if not len(mine) or gap < TOLERANCE / shards:
+    for _ in range(4 * len(items)):  # then move items where that evens out the residuals
+        for d in range(items.shape[1]):
+            full, empty = int(np.argmin(residual[:, d])), int(np.argmax(residual[:, d]))
+            mine = np.flatnonzero(out == full)
+            gain = ((residual[full] ** 2 + residual[empty] ** 2) - (residual[full] + items[mine]) ** 2
+                    - (residual[empty] - items[mine]) ** 2) @ WEIGHTS
+            if len(mine) and gain.max() > TOLERANCE ** 2 / shards ** 2:
+                break
+        else:
             break
-        after = ((residual[full] + items[mine]) ** 2 + (residual[empty] - items[mine]) ** 2) @ WEIGHTS
-        if after.min() >= (residual[full] ** 2 + residual[empty] ** 2) @ WEIGHTS:
-            break
-        i = mine[np.argmin(after)]
+        i = mine[np.argmax(gain)]
         out[i] = empty
         residual[full] += items[i]
         residual[empty] -= items[i]
