@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.llm import bpe
+from concordia.llm.common import crc_mod
+from concordia.llm.langid import identify
 from concordia.llm.minhash import near_duplicates
 from concordia.llm.sharding import shard
 from concordia.sources.tables import table
@@ -32,6 +34,15 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from three quarters of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    found = identify(docs.select("doc_id", "text"), docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                        F.col("language.score").alias("score"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards of near equal bytes (and tokens, and rows)."""
     return shard(table(spark, sf_dir, "documents"), 16).select(
@@ -42,6 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_minhash": op5_minhash,
+    "op8_langid": op8_langid,
     "op10_sharding": op10_sharding,
 }
 
