@@ -14,6 +14,7 @@ from concordia.llm.common import crc_mod
 from concordia.llm.langid import identify
 from concordia.llm.minhash import near_duplicates
 from concordia.llm.sharding import shard
+from concordia.llm.suffix import remove_repeats
 from concordia.sources.tables import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +35,13 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that 50-byte strings of earlier documents cover."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from three quarters of the documents."""
     docs = table(spark, sf_dir, "documents")
@@ -53,6 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_minhash": op5_minhash,
+    "op6_suffix": op6_suffix,
     "op8_langid": op8_langid,
     "op10_sharding": op10_sharding,
 }
