@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from concordia.llm import bpe
 from concordia.llm.common import crc_mod
+from concordia.llm.decontam import contaminated
 from concordia.llm.langid import identify
 from concordia.llm.minhash import near_duplicates
 from concordia.llm.sharding import shard
@@ -30,6 +31,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold: a row for each document and item, with the window
+    of highest similarity."""
+    found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("matches") > 0).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -60,6 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_decontaminate": op4_decontaminate,
     "op5_minhash": op5_minhash,
     "op6_suffix": op6_suffix,
     "op8_langid": op8_langid,
