@@ -12,7 +12,7 @@ reads the whole text: blocks of 64 words yield transfer matrices that compose as
 so long texts cost no more a word than short ones.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; without a labelled
-row every text is; ties go to the first language in order; extra columns stay, and a column
+row other texts get a null language; ties go to the first language in order; extra columns stay, and a column
 of the result's name is replaced; an empty table gives an empty table."""
 from __future__ import annotations
 
@@ -319,7 +319,8 @@ def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text:
             out = []
             for at, to_ in byte_slices(sizes + 1, 2 << 20):
                 texts = as_texts(batch[at:to_])
-                out += predict_texts(texts, model, words, table) if model.langs else [("und", 0.0)] * len(texts)
+                out += predict_texts(texts, model, words, table) if model.langs else [
+                    (None if any(map(str.isalpha, t)) else "und", 0.0) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()),
                                               pa.array([y for _, y in out], pa.float64())], ["lang", "score"])
 
