@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from concordia.llm import bpe
 from concordia.llm.common import crc_mod
 from concordia.llm.decontam import contaminated
+from concordia.llm.embed import near_vectors
 from concordia.llm.langid import identify
 from concordia.llm.minhash import near_duplicates
 from concordia.llm.sharding import shard
@@ -59,6 +60,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("language.score").alias("score"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings of equal labels."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards of near equal bytes (and tokens, and rows)."""
     return shard(table(spark, sf_dir, "documents"), 16).select(
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_suffix": op6_suffix,
     "op8_langid": op8_langid,
+    "op9_embeddings": op9_embeddings,
     "op10_sharding": op10_sharding,
 }
 
