@@ -15,6 +15,7 @@ from concordia.llm.decontam import contaminated
 from concordia.llm.embed import near_vectors
 from concordia.llm.langid import identify
 from concordia.llm.minhash import near_duplicates
+from concordia.llm.pages import extract
 from concordia.llm.sharding import shard
 from concordia.llm.suffix import remove_repeats
 from concordia.sources.tables import table
@@ -32,6 +33,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold: a row for each document and item, with the window
     of highest similarity."""
@@ -74,6 +80,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_pages": op3_pages,
     "op4_decontaminate": op4_decontaminate,
     "op5_minhash": op5_minhash,
     "op6_suffix": op6_suffix,
