@@ -324,12 +324,15 @@ def training_page(rng: np.random.Generator) -> str:
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]
     chance = lambda p: rng.random() < p
 
+    letters = np.array(list("abcdefghiklmnoprstuvéäñ"))
+    known = ["".join(letters[rng.integers(0, len(letters), n)]) for n in rng.integers(1, 9, 60)]
+    known += [w + mark for w in known[:20] for mark in ",."]
+
     def word() -> str:
-        return "".join(pick(*"abcdefghiklmnoprstuvéäñ") for _ in range(int(rng.integers(1, 9))))
+        return known[int(rng.integers(60))]
 
     def words(a: int, b: int) -> str:
-        out = [word() + pick("", "", "", "", ",", ".") for _ in range(int(rng.integers(a, b)))]
-        return " ".join(out).capitalize() + pick(".", "")
+        return " ".join([known[i] for i in rng.integers(0, len(known), int(rng.integers(a, b)))]).capitalize() + pick(".", "")
 
     def el(tag: str, y: str, body: str, *names: str) -> str:
         attr = ""
@@ -338,7 +341,7 @@ def training_page(rng: np.random.Generator) -> str:
         return f'<{tag}{attr} data-y="{y}">{body}</{tag}>'
 
     def para(y: str, a: int = 4, b: int = 60) -> str:
-        body = words(1, 5) if chance(0.2) else words(a, b)
+        body = words(1, 5) if chance(0.2) else words(a, b * (int(250 ** rng.random()) if y == "I" and chance(0.1) else 1))
         if chance(0.1):
             return f'<p data-y="{y}"><b>{body}<br>'  # a heading of sorts, left open
         if chance(0.3):
@@ -424,7 +427,7 @@ def training_page(rng: np.random.Generator) -> str:
             f'<script data-y="C">var t="</p>";</script></head><body data-y="{y}"><!-- x -->{inside}{end}')
 
 
-TRAINING_PAGES = 600
+TRAINING_PAGES = 800
 
 
 @lru_cache(maxsize=1)
