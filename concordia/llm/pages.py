@@ -52,6 +52,8 @@ HINTS = (
     ("comment", "comment comments disqus reply replies discussion respond reader".split()),
     ("share", "share social follow tools toolbar".split()),
 )
+TAG_HINTS = {"article": 0, "main": 0, "nav": 1, "menu": 1, "header": 2, "footer": 3, "aside": 4, "dialog": 6, "form": 7, "button": 7, "select": 7,
+             "fieldset": 7}
 WIDE = {w for _, ws in HINTS for w in ws if len(w) >= 6}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -181,9 +183,6 @@ class Page:
                 at = stop
 
 
-WIDTH = len(TAGS) + 1 + 3 * (len(HINTS) + 1) + 18
-
-
 def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all nodes of the pages, and each page's first node."""
     first = np.cumsum([0] + [len(p.tag) for p in pages])
@@ -195,6 +194,9 @@ def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     kind = {t: i for i, t in enumerate(TAGS)}
     tag = np.array([kind.get(t, len(TAGS)) for p in pages for t in p.tag])
     hint = np.array([h for p in pages for h in p.hint], float)
+    for i, t in enumerate(t for p in pages for t in p.tag):  # an element's name is a hint as well
+        if t in TAG_HINTS:
+            hint[i, TAG_HINTS[t]] += 1
     own = np.zeros(n)
     stops = np.zeros(n)
     for p, f in zip(pages, first):
@@ -236,7 +238,7 @@ def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
         np.minimum(depth, 30), index, ratio(index, sib), sib, kids, np.log1p(chars), np.log1p(own), ratio(link, chars), ratio(chars, tags),
         ratio(paras, tags), ratio(para_chars, chars), ratio(marks * 100, chars), ratio(chars, whole[:, 0]), ratio(chars, over[:, 0]),
         ratio(same[parent, tag], sib), ratio(link, whole[:, 1]), up_main, sub[:, 3]], 1)
-    return np.concatenate([np.eye(len(TAGS) + 1)[tag], hint, up, np.minimum(inner, 5), numbers], 1), first
+    return np.concatenate([np.eye(len(TAGS) + 1)[tag], np.eye(len(TAGS) + 1)[tag[parent]], hint, up, np.minimum(inner, 5), numbers], 1), first
 
 
 # ---- boosted trees ---------------------------------------------------------------------------------
