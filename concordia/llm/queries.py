@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.llm import bpe
+from concordia.llm.attention import score
 from concordia.llm.common import crc_mod
 from concordia.llm.decontam import contaminated
 from concordia.llm.embed import near_vectors
@@ -57,6 +58,11 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every whole text, learned from four fifths of the documents."""
+    return score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1, BPE_RANKS)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from three quarters of the documents."""
     docs = table(spark, sf_dir, "documents")
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_minhash": op5_minhash,
     "op6_suffix": op6_suffix,
+    "op7_attention": op7_attention,
     "op8_langid": op8_langid,
     "op9_embeddings": op9_embeddings,
     "op10_sharding": op10_sharding,
