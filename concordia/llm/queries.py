@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from concordia.llm import bpe
 from concordia.llm.attention import score
 from concordia.llm.common import crc_mod
+from concordia.llm.cotrain import classify
 from concordia.llm.decontam import contaminated
 from concordia.llm.embed import near_vectors
 from concordia.llm.langid import identify
@@ -24,6 +25,12 @@ from concordia.sources.tables import table
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from the labelled ones; kept where it is 0.5 at least."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", F.col("good").alias("score"), F.coalesce(F.col("good") >= 0.5, F.lit(True)).alias("kept"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text by rank, decode the ids, digest both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,6 +92,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_pages": op3_pages,
     "op4_decontaminate": op4_decontaminate,
