@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from concordia.session import ensure_checkpoint_dir
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ship(module: str) -> None:
     """Pickle a module's functions by value, so that executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
@@ -24,7 +27,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     read it back. Every reader then sees one fixed copy that outlives lost executors."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the plan runs once, so its shuffle files can go at once
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import as_bytes, byte_slices, list_array, ship
+from concordia.llm.common import as_bytes, byte_slices, ship
 from concordia.llm.minhash import LOWER, WordHashes
 
 LABELLED = 8000
@@ -188,14 +188,13 @@ def fit(labelled: tuple, pool: tuple) -> Model | None:
 
 def _features(rows: DataFrame, cols: tuple[str, str, str, str], n: int, label: str | None) -> tuple:
     """Features of about ``n`` rows, picked by a hash (all, where there are fewer)."""
-    @F.arrow_udf("struct<stats: array<double>, words: array<bigint>>")
+    @F.arrow_udf("struct<stats: binary, words: binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = WordHashes()
         for batch in batches:
             stats, words = text_stats(as_bytes(batch), cache)
-            flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
-            yield pa.StructArray.from_arrays([list_array(stats.ravel(), np.arange(1, len(batch) + 1) * STATS, pa.float64()),
-                                              list_array(flat.view(np.int64), np.cumsum([len(w) for w in words]), pa.int64())], ["stats", "words"])
+            yield pa.StructArray.from_arrays([pa.array([x.tobytes() for x in stats], pa.binary()),
+                                              pa.array([x.tobytes() for x in words], pa.binary())], ["stats", "words"])
 
     text, source, lang, chars = cols
     total = rows.count()
@@ -204,7 +203,7 @@ def _features(rows: DataFrame, cols: tuple[str, str, str, str], n: int, label: s
            .select(run(F.col(text)).alias("f"), F.col(source).cast("string"), F.col(lang).cast("string"), F.col(chars).cast("long"),
                    *([F.col(label)] if label else []), F.xxhash64(text, source, chars).alias("__at")).collect())
     got.sort(key=lambda r: (r["__at"], r[4] if label else 0))
-    return (np.array([r.f.stats for r in got]).reshape(-1, STATS), [np.array(r.f.words, np.int64).view(np.uint64) for r in got],
+    return (np.frombuffer(b"".join([r.f.stats for r in got])).reshape(-1, STATS), [np.frombuffer(r.f.words, np.uint64) for r in got],
             meta_ids([(r[1], r[2], r[3]) for r in got]), *([np.array([r[4] for r in got], float)] if label else []))
 
 

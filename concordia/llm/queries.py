@@ -67,7 +67,7 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every whole text, learned from four fifths of the documents."""
-    return score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1, BPE_RANKS)
+    return score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1, BPE_RANKS, public_tokenizers.PATTERN)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
