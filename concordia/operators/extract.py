@@ -17,7 +17,8 @@ SUB_BASE = 1000  # order key = pos * SUB_BASE + position inside an expanded name
 def clean_param_rows(params: DataFrame) -> DataFrame:
     """Names cut before a non-leading ``(``; names with ``*``, ``.``, ``[``, ``]`` or a
     blank without a comma dropped; ``\\s*,\\s*`` normalised to ``, `` in descriptions;
-    units without any parameter entry dropped; the last entry of a repeated name wins."""
+    units without any parameter entry dropped; a repeated name keeps its first place and
+    the text of its last entry."""
     paren = F.locate("(", F.col("name"))
     name = F.when(paren > 1, F.trim(F.expr("substring(name, 1, locate('(', name) - 1)"))).otherwise(F.col("name"))
     with_args = params.where(F.col("section") == "param").select("unit").distinct()
@@ -28,7 +29,7 @@ def clean_param_rows(params: DataFrame) -> DataFrame:
            | F.col("name").contains("]") | (F.col("name").contains(" ") & ~F.col("name").contains(",")))
     kept = cleaned.where(~bad)
     return (kept.groupBy("unit", "project", "section", "name")
-            .agg(F.max_by("descr", "pos").alias("descr"), F.max("pos").alias("pos")))
+            .agg(F.max_by("descr", "pos").alias("descr"), F.min("pos").alias("pos")))
 
 
 def expand_comma_names(params: DataFrame, and_projects: Sequence[str] = AND_PROJECTS) -> DataFrame:

@@ -14,34 +14,30 @@ from pyspark.sql import functions as F
 from concordia.operators.rules import literals_from_text, typed_literals
 
 
-_NP = "[^()]"
-BALANCED_DEPTH3_RE = ("^" + _NP + "*(?:\\((?:" + _NP + "|\\((?:" + _NP + "|\\(" + _NP + "*\\))*\\))*\\)"
-                      + _NP + "*)*$")
+def _balanced(text: Column) -> Column:
+    """Depth never below zero and zero at the end: an integer fold over the parentheses."""
+    marks = F.split(F.regexp_replace(text, "[^()]", ""), "")
+    end = F.aggregate(marks, F.lit(0), lambda d, c: F.when(d < 0, d).when(c == "(", d + 1).when(c == ")", d - 1).otherwise(d))
+    return end == 0
 
 
 def balance_parens(text: Column) -> Column:
     """C4: delete every ``)`` without an opener and every ``(`` without a closer.
 
-    Two linear passes with ``aggregate`` over the characters (JVM-side); texts proven
-    balanced by a regex, the common case, skip both passes."""
-    chars = F.split(text, "")
-    fwd = F.aggregate(
-        chars, F.struct(F.lit(0).alias("d"), F.lit("").alias("s")),
-        lambda acc, c: F.when(c == "(", F.struct((acc["d"] + 1).alias("d"), F.concat(acc["s"], c).alias("s")))
-        .when(c == ")", F.when(acc["d"] > 0, F.struct((acc["d"] - 1).alias("d"), F.concat(acc["s"], c).alias("s")))
-              .otherwise(acc))
-        .otherwise(F.struct(acc["d"].alias("d"), F.concat(acc["s"], c).alias("s"))),
-        lambda acc: acc["s"])
-    back = F.aggregate(
-        F.reverse(F.split(fwd, "")), F.struct(F.lit(0).alias("d"), F.lit("").alias("s")),
-        lambda acc, c: F.when(c == ")", F.struct((acc["d"] + 1).alias("d"), F.concat(c, acc["s"]).alias("s")))
-        .when(c == "(", F.when(acc["d"] > 0, F.struct((acc["d"] - 1).alias("d"), F.concat(c, acc["s"]).alias("s")))
-              .otherwise(acc))
-        .otherwise(F.struct(acc["d"].alias("d"), F.concat(c, acc["s"]).alias("s"))),
-        lambda acc: acc["s"])
-    # exact fast path: the regex only matches texts whose parentheses are balanced with
-    # nesting depth <= 3; anything else takes the two exact passes above
-    return F.when(text.rlike(BALANCED_DEPTH3_RE), text).otherwise(back)
+    Balanced texts of any length and depth, the common case, are recognised by an integer
+    fold. For the others two passes go over the runs between parentheses (no recursion, so
+    no text is too long): the first leaves out closers at depth zero, the second, from the
+    end, openers."""
+    runs = F.regexp_extract_all(text, F.lit("[^()]+|[()]"), 0)
+
+    def kept(items: Column, opener: str, closer: str) -> Column:
+        start = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("s"))
+        add = lambda acc, c, step: F.struct((acc["d"] + step).alias("d"), F.concat(acc["s"], F.array(c)).alias("s"))
+        return F.aggregate(items, start, lambda acc, c: F.when(c == opener, add(acc, c, 1)).when(
+            c == closer, F.when(acc["d"] > 0, add(acc, c, -1)).otherwise(acc)).otherwise(add(acc, c, 0)), lambda acc: acc["s"])
+
+    both = F.reverse(kept(F.reverse(kept(runs, "(", ")")), ")", "("))
+    return F.when(_balanced(text), text).otherwise(F.array_join(both, ""))
 
 
 def path_parts(paths: DataFrame, keys: Sequence[str] = ("unit", "path_no"), text: str = "text") -> DataFrame:

@@ -286,7 +286,7 @@ e6b AS (
     regexp_replace(descr, '\\s*,\\s*', ', ', 'g') AS descr
   FROM fx_params WHERE unit IN (SELECT unit FROM fx_params WHERE section = 'param')),
 e6 AS (
-  SELECT unit, project, section, name, arg_max(descr, pos) AS descr, max(pos) AS pos FROM e6b
+  SELECT unit, project, section, name, arg_max(descr, pos) AS descr, min(pos) AS pos FROM e6b
   WHERE NOT (contains(name, '*') OR contains(name, '.') OR contains(name, '[') OR contains(name, ']')
              OR (contains(name, ' ') AND NOT contains(name, ',')))
   GROUP BY ALL),
@@ -522,7 +522,7 @@ walk(unit, node, depth, nodes, labels) AS (
          ['r' || CAST(r_regionkey AS VARCHAR)], CAST([] AS INTEGER[]) FROM region
   UNION ALL
   SELECT w.unit, e.child, w.depth + 1, list_append(w.nodes, e.child), list_append(w.labels, e.label)
-  FROM walk w JOIN fx_edges e ON e.unit = w.unit AND e.parent = w.node WHERE w.depth < {Tr.MAX_DEPTH}),
+  FROM walk w JOIN fx_edges e ON e.unit = w.unit AND e.parent = w.node),
 paths AS (SELECT w.unit, w.node AS leaf, w.depth, w.nodes, w.labels FROM walk w
           WHERE NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.unit = w.unit AND e.parent = w.node))
 """
@@ -541,18 +541,18 @@ def q_p1(spark, sf_dir):
 
 
 _COND = ("CASE WHEN length(child) % 2 = 0 THEN '!' ELSE '' END || child || ' ' || "
-         "CASE length(child) % 3 WHEN 0 THEN '=' WHEN 1 THEN '<' ELSE '>=' END || ' 1'")
+         "CASE length(child) % 4 WHEN 0 THEN '=' WHEN 1 THEN '<' WHEN 2 THEN '==' ELSE '>=' END || ' 1'")
 
 
 @register("p2_flip_condition", f"""WITH {duckdb_ctes('fx_edges')},
 c AS (SELECT unit, parent, child, label, {_COND} AS cond FROM fx_edges),
 d AS (SELECT *, regexp_replace(cond, '^!+', '') AS body,
         ((label = 1 AND starts_with(cond, '!')) OR (label = 0 AND NOT starts_with(cond, '!'))) AS flip FROM c),
-e AS (SELECT *, regexp_extract(body, '(!=|<=|>=|=|<|>)', 1) AS op FROM d)
+e AS (SELECT *, regexp_extract(body, '(==|!=|<=|>=|=|<|>)', 1) AS op FROM d)
 SELECT unit, parent, child, cond,
   CASE WHEN regexp_matches(cond, '^-?[0-9]+(\\.[0-9]+)?$') THEN cond
-       WHEN flip AND op <> '' THEN regexp_replace(body, '(!=|<=|>=|=|<|>)',
-         CASE op WHEN '=' THEN '!=' WHEN '!=' THEN '=' WHEN '<' THEN '>=' WHEN '>=' THEN '<' WHEN '>' THEN '<=' ELSE '>' END, 'g')
+       WHEN flip AND op <> '' THEN regexp_replace(body, '(==|!=|<=|>=|=|<|>)',
+         CASE op WHEN '==' THEN '!=' WHEN '=' THEN '!=' WHEN '!=' THEN '=' WHEN '<' THEN '>=' WHEN '>=' THEN '<' WHEN '>' THEN '<=' ELSE '>' END, 'g')
        ELSE body END AS taken
 FROM e""")
 def q_p2(spark, sf_dir):

@@ -43,7 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
         return sc.getCheckpointDir() or named
-    local = tempfile.mkdtemp(prefix="concordia-ckpt-")  # only when the session names none (tests)
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    local = tempfile.mkdtemp(prefix="concordia-ckpt-")  # one machine, no folder named (tests)
     try:
         spark.conf.set("spark.checkpoint.dir", local)
     except Exception:  # noqa: BLE001 - a session may refuse runtime changes of core settings

@@ -72,5 +72,5 @@ def lookup_case(cases: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def attach_results(results: DataFrame, units: DataFrame, keys=("doc_id",)) -> DataFrame:
-    """Results placed only on units that exist (semi join, then the unit's columns)."""
-    return results.join(units, list(keys), "left_semi").join(units, list(keys))
+    """Results placed only on units that exist, with the unit's columns."""
+    return results.join(units, list(keys))
