@@ -2,8 +2,8 @@
 literal relations (C10) and quarantine (V8).
 
 A rule is a text such as ``(strategy = 'uniform') -> (sample_weight != 'None')``.
-Everything here is a per-row column expression except the skeleton analysis, which
-runs once per *distinct* skeleton (see ``concordia.functions.skeleton``).
+Everything here is a per-row column expression; the logic of a rule is read by
+``concordia.functions.logic``.
 """
 from __future__ import annotations
 
@@ -13,9 +13,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordia.functions import vocab
+from concordia.functions import logic, vocab
 from concordia.functions.exprs import CALL_DETECT_RE, CALL_LITERAL_RE, LITERAL_RE, W, is_number
-from concordia.functions.skeleton import analyse_skeleton
 
 QUOTED_CONSTANT_RE = "[\"'](None|False|True)[\"']"
 
@@ -58,7 +57,7 @@ def has_call(norm: Column) -> Column:
 
 
 def templated_expr(norm: Column) -> Column:
-    """The rule with every literal replaced by ``{}`` (input of the skeleton analysis);
+    """The rule with every literal replaced by ``{}`` (input of ``skeleton_columns``);
     ``norm`` is the staged output of ``normalize_constants``."""
     return (F.when(has_call(norm), F.regexp_replace(norm, CALL_LITERAL_RE, "{}"))
             .otherwise(F.regexp_replace(norm, LITERAL_RE, "{}")))
@@ -150,18 +149,26 @@ def symbols_expr(var: Column, sval: Column, chars: Sequence[str] = vocab.SYMBOL_
     return cond
 
 
-def rule_skeletons(rules: DataFrame, text: str = "text", keys: Sequence[str] = ("unit", "rule_id")) -> DataFrame:
-    """Skeleton analysis per rule: logic, n_slots, dnf, rpn, skeleton error.
+def skeleton_columns(templated: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Logic of every row of ``keys + (templated,)``: logic, n_slots, dnf, rpn, skeleton error.
+
+    A text of one literal is a condition whatever surrounds it, but has no similarity program."""
+    marks, prog, n = F.col("__marks"), F.col("__prog"), F.col("n_slots")
+    read = (templated.withColumn("__marks", logic.mark_text(F.col("templated")))
+            .withColumn("n_slots", F.coalesce(F.size(F.split("templated", r"\{\}")) - 1, F.lit(0)))
+            .withColumn("__prog", F.when(n > 1, logic.program(marks))))
+    fold = F.when(logic.readable_as_score(marks, prog), prog)
+    error = (F.when(F.col("templated").isNull(), "null").when(n == 0, "no_literal").when(n == 1, "single_literal")
+             .when(prog.isNull(), "skeleton").when(fold.isNull(), "fold"))
+    return read.select(*keys, logic.logic_text(marks).alias("logic"), "n_slots",
+                       F.when(n == 1, F.array(F.array(F.lit(1)))).otherwise(logic.clauses(prog)).alias("dnf"),
+                       fold.alias("rpn"), error.alias("skeleton_error"))
 
-    The Python helper sees only the distinct skeletons; the join back is planned by AQE
-    (a broadcast when the distinct set turns out small, a shuffle join otherwise)."""
+
+def rule_skeletons(rules: DataFrame, text: str = "text", keys: Sequence[str] = ("unit", "rule_id")) -> DataFrame:
+    """Logic of every rule: logic, n_slots, dnf, rpn, skeleton error. Row by row: no shuffle."""
     staged = rules.select(*keys, normalize_constants(F.col(text)).alias("__norm"))
-    with_t = staged.select(*keys, templated_expr(F.col("__norm")).alias("templated"))
-    shapes = (with_t.select("templated").distinct()
-              .select("templated", analyse_skeleton("templated").alias("sk")))
-    return (with_t.join(shapes, "templated")
-            .select(*keys, "sk.logic", "sk.n_slots", "sk.dnf", "sk.rpn",
-                    F.col("sk.error").alias("skeleton_error")))
+    return skeleton_columns(staged.select(*keys, templated_expr(F.col("__norm")).alias("templated")), keys)
 
 
 def rule_clauses(rules: DataFrame, text: str = "text", keys: Sequence[str] = ("unit", "rule_id")) -> DataFrame:

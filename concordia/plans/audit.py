@@ -5,7 +5,7 @@ the shared checkpoint folder instead of being recomputed per branch):
 
   A. paths --C5--> parts (one row per path) + typed literals (scopes 'full' / 'err')
   B. rules --C7--> screen; crisp rules are read whole, fuzzy rules by their left side;
-     C1 literals + C3 types, C2 skeletons (Python only on distinct skeletons), C8
+     C1 literals + C3 types, C2 logic, C8
   C. crisp: L3 best match inside the unit, L5 rewrite, L4 fold, L6 gate, source gate
   D. V1 satisfiable(clause AND path scope); per (rule, path) V3/V4/V5 -> result; V6
 
@@ -203,6 +203,7 @@ class AuditPlan:
             (_flag("symbols"), "skip:symbols"),
             (_flag("unit_path_error"), "quarantine:path_parse"),
             (~_flag("all_matched") & (F.col("n_slots") > 0), "quarantine:no_match"),
+            (F.coalesce(F.col("n_slots"), F.lit(0)) <= 1, "skip:single_literal"),
             (F.col("rpn").isNull(), "quarantine:similarity_fold"),
             (L.similarity_gate(F.col("similarity")), "skip:similarity_gate"),
             (~_flag("in_source"), "skip:names_absent"),

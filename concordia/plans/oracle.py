@@ -6,7 +6,7 @@ row for row.  Where the Spark plan is clever, the oracle is blunt on purpose:
 satisfiability is decided by testing candidate points (every constant of a variable,
 just above and below it, and a fresh string), not by interval summaries; the
 similarity fold is max-over-clauses of min-over-literals; the DNF is read from the
-skeleton's top-level items.  Oracle limits (documented): rule texts without call
+rule's top-level items.  Oracle limits (documented): rule texts without call
 values, skeletons whose groups are flat and single-operator, unnested negation.
 """
 from __future__ import annotations
@@ -281,7 +281,7 @@ st AS (
         WHEN coalesce(s.symbols, false) THEN 'skip:symbols'
         WHEN s.unit_path_error THEN 'quarantine:path_parse'
         WHEN NOT coalesce(s.all_matched, false) AND s.n_slots > 0 THEN 'quarantine:no_match'
-        WHEN s.n_slots <= 1 THEN 'quarantine:similarity_fold'
+        WHEN s.n_slots <= 1 THEN 'skip:single_literal'
         WHEN s.similarity > 0.85 AND s.similarity < 1 THEN 'skip:similarity_gate'
         WHEN NOT coalesce(i.in_source, false) THEN 'skip:names_absent'
         WHEN coalesce(s.w_var_var, false) THEN 'undecided:var_var' END)

@@ -94,14 +94,14 @@ def q_names_in_source(spark, sf_dir):
 
 # ---- similarity (L) ------------------------------------------------------------------------------------
 @register("l2_literal_similarity", O.audit_with(
-    "SELECT unit, rule_id, slot, CAST(first // 1048576 AS INTEGER) AS path_no, CAST(first % 1048576 AS INTEGER) AS pos, "
+    "SELECT unit, rule_id, slot, CAST(first // 1048576 AS BIGINT) AS path_no, CAST(first % 1048576 AS INTEGER) AS pos, "
     "CAST(round(sim * 100) AS INTEGER) AS sim100 FROM scored"))
 def q_literal_similarity(spark, sf_dir):
     plan = _plan(spark, sf_dir)
     crisp = plan.rlits.join(plan.state.where(F.col("screen") == "crisp").select(*KEYS), KEYS, "left_semi")
     crisp = crisp.where(~R.is_number(F.col("nval")))
     scored = L.score_candidates(crisp, L.unit_candidates(plan.plits))
-    return scored.select(*KEYS, "slot", F.expr(f"CAST(first div {L.POSITION_BASE} AS INT)").alias("path_no"),
+    return scored.select(*KEYS, "slot", F.expr(f"first div {L.POSITION_BASE}").alias("path_no"),
                          F.expr(f"CAST(first % {L.POSITION_BASE} AS INT)").alias("pos"),
                          F.round(F.col("sim") * 100).cast("int").alias("sim100"))
 
