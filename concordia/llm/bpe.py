@@ -42,6 +42,9 @@ LONG_FORMS = ("re", "ve", "ll")
 WINDOW = 1 << 20
 BLOCK = 64
 CACHE = 500_000
+TOGETHER = 64    # fewer new slices are merged one by one
+WIDEST = 32      # as are slices of more bytes
+NO_PAIR = 1 << 24
 
 
 def _step(state: int, cls: int) -> tuple[int, bool]:
@@ -240,12 +243,115 @@ def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple([ranks[x] for x in parts])
 
 
+class Pairs:
+    """Hash table from two adjacent ids to the id of both together (open addressing)."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pad = max(ranks.values()) + 1  # the id that stands for nothing
+        self.byte = np.array([ranks.get(bytes([x]), self.pad) for x in range(256)], np.int32)
+        get, found = ranks.get, []
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (x := get(token[:i])) is not None and (y := get(token[i:])) is not None:
+                    found.append((x, y, rank))
+        x, y, rank = np.array(found, np.int64).reshape(-1, 3).T
+        bits = max(10, (4 * len(x)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ids = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        key = x * (self.pad + 1) + y
+        at, todo = self._home(key), np.arange(len(key))
+        while len(todo):  # of the keys that want a free place one gets it, the others go on
+            free = todo[self.keys[at[todo]] < 0]
+            self.keys[at[free]] = key[free]
+            todo = todo[self.keys[at[todo]] != key[todo]]
+            at[todo] = (at[todo] + 1) & self.mask
+        at, todo = self._home(key), np.arange(len(key))
+        while len(todo):
+            here = self.keys[at[todo]] == key[todo]
+            self.ids[at[todo[here]]] = rank[todo[here]]
+            todo = todo[~here]
+            at[todo] = (at[todo] + 1) & self.mask
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The id of each pair, NO_PAIR where there is none."""
+        key = (a.astype(np.int64) * (self.pad + 1) + b).ravel()
+        at = self._home(key)
+        seen = self.keys[at]
+        hit = seen == key
+        out = np.where(hit, self.ids[at], NO_PAIR).astype(np.int32)
+        todo = np.flatnonzero(~hit & (seen >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            seen = self.keys[at[todo]]
+            hit = seen == key[todo]
+            out[todo[hit]] = self.ids[at[todo[hit]]]
+            todo = todo[~hit & (seen >= 0)]
+        return out.reshape(a.shape)
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of slices of at most WIDEST bytes, of which none is a token: in each step every
+        slice joins its pair of lowest rank, leftmost first."""
+        out: list = [None] * len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data, stop = self.byte[np.frombuffer(b"".join(pieces), np.uint8)], np.cumsum(size)
+        for low, width in ((0, 8), (8, 16), (16, WIDEST)):
+            row = np.flatnonzero((size > low) & (size <= width))
+            n = size[row].astype(np.int32)
+            place = np.arange(width)[:, None]
+            ids = np.where(place < n, data[np.minimum((stop - size)[row] + place, len(data) - 1)], self.pad)
+            pair = self(ids[:-1], ids[1:])
+            while len(row):
+                best = pair[0] * WIDEST
+                for j in range(1, width - 1):
+                    np.minimum(best, pair[j] * WIDEST + j, out=best)
+                done = best >= NO_PAIR * WIDEST
+                if done.any():
+                    for r, k, piece in zip(row[done].tolist(), n[done].tolist(), ids[:, done].T.tolist()):
+                        out[r] = tuple(piece[:k])
+                    live = ~done
+                    row, n, best, ids, pair = row[live], n[live], best[live], ids[:, live], pair[:, live]
+                    if not len(row):
+                        break
+                at, all_ = best % WIDEST, np.arange(len(row))
+                ids[at, all_] = best // WIDEST
+                n -= 1
+                for j in range(1, width):  # what stands right of the joined pair moves up
+                    after = at < j
+                    np.copyto(ids[j], ids[j + 1] if j + 1 < width else self.pad, where=after)
+                    if j < width - 1:
+                        np.copyto(pair[j], pair[j + 1] if j + 1 < width - 1 else NO_PAIR, where=after)
+                right = np.flatnonzero(at < width - 1)
+                pair[at[right], right] = self(ids[at[right], right], ids[at[right] + 1, right])
+                left = np.flatnonzero(at > 0)
+                pair[at[left] - 1, left] = self(ids[at[left] - 1, left], ids[at[left], left])
+        return out
+
+
 class PieceIds(dict):
     """Ids of the slices seen so far; emptied when full, so its memory is bounded."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.pairs: Pairs | None = None
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Take in the slices of a run that are not known yet."""
+        new = set(pieces).difference(self)
+        if len(new) < TOGETHER:
+            return
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            new = set(pieces)
+        ranks = self.ranks
+        self.update((p, (ranks[p],)) for p in new if p in ranks)
+        rest = [p for p in new if len(p) <= WIDEST and p not in ranks]
+        if not self.pairs:
+            self.pairs = Pairs(ranks)
+        self.update(zip(rest, self.pairs.merge(rest)))
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
         ids = merge(piece, self.ranks)
@@ -260,6 +366,7 @@ def encode_texts(texts: list[str], table: np.ndarray, scan, cache: PieceIds) ->
     """Flat ids of the texts and the end of each text's ids."""
     ids, counts = [], np.zeros(len(texts), np.int64)
     for pieces, rows in slices(texts, table, scan):
+        cache.learn(pieces)
         found = list(map(cache.__getitem__, pieces))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         counts += np.bincount(rows, sizes, len(texts)).astype(np.int64)

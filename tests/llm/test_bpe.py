@@ -81,3 +81,14 @@ def test_offsets_and_empty_table(spark):
     assert r[0].bpe.ends[-1] == 10 and bytes(r[0].decoded) == b"don't stop"
     assert r[1].bpe.ids == [] and bytes(r[1].decoded) == b""
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_merging_together_equals_one_by_one(known):
+    ranks = known[0]
+    r, tokens = random.Random(3), list(ranks)
+    pieces = {b"".join(r.choice(tokens)[:r.randrange(1, 5)] for _ in range(r.randrange(1, 8)))[:bpe.WIDEST] for _ in range(6000)}
+    pieces |= {bytes(r.randrange(256) for _ in range(r.randrange(1, bpe.WIDEST + 1))) for _ in range(3000)}
+    pieces |= {bytes([c]) * n for c in b" ab\xc3" for n in range(1, bpe.WIDEST + 1)}
+    cache = bpe.PieceIds(ranks)
+    cache.learn(list(pieces))
+    assert set(cache) == pieces and all(cache[p] == bpe.merge(p, ranks) for p in pieces)
