@@ -297,7 +297,7 @@ class Pairs:
         out: list = [None] * len(pieces)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data, stop = self.byte[np.frombuffer(b"".join(pieces), np.uint8)], np.cumsum(size)
-        for low, width in ((0, 8), (8, 16), (16, WIDEST)):
+        for low, width in ((0, 6), (6, 8), (8, 10), (10, 12), (12, 16), (16, WIDEST)):
             row = np.flatnonzero((size > low) & (size <= width))
             n = size[row].astype(np.int32)
             place = np.arange(width)[:, None]
@@ -333,10 +333,9 @@ class Pairs:
 class PieceIds(dict):
     """Ids of the slices seen so far; emptied when full, so its memory is bounded."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], pairs: Pairs | None = None):
         super().__init__()
-        self.ranks = ranks
-        self.pairs: Pairs | None = None
+        self.ranks, self.pairs = ranks, pairs
 
     def learn(self, pieces: list[bytes]) -> None:
         """Take in the slices of a run that are not known yet."""
@@ -386,16 +385,16 @@ def vocabulary(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def encode(df: DataFrame, ranks_path: str, text: str = "text", to: str = "bpe") -> DataFrame:
     """Add ``to``: struct(ids array<int>, ends array<int>), the ids of the text and the byte
-    offset at which each token ends. The ranks' file must lie at ``ranks_path`` on every
-    machine that runs tasks."""
-    packed, scan = class_table(), scanner()
+    offset at which each token ends. The ranks' file must lie at ``ranks_path`` on the driver and
+    on every machine that runs tasks; the table of pairs, a few MB whatever the input, is shipped."""
+    packed, scan, pairs = class_table(), scanner(), Pairs(load_ranks(ranks_path))
 
     @F.arrow_udf("struct<ids: array<int>, ends: array<int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks = load_ranks(ranks_path)
         lengths = vocabulary(ranks)[2]
         table = np.frombuffer(zlib.decompress(packed), np.uint8)
-        cache = PieceIds(ranks)
+        cache = PieceIds(ranks, pairs)
         for batch in batches:
             out = []
             sizes = pc.binary_length(batch.cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
