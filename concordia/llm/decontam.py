@@ -3,7 +3,8 @@
 A document holds a benchmark item where a window of as many words as the item has a weighted
 similarity of 0.75 or more with it: the sum of smaller over the sum of larger counts of the
 5-word shingles of both (of an item with fewer words, its whole sequence). Such a window
-shares a shingle with the item, so windows are taken wherever one occurs, in whole texts.
+shares a shingle with the item, so windows are taken wherever one occurs, in whole texts. A
+document of fewer words than the item is one window, as a whole.
 Each window gets a 64-bit SimHash, from prefix sums of its shingles' signed bits. Eight
 blocks of eight bits index the items' fingerprints: two fingerprints within RADIUS agree in
 some block up to RADIUS // 8 bits, so the index misses none of them; what it yields is held
@@ -90,6 +91,22 @@ def index(items: list[tuple[int, bytes]]) -> tuple[list[Items], dict[int, tuple[
     return groups, hits
 
 
+def short(every: np.ndarray, begins: np.ndarray, ends: np.ndarray, docs: np.ndarray, g: Items) -> Iterator[tuple[int, int, float]]:
+    """Texts of fewer words than the items that match one as a whole: text, item, similarity."""
+    n = ends[docs] - begins[docs] - g.length + 1  # shingles; similarity is at most their share of the item's
+    ok = (ends[docs] - begins[docs] < g.size) & (n / (g.size - g.length + 1) >= SIMILARITY)
+    docs, n = docs[ok], n[ok]
+    for at in range(0, len(docs), 1024):
+        d, m = docs[at:at + 1024], n[at:at + 1024]
+        stop = np.cumsum(m)
+        where = np.repeat(begins[d] - (stop - m), m) + np.arange(m.sum())
+        prints = fingerprint(np.add.reduceat(signed_bits(every[where]), stop - m, axis=0))
+        for w, item in zip(*(x.tolist() for x in g.candidates(prints))):
+            value = g.similarity(item, every[begins[d[w]]:begins[d[w]] + m[w]])
+            if value >= SIMILARITY:
+                yield int(d[w]), item, value
+
+
 def matches(words: np.ndarray, ends: np.ndarray, groups: list[Items], hits: dict) -> list[list[tuple]]:
     """For each text, (item, first word, words, similarity) of the best window of every item
     it holds; ``ends``: where each text's words end."""
@@ -112,6 +129,8 @@ def matches(words: np.ndarray, ends: np.ndarray, groups: list[Items], hits: dict
             g = groups[k]
             wide = g.size - g.length
             mine = which == k
+            for d, item, value in short(every, begins, ends, np.unique(doc[mine]), g):
+                out[d][k, item] = (-value, 0, int(ends[d] - begins[d]))
             first = np.maximum(at[mine] - wide, begins[doc[mine]])
             last = np.minimum(at[mine], ends[doc[mine]] - g.size)
             ok = last >= first

@@ -81,3 +81,39 @@ def test_odd_tables(spark):
     assert all([m.item_id for m in r.matches] == [7, None] for r in got) and len(got) == 3
     assert all(r.matches == [] for r in decontam.contaminated(docs, items.limit(0)).collect())
     assert decontam.contaminated(docs.limit(0), items).count() == 0
+
+
+def brute_short(docs, items):
+    """Of documents with fewer words than an item, the whole one as the window."""
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        for i, x in items:
+            v = words(x)
+            k = min(5, len(v))
+            if k <= len(w) < len(v):
+                item, win = (Counter(tuple(s[a:a + k]) for a in range(len(s) - k + 1)) for s in (v, w))
+                value = sum((item & win).values()) / sum((item | win).values())
+                if value >= 0.75:
+                    out[d, i] = (0, len(w), value)
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    r = random.Random(9)
+    items = corpus()[1]
+    docs = [(0, None), (1, ""), (2, "w1")]
+    for i, x in items:
+        p = words(x)
+        for cut in (0, 1, 2, 3, 5, 8):
+            for part in (p[:len(p) - cut], p[cut:], p[cut // 2:len(p) - (cut - cut // 2)], [*p[:3], *p[3 + cut:]]):
+                docs.append((len(docs), " ".join(part)))
+                if part and r.random() < 0.5:
+                    part = [*part]
+                    part[r.randrange(len(part))] = "other"
+                    docs.append((len(docs), " ".join(part)))
+    short = brute_short(docs, dict(items).items())
+    assert len(short) > 100
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, m.item_id): (m.start_word, m.n_words, m.similarity) for x in out for m in x.matches}
+    assert got == brute(docs, dict(items).items()) | short
