@@ -6,8 +6,9 @@ Each tree splits the classes by random projections at thresholds fitted on a bou
 are seldom parted. Every class is indexed in every tree; classes that meet in a leaf are
 compared exactly in double precision, links are united, and components run over them.
 
-Splits are at quantiles, so leaves stay near LEAF rows of the sample's distribution whatever
-the density; a leaf that outgrows MOST rows is split at random into parts, each pair of which
+Splits are at quantiles of at least FITTED sample rows, and a label goes as deep as its own
+rows need for leaves near LEAF, so the forest has a bounded size and leaves grow with the
+table beyond what the sample can split; a leaf that outgrows MOST rows is split at random into parts, each pair of which
 is compared, so no task holds an unbounded leaf.
 
 Defined cases: a null label, a null, empty, zero or non-finite vector, and one with a null
@@ -33,6 +34,7 @@ LEAF = 192
 MOST = 1024
 SPILL = 0.08
 SAMPLE = 20_000
+FITTED = 100
 
 
 def fit_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float]]:
@@ -110,8 +112,12 @@ def _links(classes: DataFrame, n: int, width: int, cosine: float, trees: int) ->
     sample = np.array([r.x for r in picked.select("x").limit(2 * SAMPLE).collect()], float).reshape(-1, width)
     sample = sample / np.abs(sample).max(axis=1, keepdims=True) if len(sample) else sample
     sample /= np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else 1.0
-    depth = max(0, int(np.ceil(np.log2(max(1, n / LEAF)) / (1 - np.log2(1 + 2 * SPILL)))))
-    forest = [fit_tree(sample, depth, np.random.default_rng([17, t])) for t in range(trees)]
+    fitted = 1 + int(np.log(len(sample) / FITTED) / -np.log(0.5 + SPILL)) if len(sample) >= FITTED else 0
+    sizes = classes.groupBy("label").agg(F.count("*").alias("n"))
+    wanted = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / LEAF)) / F.lit(float(1 - np.log2(1 + 2 * SPILL))))
+    depths = stage(sizes.select("label", F.least(wanted, F.lit(fitted)).cast("int").alias("depth")), "depths")
+    deepest = depths.agg(F.max("depth").alias("d")).first().d or 0
+    forest = [fit_tree(sample, deepest, np.random.default_rng([17, t])) for t in range(trees)]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +126,15 @@ def _links(classes: DataFrame, n: int, width: int, cosine: float, trees: int) ->
                 m = _matrix(part.column(2), width)
                 unit = m / np.abs(m).max(axis=1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                flat = unit.ravel()
+                flat, depth = unit.ravel(), part.column(3).to_numpy()
                 for t, nodes in enumerate(forest):
-                    row, leaf = leaves(unit, nodes, depth)
+                    row, leaf = [], []
+                    for d in np.unique(depth).tolist():
+                        own = np.flatnonzero(depth == d)
+                        r, k = leaves(unit[own], nodes, d)
+                        row.append(own[r])
+                        leaf.append(k)
+                    row, leaf = np.concatenate(row), np.concatenate(leaf)
                     xs = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * width, pa.int32()),
                                                   pa.array(flat.reshape(-1, width)[row].ravel()))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(leaf), part.column(0).take(pa.array(row)),
@@ -156,7 +168,7 @@ def _links(classes: DataFrame, n: int, width: int, cosine: float, trees: int) ->
         yield from flush()
 
     kind = classes.schema["label"].dataType.simpleString()
-    at = stage(classes.select("label", "node", "x").mapInArrow(assign, f"tree int, leaf long, label {kind}, node long, x array<double>"), "leaves")
+    at = stage(classes.join(depths, "label").select("label", "node", "x", "depth").mapInArrow(assign, f"tree int, leaf long, label {kind}, node long, x array<double>"), "leaves")
     leaf = ["tree", "leaf", "label"]
     parts = at.groupBy(*leaf).agg(F.ceil(F.count("*") * 2 / MOST).cast("int").alias("parts"))
     # a leaf of up to MOST / 2 rows is one cell; of a larger one each pair of parts is a cell

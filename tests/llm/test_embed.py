@@ -78,3 +78,19 @@ def test_odd_rows(spark):
     want += [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 11)]
     assert got == sorted(want, key=repr)
     assert embed.near_vectors(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_recall_where_the_sample_is_small(spark, monkeypatch):
+    monkeypatch.setattr(embed, "SAMPLE", 500)
+    monkeypatch.setattr(embed, "LEAF", 16)
+    rng = np.random.default_rng(5)
+    rows = data(2, 12_000)[:-900]
+    centre = rng.normal(size=16)
+    rows += [(20_000 + i, (centre + rng.normal(scale=0.05, size=16)).astype("f4").tolist(), 1) for i in range(300)]
+    rows += [(30_000 + i, rng.normal(size=16).astype("f4").tolist(), 3) for i in range(20)]
+    want, _ = brute(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_vectors(frame(spark, rows), trees=4).collect()}
+    for part in ([i for i in want if i < 20_000], [i for i in want if i >= 20_000]):  # copies, dense group
+        recall = sum(got[i][0] for i in part) / sum(want[i][0] for i in part)
+        print("RECALL", recall)
+        assert recall >= 0.98
