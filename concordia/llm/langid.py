@@ -38,6 +38,8 @@ BLOCK = 64
 EPOCHS = 4
 KNOWN_WORDS = 200_000
 START, END = 2, 3
+SLOTS = 1 << 18
+BACK = 5.0
 
 
 @dataclass
@@ -287,6 +289,56 @@ def predict_texts(texts: list[str], model: Model, words: Words, table: list[np.n
             for b, m, t in zip(best.tolist(), mass.max(axis=1).tolist(), total.tolist())]
 
 
+class Characters:
+    """Whether a learned language explains words: characters after the two before them in each
+    language, against the share of each character in all of them, in any order."""
+
+    def __init__(self, rows: list[tuple[str, str]], langs: list[str]):
+        shape = SLOTS, max(1, len(langs))
+        self.three, self.two, self.one = np.zeros(shape, np.float32), np.zeros(shape, np.float32), {}
+        counts = Counter()
+        for i, lang in enumerate(langs):
+            words = [t for x, text in rows if x == lang for w in text.lower().split() if (t := trim(w))]
+            if words:
+                three, two, cp, _ = self._slots(words)
+                self.three[:, i], self.two[:, i] = np.bincount(three, minlength=SLOTS), np.bincount(two, minlength=SLOTS)
+                counts.update(dict(zip(*(x.tolist() for x in np.unique(cp, return_counts=True)))))
+        self.total = sum(counts.values()) + 1.0
+        self.one = {c: n / self.total for c, n in counts.items()}
+
+    @staticmethod
+    def _slots(words: list[str]) -> tuple[np.ndarray, ...]:
+        """Slots of each character with the two before it, and of those two; the characters; sizes."""
+        body = "".join([f"{chr(START) * 2}{w}{chr(END)}" for w in words])
+        cp = np.frombuffer(body.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        at = np.arange(size.sum()) + 2 * np.repeat(np.arange(1, len(words) + 1), size)
+        two = (cp[at - 2] << np.uint64(21)) | cp[at - 1]
+        three = mix64((two << np.uint64(21)) | cp[at])
+        return *((x % np.uint64(SLOTS)).astype(np.int64) for x in (three, mix64(two))), cp[at], size
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of each word in its best language, less that of its characters alone."""
+        if not words:
+            return np.zeros(0)
+        three, two, cp, size = self._slots(words)
+        seen, inverse = np.unique(cp, return_inverse=True)
+        alone = np.array([self.one.get(c, 2.0 ** -16 / self.total) for c in seen.tolist()])[inverse]
+        ratio = (self.three[three] / alone[:, None] + BACK) / (self.two[two] + BACK)
+        return np.add.reduceat(np.log(ratio), np.cumsum(size) - size, axis=0).max(axis=1)
+
+    def of_texts(self, texts: list[str], known: dict[str, float]) -> list[float]:
+        """Sum over each text's words; ``known`` holds those of earlier texts."""
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        split = [t.lower().split() for t in texts]
+        new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in known]
+        bare = [trim(w) for w in new]
+        known.update(dict.fromkeys(new, 0.0))
+        known.update(zip([w for w, t in zip(new, bare) if t], self.evidence([t for t in bare if t]).tolist()))
+        return [sum(map(known.__getitem__, ws)) for ws in split]
+
+
 def sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> list[tuple[str, str]]:
     """Labelled rows for the fit, SAMPLE_CHARS characters a language at most."""
     at = F.xxhash64(doc_id, text)
@@ -307,22 +359,28 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> list[tuple[str
 
 
 def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-             to: str = "language") -> DataFrame:
-    """Add ``to``: struct(lang string, score double), learned from ``labelled`` rows."""
-    model = fit(sample(labelled, doc_id, text, lang))
-
-    @F.arrow_udf("struct<lang: string, score: double>")
+             to: str = "language", evidence: bool = False) -> DataFrame:
+    """Add ``to``: struct(lang string, score double), learned from ``labelled`` rows; with
+    ``evidence`` also evidence double, above 0 where learned languages explain the words."""
+    rows = sample(labelled, doc_id, text, lang)
+    model = fit(rows)
+    chars = Characters(rows, model.langs) if evidence else None
+
+    @F.arrow_udf("struct<lang: string, score: double, evidence: double>" if evidence else "struct<lang: string, score: double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, float] = {}
         words, table = Words(), [np.zeros((0, len(model.langs)), np.float32), np.zeros(0)]
         for batch in batches:
             sizes = pc.binary_length(batch.cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
-            out = []
+            out, more = [], []
             for at, to_ in byte_slices(sizes + 1, 2 << 20):
                 texts = as_texts(batch[at:to_])
                 out += predict_texts(texts, model, words, table) if model.langs else [
                     (None if any(map(str.isalpha, t)) else "und", 0.0) for t in texts]
-            yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()),
-                                              pa.array([y for _, y in out], pa.float64())], ["lang", "score"])
+                more += chars.of_texts(texts, known) if evidence else []
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64()),
+                                              *([pa.array(more, pa.float64())] if evidence else [])],
+                                             ["lang", "score", *(["evidence"] if evidence else [])])
 
     return docs.withColumn(to, run(F.col(text)))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import corpus_pipeline
 import public_tokenizers
@@ -67,3 +68,18 @@ def test_odd_rows(spark, name, function):
     assert {"language": 901 not in ids and 903 not in ids and 904 in ids, "near_dedup": ids.count(900) == 1 and None in ids,
             "passages": len(got) == len(rows), "decontaminate": len(got) == len(rows), "tokenize": len(got) == len(rows)}[name]
     assert function(spark, df.limit(0), SF).count() == 0
+
+
+def test_mixtures_stay_and_junk_goes(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    docs = df.collect()
+    by = {x: [w for d in docs if d.lang == x for w in d.text.split()] for x in ("en", "de", "es")}
+    mixed = " ".join(by["en"][:45] + by["de"][:30] + by["es"][:25])
+    r = random.Random(2)
+    junk = " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randrange(4, 9))) for _ in range(60))
+    extra = spark.createDataFrame([(10**9, mixed, None), (10**9 + 1, junk, None), (10**9 + 2, "\u3042\u3044\u3046 \u3048\u304a" * 9, None)], df.schema)
+    found = identify(df.union(extra), df, evidence=True).select("doc_id", "lang", "language.score", "language.evidence").collect()
+    print("OLD", sum(x.score < 0.5 for x in found), "NEW", sum(x.evidence <= 0 for x in found), "of", len(found),
+          sorted((x.evidence, x.score, x.doc_id) for x in found)[:5], [x for x in found if x.doc_id >= 10**9])
+    ids = {x.doc_id for x in corpus_pipeline.language(spark, df.union(extra), SF).collect()}
+    assert ids == {d.doc_id for d in docs} | {10**9}
