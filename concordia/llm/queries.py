@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import bpe
+from concordia.llm import bpe, filters
 from concordia.llm.attention import score
 from concordia.llm.common import crc_mod
 from concordia.llm.cotrain import classify
@@ -91,6 +91,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents in all 120 orders."""
+    return filters.interactions(filters.masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_embeddings": op9_embeddings,
     "op10_sharding": op10_sharding,
+    "op11_filters": op11_filters,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_filters": filters.SQL}
