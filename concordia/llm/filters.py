@@ -298,13 +298,13 @@ o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c,
   WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
 s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
   FROM o, (SELECT unnest(range(1, 6)) AS step)),
-r AS (SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS failing, fails = f AS only,
+r AS (SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS failing, fails = f AS alone,
   length(before) > 0 AND length(translate(fails, before, '')) < length(fails) AS gone FROM t, s),
 x AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, f,
   CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND NOT failing), 0) AS BIGINT) AS kept,
   CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND failing), 0) AS BIGINT) AS removed,
   CAST(coalesce(sum(n) FILTER (WHERE gone AND failing), 0) AS BIGINT) AS redundant,
-  CAST(coalesce(sum(n) FILTER (WHERE only), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(n) FILTER (WHERE alone), 0) AS BIGINT) AS unique_fails,
   CAST(coalesce(sum(good) FILTER (WHERE NOT gone AND failing), 0) AS BIGINT) AS good_lost,
   CAST(coalesce(sum(toxic) FILTER (WHERE NOT gone AND failing), 0) AS BIGINT) AS toxic_lost
   FROM r GROUP BY part, filter_order, step, f)
