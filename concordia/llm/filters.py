@@ -282,7 +282,7 @@ def interactions(masks: DataFrame, labels: DataFrame) -> DataFrame:
 # DuckDB: the same counts by definition
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
   min(doc_id) OVER (PARTITION BY text) AS low FROM d),
 m AS (SELECT doc_id, part,
   (len(ws) < 100) AS a, (100 * len(list_distinct(ws)) < 80 * len(ws)) AS b,
