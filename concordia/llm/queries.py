@@ -6,10 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import bpe, filters
+from concordia.llm import bpe, filters, pii
 from concordia.llm.attention import score
 from concordia.llm.common import crc_mod
 from concordia.llm.cotrain import classify
@@ -96,6 +96,21 @@ def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.interactions(filters.masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and digest of the base spans, all spans, and
+    how many of them the field adds."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda x: x["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, pii.KINDS),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"),
+        F.size(F.filter("pii", lambda x: ~x["base"])).cast("long").alias("n_added"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -108,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embeddings": op9_embeddings,
     "op10_sharding": op10_sharding,
     "op11_filters": op11_filters,
+    "op12_pii": op12_pii,
 }
 
 ORACLES: dict[str, str] = {"op11_filters": filters.SQL}
