@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import bpe, filters, pii
+from concordia.llm import bpe, filters, pii, prefixes
 from concordia.llm.attention import score
 from concordia.llm.common import crc_mod
 from concordia.llm.cotrain import classify
@@ -111,6 +111,11 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("pii", lambda x: ~x["base"])).cast("long").alias("n_added"))
 
 
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt so that they share first turns."""
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"), heads=prefixes.rebuilt_heads)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_filters": op11_filters,
     "op12_pii": op12_pii,
+    "op13_prefixes": op13_prefixes,
 }
 
 ORACLES: dict[str, str] = {"op11_filters": filters.SQL}
