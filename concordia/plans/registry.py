@@ -704,40 +704,54 @@ def _structure(spark, sf_dir):
     return U.code_structure(lines, fixture(spark, sf_dir, "doc_style"))
 
 
-_UNITS_SQL = f"""WITH {duckdb_ctes('fx_sources', 'doc_style')},
-src AS (SELECT * FROM fx_sources WHERE NOT contains(split_part(path, '/', -1), '{{')),
+# one character after the other: 0 code, 1 and 2 triple quotes, 3 and 4 quotes, 5 comment
+_UNITS_SQL = f"""WITH RECURSIVE {duckdb_ctes('fx_sources', 'doc_style')},
+src AS (SELECT project, path, content FROM fx_sources WHERE NOT contains(split_part(path, '/', -1), '{{')),
+lex AS (
+  SELECT path, 1 AS pos, 0 AS eaten, '' AS c, 0 AS st, 0 AS depth, '' AS piece, 0 AS to_st, 0 AS to_depth FROM src
+  UNION ALL
+  SELECT path, p,
+    CASE WHEN st = 0 AND t IN (tq1, tq2) OR st = 1 AND t = tq1 OR st = 2 AND t = tq2 THEN 3 ELSE 1 END,
+    c, st, depth,
+    CASE WHEN st <> 0 OR c IN ('#', chr(10)) THEN '' WHEN c IN (chr(34), chr(39)) THEN chr(1) ELSE c END,
+    CASE WHEN st = 0 THEN CASE WHEN t = tq1 THEN 1 WHEN t = tq2 THEN 2 WHEN c = chr(34) THEN 3 WHEN c = chr(39) THEN 4 WHEN c = '#' THEN 5 ELSE 0 END
+         WHEN st = 1 THEN CASE WHEN t = tq1 THEN 0 ELSE 1 END WHEN st = 2 THEN CASE WHEN t = tq2 THEN 0 ELSE 2 END
+         WHEN st = 3 THEN CASE WHEN c IN (chr(34), chr(10)) THEN 0 ELSE 3 END WHEN st = 4 THEN CASE WHEN c IN (chr(39), chr(10)) THEN 0 ELSE 4 END
+         ELSE CASE WHEN c = chr(10) THEN 0 ELSE 5 END END,
+    CASE WHEN st = 0 AND c IN ('(', '[', '{{') THEN depth + 1 WHEN st = 0 AND c IN (')', ']', '}}') THEN depth - 1 ELSE depth END
+  FROM (SELECT l.path, l.pos + l.eaten AS p, l.to_st AS st, l.to_depth AS depth, substr(s.content, l.pos + l.eaten, 1) AS c,
+          substr(s.content, l.pos + l.eaten, 3) AS t, repeat(chr(34), 3) AS tq1, repeat(chr(39), 3) AS tq2
+        FROM lex l JOIN src s ON s.path = l.path WHERE l.pos + l.eaten <= length(s.content))),
+sg AS (SELECT *, 1 + coalesce(sum(CASE WHEN c = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_no
+       FROM lex WHERE eaten > 0),
+cd AS (SELECT path, CAST(line_no AS INTEGER) AS line_no, min_by(st, pos) AS st, min_by(depth, pos) AS depth, rtrim(string_agg(piece, '' ORDER BY pos)) AS code
+       FROM sg GROUP BY path, line_no),
 ln AS (SELECT project, path, CAST(i AS INTEGER) AS line_no, regexp_replace(parts[i], '[ \\t\\r\\f\\x0B]+$', '') AS line
        FROM (SELECT project, path, parts, unnest(generate_series(1, len(parts))) AS i
              FROM (SELECT project, path, string_split(content, chr(10)) AS parts FROM src))),
-l0 AS (SELECT *, length(line) - length(ltrim(line, ' ')) AS indent, trim(line) = '' AS blank,
-         regexp_replace(regexp_extract(line, {O.q(U.HEADER_RE)}, 2), ' +', ' ', 'g') AS hkind,
-         regexp_extract(line, {O.q(U.HEADER_RE)}, 3) AS name,
-         (length(line) - length(regexp_replace(line, {O.q(U.TRIPLE_RE)}, '', 'g'))) / 3 AS tq FROM ln),
-l AS (SELECT *,
-        min(CASE WHEN NOT blank THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_nb,
-        min(CASE WHEN tq > 0 THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_tq
-      FROM l0),
-heads AS (SELECT * FROM l WHERE hkind <> ''),
-openers AS (SELECT path, line_no AS p_line, indent AS p_indent, hkind AS p_kind, name AS p_name FROM l
-            WHERE NOT blank AND regexp_matches(line, ':\\s*$')),
-par AS (SELECT h.path, h.line_no, max(o.p_line) AS p_line FROM heads h JOIN openers o
-          ON o.path = h.path AND o.p_line < h.line_no AND o.p_indent < h.indent GROUP BY ALL),
-h AS (SELECT hd.*, o.p_kind, o.p_name, s.line AS s_line, s.tq AS s_tq, s.next_tq AS s_next_tq,
-        coalesce(regexp_matches(trim(s.line), '^[rRuU]?(""\"|'''''')'), false) AS is_doc,
-        CASE WHEN s.tq >= 2 THEN hd.next_nb ELSE s.next_tq END AS doc_end
-      FROM heads hd LEFT JOIN par p ON p.path = hd.path AND p.line_no = hd.line_no
-      LEFT JOIN openers o ON o.path = p.path AND o.p_line = p.p_line
-      LEFT JOIN l s ON s.path = hd.path AND s.line_no = hd.next_nb),
-docs AS (SELECT h.path, h.line_no,
-           trim(regexp_replace(string_agg(ltrim(x.line), chr(10) ORDER BY x.line_no), '^[rRuU]?(""\"|'''''')|(""\"|'''''')$', '', 'g')) AS docstring
-         FROM h JOIN l x ON x.path = h.path AND x.line_no BETWEEN h.next_nb AND h.doc_end
-         WHERE h.is_doc AND h.doc_end IS NOT NULL GROUP BY ALL),
+l0 AS (SELECT n.*, d.st, d.code, d.st = 0 AND d.depth = 0 AND trim(d.code) <> '' AS begins FROM ln n JOIN cd d USING (path, line_no)),
+l1 AS (SELECT *, max(CASE WHEN begins THEN line_no END) OVER (PARTITION BY path ORDER BY line_no) AS logical FROM l0),
+lg AS (SELECT project, path, logical AS line_no, min_by(line, line_no) AS line, min_by(length(line) - length(ltrim(line, ' ')), line_no) AS indent,
+         string_agg(code, ' ' ORDER BY line_no) AS code, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE begins OR st <> 0) AS raw
+       FROM l1 WHERE logical IS NOT NULL GROUP BY project, path, logical),
+hd AS (SELECT *, CASE WHEN starts_with(ltrim(code), 'class ') THEN 'class' WHEN starts_with(ltrim(code), 'def ') THEN 'def'
+                      WHEN regexp_matches(ltrim(code), '^async +def ') THEN 'async def' ELSE '' END AS hkind,
+         ends_with(rtrim(code), ':') AS opens, lead(code) OVER w AS next_code, lead(raw) OVER w AS next_raw
+       FROM lg WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+hn AS (SELECT *, CASE WHEN hkind <> '' THEN regexp_extract(substr(ltrim(code), length(hkind) + 1), '[A-Za-z0-9_]+') END AS name FROM hd),
+par AS (SELECT h.path, h.line_no, max(o.line_no) AS p_line FROM hn h JOIN hn o
+          ON o.path = h.path AND o.opens AND o.line_no < h.line_no AND o.indent < h.indent WHERE h.hkind <> '' GROUP BY ALL),
+dc AS (SELECT path, line_no, string_split(next_raw, chr(10)) AS ls FROM hn WHERE hkind <> '' AND trim(next_code) = chr(1)),
+dm AS (SELECT *, coalesce(list_min(list_transform(list_filter(ls[2:], lambda x: trim(x) <> ''), lambda x: length(x) - length(ltrim(x)))), 0) AS margin FROM dc),
+dd AS (SELECT path, line_no, array_to_string([ltrim(ls[1])] || list_transform(ls[2:], lambda x: substr(x, margin + 1)), chr(10)) AS whole FROM dm),
+docs AS (SELECT path, line_no, trim(trim(whole, chr(34) || chr(39)), ' ' || chr(10)) AS docstring FROM dd),
 st AS (SELECT h.project, h.path, h.line_no, h.hkind, h.name,
          CASE WHEN h.hkind = 'class' THEN 'class' WHEN h.hkind = 'async def' THEN 'async'
-              WHEN h.p_kind = 'class' THEN 'member' ELSE 'function' END AS kind,
-         CASE WHEN h.p_kind = 'class' THEN h.p_name END AS parent, d.docstring, h.line, s.flag,
+              WHEN o.hkind = 'class' THEN 'member' ELSE 'function' END AS kind,
+         CASE WHEN o.hkind = 'class' THEN o.name END AS parent, d.docstring, h.code, s.flag,
          coalesce(contains(d.docstring, CASE WHEN s.flag = 'Parameters' THEN 'Parameters' || chr(10) || '-----' ELSE s.flag END), false) AS with_doc
-       FROM h LEFT JOIN docs d ON d.path = h.path AND d.line_no = h.line_no LEFT JOIN doc_style s ON s.project = h.project)
+       FROM hn h LEFT JOIN par p ON p.path = h.path AND p.line_no = h.line_no LEFT JOIN hn o ON o.path = p.path AND o.line_no = p.p_line
+       LEFT JOIN docs d ON d.path = h.path AND d.line_no = h.line_no LEFT JOIN doc_style s ON s.project = h.project WHERE h.hkind <> '')
 """
 
 
@@ -749,27 +763,27 @@ def q_e1(spark, sf_dir):
 
 
 @register("e2_unit_stats", _UNITS_SQL + """SELECT project,
-  CAST(count(*) FILTER (WHERE kind = 'class') AS INTEGER) AS class,
-  CAST(count(*) FILTER (WHERE kind = 'class' AND with_doc) AS INTEGER) AS class_with_doc,
-  CAST(count(*) FILTER (WHERE kind = 'member' AND name <> '__init__') AS INTEGER) AS member,
-  CAST(count(*) FILTER (WHERE kind = 'member' AND name <> '__init__' AND with_doc) AS INTEGER) AS member_with_doc,
-  CAST(count(*) FILTER (WHERE kind = 'function') AS INTEGER) AS function,
-  CAST(count(*) FILTER (WHERE kind = 'function' AND with_doc) AS INTEGER) AS function_with_doc
+  count(*) FILTER (WHERE kind = 'class') AS class,
+  count(*) FILTER (WHERE kind = 'class' AND with_doc) AS class_with_doc,
+  count(*) FILTER (WHERE kind = 'member' AND name <> '__init__') AS member,
+  count(*) FILTER (WHERE kind = 'member' AND name <> '__init__' AND with_doc) AS member_with_doc,
+  count(*) FILTER (WHERE kind = 'function') AS function,
+  count(*) FILTER (WHERE kind = 'function' AND with_doc) AS function_with_doc
 FROM st GROUP BY project""")
 def q_e2(spark, sf_dir):
     return U.unit_stats(_structure(spark, sf_dir))
 
 
-@register("e3_signature_params", _UNITS_SQL + """, sg AS (
-  SELECT project, path, CASE WHEN kind = 'member' THEN parent ELSE name END AS unit,
-    regexp_replace(regexp_replace(regexp_extract(line, '\\((.*)\\)', 1),
-      '\\([^()]*\\)|\\[[^\\[\\]]*\\]|\\{[^{}]*\\}', '', 'g'), '\\([^()]*\\)|\\[[^\\[\\]]*\\]|\\{[^{}]*\\}', '', 'g') AS args_text
-  FROM st WHERE kind = 'function' OR (kind = 'member' AND name = '__init__')),
-nm AS (SELECT project, path, unit,
-         list_filter(list_transform(string_split(args_text, ','), lambda x: regexp_extract(trim(x), '^([*]{0,2}[A-Za-z_][A-Za-z0-9_]*)', 1)),
-                     lambda n: n <> '' AND n <> 'self' AND NOT starts_with(n, '*')) AS names FROM sg)
-SELECT project, path, unit, CAST(k - 1 AS INTEGER) AS pos, names[k] AS name
-FROM (SELECT *, unnest(generate_series(1, len(names))) AS k FROM nm)""")
+@register("e3_signature_params", _UNITS_SQL + """, ch AS (
+  SELECT project, path, line_no, CASE WHEN kind = 'member' THEN parent ELSE name END AS unit, i, substr(code, CAST(i AS BIGINT), 1) AS c
+  FROM (SELECT *, unnest(generate_series(1, length(code))) AS i FROM st WHERE kind = 'function' OR (kind = 'member' AND name = '__init__'))),
+dp AS (SELECT *, sum(CASE WHEN c IN ('(', '[', '{') THEN 1 WHEN c IN (')', ']', '}') THEN -1 ELSE 0 END) OVER (PARTITION BY path, line_no ORDER BY i) AS depth FROM ch),
+it AS (SELECT *, sum(CASE WHEN c = ',' AND depth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path, line_no ORDER BY i) AS item FROM dp),
+nm AS (SELECT project, path, line_no, unit, item, ltrim(ltrim(string_agg(c, '' ORDER BY i) FILTER (WHERE depth = 1 AND c NOT IN (',', '(', ')', ']', '}'))), ' ') AS t
+       FROM it GROUP BY ALL),
+nn AS (SELECT *, regexp_extract(t, '^[A-Za-z0-9_]+') AS name FROM nm WHERE NOT starts_with(t, '*'))
+SELECT project, path, unit, CAST(row_number() OVER (PARTITION BY path, line_no ORDER BY item) - 1 AS INTEGER) AS pos, name
+FROM nn WHERE name NOT IN ('', 'self')""")
 def q_e3(spark, sf_dir):
     return U.signature_params(_structure(spark, sf_dir))
 

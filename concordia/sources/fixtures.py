@@ -264,10 +264,11 @@ SELECT unit, project, flag, replace(CASE WHEN flag = 'Parameters' THEN
 FROM p
 """
 
-# fx_sources: one source file per part (project = p_type): a class with a docstring, an
-# __init__, a decorated member with a docstring, a plain member, an async member holding a
-# nested function, and an independent function with a nested helper.  Every 10th file has
-# a '{' in its name (such files are never scanned).
+# fx_sources: one source file per part (project = p_type): a class with a docstring (some of its
+# lines begin like headers), an __init__ over several lines with brackets nested in its defaults and
+# in comments, a decorated member with a docstring, a plain member, an async member holding a
+# nested function, a string that holds a class, and an independent function with a nested helper.
+# Every 10th file has a '{' in its name (such files are never scanned).
 FIXTURE_SQL["fx_sources"] = """
 SELECT p_type AS project,
   '/' || p_type || '/part_' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 10 = 0 THEN '{{x}}' ELSE '' END || '.py' AS path,
@@ -275,12 +276,14 @@ SELECT p_type AS project,
      'class Part' || CAST(p_partkey AS STRING) || ':~'
   || '    QQQ' || p_name || ' made by ' || p_brand || '.~'
   || CASE WHEN p_size % 3 <> 0 THEN '~    Parameters~    ----------~    size : int~        Number of items.~' ELSE '' END
-  || '    QQQ~~'
-  || '    def __init__(self, size, brand=None, *args, lo=(0, 1), **kw):~        self.size = size~~'
+  || '    class of its own (unclosed:~    def prose(not, code):~    QQQ~~'
+  || '    def __init__(~            self, size,  # first ( of two~            brand=pick((1, (2, (3, [4, 5])), lo2), hi2),~'
+  || '            *args, lo=(0, 1),~            name="a, b=(", **kw):~        self.size = size~~'
   || '    @property~    def price(self):~        QQQRetail price.~~        Parameters~        ----------~        cents : int~            Price in cents.~        QQQ~'
   || '        return ' || CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS STRING) || '~~'
   || '    def resize(self, factor: float = 1.0):~        return self.size * factor~~'
   || '    async def fetch(self):~        def inner(x):~            return x~        return inner(1)~~~'
+  || 'NOTE = QQQ~class Fake:~    def fake(self, never):~        QQQ~~'
   || 'def helper_' || CAST(p_partkey AS STRING) || '(a, b=2, *, c):~'
   || CASE WHEN p_size % 2 = 0 THEN '    QQQHelper.~~    Parameters~    ----------~    a : int~        First.~    QQQ~'
           ELSE '    QQQHelper without sections.QQQ~' END
