@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordia.operators.rules import literals_from_text, typed_literals
+from concordia.functions import logic
+from concordia.operators.rules import literals_from_text, normalize_constants, templated_expr, typed_literals
 
 
 def _balanced(text: Column) -> Column:
@@ -64,15 +65,46 @@ def path_parts(paths: DataFrame, keys: Sequence[str] = ("unit", "path_no"), text
                                  F.expr("trim(BOTH '\" \\n' FROM __last)"))).alias("conditions")))
 
 
-def path_literals(parts: DataFrame, keys: Sequence[str] = ("unit", "path_no")) -> DataFrame:
+# The marks of OR and NOT in a condition text.
+LOGIC_RE = r"\|\||!\("
+
+
+def path_literals(parts: DataFrame, keys: Sequence[str] = ("unit", "path_no"), with_logic: bool = False) -> DataFrame:
     """Typed literals of every path (``pos`` in text order) with ``in_error``: the literal
-    names one of the path's error parameters."""
-    lits = literals_from_text(parts.select(*keys, "conditions", "error_params"), "conditions",
-                              list(keys) + ["error_params"], "pos")
+    names one of the path's error parameters; ``with_logic`` adds ``logical``: the path's
+    conditions hold OR or NOT (see ``path_clauses``)."""
+    extra = ["error_params", "logical"] if with_logic else ["error_params"]
+    parts = parts.withColumn("logical", F.col("conditions").rlike(LOGIC_RE)) if with_logic else parts
+    lits = literals_from_text(parts.select(*keys, "conditions", *extra), "conditions", [*keys, *extra], "pos")
     lits = lits.withColumn("in_error", F.array_contains(F.col("error_params"), F.col("var"))).drop("error_params")
     return typed_literals(lits)
 
 
+def path_clauses(parts: DataFrame, keys: Sequence[str] = ("unit", "path_no"), negate: bool = False) -> DataFrame:
+    """The logic of every path whose conditions hold OR or NOT, read like a rule's, as the rows
+    ``keys + (pclause, pos, negated)`` of its disjunctive normal form, or of that of its
+    negation. A path without them is one clause of all its literals and has no rows here;
+    a path that cannot be read has none either (``path_logic_error``)."""
+    dnf = _logic(parts, keys).select(*keys, F.posexplode(logic.clauses(
+        F.concat("prog", F.array(F.lit(logic.NOT))) if negate else F.col("prog"))).alias("pclause", "lits"))
+    return dnf.select(*keys, "pclause", F.explode("lits").alias("signed")).select(
+        *keys, "pclause", (F.abs("signed") - 1).alias("pos"), (F.col("signed") < 0).alias("negated"))
+
+
+def path_logic_error(parts: DataFrame, keys: Sequence[str] = ("unit", "path_no")) -> DataFrame:
+    """``keys`` of the paths with OR or NOT whose logic cannot be read."""
+    return _logic(parts, keys).where("prog is null").select(*keys)
+
+
+def _logic(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys + prog`` of the paths with OR or NOT; a single literal stands for itself."""
+    staged = parts.where(F.col("conditions").rlike(LOGIC_RE)).select(*keys, normalize_constants(F.col("conditions")).alias("norm"))
+    templated = staged.select(*keys, templated_expr(F.col("norm")).alias("templated"))
+    single = F.size(F.split("templated", r"\{\}")) == 2
+    prog = F.when(single, F.array(F.lit(0))).otherwise(logic.program(logic.mark_text(F.col("templated"))))
+    return templated.select(*keys, prog.alias("prog"))
+
+
 def paren_contents(df: DataFrame, text: str, out: str = "contents") -> DataFrame:
     """Every non-greedy ``(...)`` content of ``text``."""
     return df.withColumn(out, F.regexp_extract_all(F.col(text), F.lit(r"\((.*?)\)"), 1))

@@ -30,27 +30,29 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def prepare_paths(paths: DataFrame, checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Phase A: ``info`` (unit, path_no, line, kind, pnames, err_names, path_error) and
-    typed path literals."""
+def prepare_paths(paths: DataFrame, checkpoint: bool = True) -> tuple[DataFrame, DataFrame, dict[bool, DataFrame]]:
+    """Phase A: ``info`` (unit, path_no, line, kind, pnames, err_names, path_error), typed path
+    literals, and the clauses of paths with OR or NOT (False) and of their negations (True)."""
     parts = P.path_parts(paths)
     if checkpoint:
         parts = materialize(parts)
-    lits = P.path_literals(parts)
+    lits = P.path_literals(parts, with_logic=True)
+    clauses = {negate: P.path_clauses(parts, negate=negate) for negate in (False, True)}
     if checkpoint:
         lits = materialize(lits)
     names = lits.groupBy("unit", "path_no").agg(
         F.collect_set("var").alias("pnames"),
         F.collect_set(F.when(F.col("in_error"), F.col("var"))).alias("err_names"),
         F.bool_or((F.col("sort") == "E") | F.col("lit_error").isNotNull()).alias("path_error"))
-    info = (parts.join(names, ["unit", "path_no"], "left")
+    unread = P.path_logic_error(parts).withColumn("unread", F.lit(True))
+    info = (parts.join(names, ["unit", "path_no"], "left").join(unread, ["unit", "path_no"], "left")
             .select("unit", "path_no", "line", "kind",
                     F.coalesce("pnames", _empty()).alias("pnames"),
                     F.coalesce("err_names", _empty()).alias("err_names"),
-                    F.coalesce("path_error", F.lit(False)).alias("path_error")))
+                    (F.coalesce("path_error", F.lit(False)) | F.coalesce("unread", F.lit(False))).alias("path_error")))
     if checkpoint:
         info = materialize(info)
-    return info, lits
+    return info, lits, clauses
 
 
 def prepare_rules(rules: DataFrame, checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +107,7 @@ class AuditPlan:
 
     # ---- A / B -------------------------------------------------------------------------------
     @property
-    def path_stage(self) -> tuple[DataFrame, DataFrame]:
+    def path_stage(self) -> tuple[DataFrame, DataFrame, dict[bool, DataFrame]]:
         return self._get("paths", lambda: prepare_paths(self.paths, self.checkpoint))
 
     @property
@@ -116,11 +118,16 @@ class AuditPlan:
     def plits(self) -> DataFrame:
         return self.path_stage[1]
 
+    @property
+    def scoped(self) -> DataFrame:
+        """Path literals by scope and clause."""
+        return self._get("scoped", lambda: decide.path_scopes(self.plits, self.path_stage[2][False]))
+
     @property
     def path_summary(self) -> DataFrame:
         """Rule-independent constraint summaries of every path scope (read twice)."""
         def build():
-            ps = decide.path_summaries(decide.path_scopes(self.plits))
+            ps = decide.path_summaries(self.scoped)
             return materialize(ps) if self.checkpoint else ps
         return self._get("path_summary", build)
 
@@ -172,11 +179,10 @@ class AuditPlan:
         w_agg = w_typed.groupBy(*KEYS).agg(
             F.collect_set("var").alias("w_names"),
             F.collect_set(F.when(F.col("sval") != "", F.col("sval"))).alias("svals"),
-            F.bool_or(F.col("sort").isin("V", "E")).alias("w_var_var"))
+            F.bool_or(F.col("sort") == "E").alias("w_empty"))
         lit_flags = rlits.groupBy(*KEYS).agg(
             F.bool_or(F.col("lit_error").isNotNull()).alias("lit_err"),
             F.bool_or(F.col("sort") == "E").alias("empty_val"),
-            F.bool_or(F.col("sort") == "V").alias("var_var"),
             F.bool_or(R.symbols_expr(F.col("var"), F.col("sval"))).alias("symbols"),
             F.collect_set("var").alias("l_names"))
 
@@ -207,7 +213,7 @@ class AuditPlan:
             (F.col("rpn").isNull(), "quarantine:similarity_fold"),
             (L.similarity_gate(F.col("similarity")), "skip:similarity_gate"),
             (~_flag("in_source"), "skip:names_absent"),
-            (_flag("w_var_var"), "undecided:var_var"),
+            (_flag("w_empty"), "undecided:empty_value"),
         )
         fuzzy_reason = _first_reason(
             (F.col("exist_flag").isNull(), "quarantine:fuzzy_word_left_only"),
@@ -215,7 +221,6 @@ class AuditPlan:
             (F.col("dnf").isNull(), "quarantine:skeleton"),
             (_flag("empty_val") & multi, "quarantine:empty_value"),
             (~_flag("in_source"), "skip:names_absent"),
-            (_flag("var_var"), "undecided:var_var"),
         )
         st = st.withColumn("reason", F.when(F.col("screen") == "crisp", crisp_reason)
                            .when(F.col("screen") == "fuzzy", fuzzy_reason)
@@ -239,16 +244,23 @@ class AuditPlan:
         clauses = (ready.select(*KEYS, F.posexplode("dnf").alias("clause_id", "lits"))
                    .select(*KEYS, F.col("clause_id").cast("int").alias("clause_id"), F.explode("lits").alias("signed"))
                    .select(*KEYS, "clause_id", (F.abs("signed") - 1).alias("slot"), (F.col("signed") < 0).alias("negated")))
-        sat = decide.jointly_satisfiable(decide.clause_literals(checked, clauses), p_sum=self.path_summary,
-                                         materialize=materialize if self.checkpoint else None)
-        sat_wide = sat.groupBy(*KEYS, "path_no").agg(
-            F.bool_or(F.col("scope") == "full").alias("sat_full"),
-            F.bool_or(F.col("scope") == "err").alias("sat_err"))
+        rules, scopes, refuted = decide.refutation(decide.clause_literals(checked, clauses), self.scoped, self.path_summary,
+                                                   materialize if self.checkpoint else None)
+        if self.checkpoint:
+            refuted = materialize(refuted)
+        sat = (rules.select(*KEYS).join(scopes.select("unit", "path_no", "scope"), "unit")
+               .join(refuted, [*KEYS, "path_no", "scope"], "left_anti").select(*KEYS, "path_no", "scope"))
+        is_full, is_err_scope = F.col("scope") == "full", F.col("scope") == "err"
+        # per path: which scopes have a consistent clause; per rule and path: which are refuted
+        able = scopes.groupBy("unit", "path_no").agg(F.bool_or(is_full).alias("able_full"), F.bool_or(is_err_scope).alias("able_err"))
+        against = refuted.groupBy(*KEYS, "path_no").agg(F.bool_or(is_full).alias("no_full"), F.bool_or(is_err_scope).alias("no_err"))
 
         pairs = (ready.select(*KEYS, "screen", "names", F.coalesce("svals", _empty()).alias("svals"),
                               F.coalesce("vars", _empty()).alias("vars"), "exist_flag")
-                 .join(info, "unit").join(sat_wide, KEYS + ["path_no"], "left")
-                 .fillna(False, subset=["sat_full", "sat_err"]))
+                 .join(rules, KEYS, "left").join(info.join(able, ["unit", "path_no"], "left"), "unit").join(against, KEYS + ["path_no"], "left")
+                 .fillna(False, subset=["able_full", "able_err", "no_full", "no_err"])
+                 .withColumn("sat_full", F.col("nc").isNotNull() & F.col("able_full") & ~F.col("no_full"))
+                 .withColumn("sat_err", F.col("nc").isNotNull() & F.col("able_err") & ~F.col("no_err")))
         covered = decide.covers(F.col("names"), F.col("pnames"))
         err_cover = decide.covers(F.col("names"), F.col("err_names"))
         values_in = F.forall("svals", lambda v: F.col("line").contains(v))
@@ -291,7 +303,8 @@ class AuditPlan:
         clauses = (ready.select(*KEYS, F.posexplode("dnf").alias("clause_id", "lits"))
                    .select(*KEYS, F.col("clause_id").cast("int").alias("clause_id"), F.explode("lits").alias("signed"))
                    .select(*KEYS, "clause_id", (F.abs("signed") - 1).alias("slot"), (F.col("signed") < 0).alias("negated")))
-        sat_neg = decide.jointly_satisfiable(decide.clause_literals(checked, clauses), decide.negated_path_scopes(plits))
+        sat_neg = decide.refutation(decide.clause_literals(checked, clauses), decide.negated_path_scopes(plits, self.path_stage[2][True]),
+                                    materialize=materialize if self.checkpoint else None)
         pairs = (ready.select(*KEYS, "names").join(info.select("unit", "path_no", "kind", "pnames"), "unit")
                  .select(*KEYS, "path_no", "kind", decide.covers(F.col("names"), F.col("pnames")).alias("covered")))
         return decide.entails(sat_neg, pairs)

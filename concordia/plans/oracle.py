@@ -245,7 +245,6 @@ simfold AS (
 -- per-rule state
 lf AS (
   SELECT unit, rule_id, bool_or(lit_error IS NOT NULL) AS lit_err, bool_or(sort = 'E') AS empty_val,
-    bool_or(sort = 'V') AS var_var,
     bool_or({' OR '.join(f"contains(var, {q(c)}) OR contains(sval, {q(c)})" for c in vocab.SYMBOL_CHARS)}) AS symbols,
     list_distinct(list(var)) AS l_names
   FROM rl GROUP BY ALL),
@@ -253,12 +252,12 @@ mf AS (SELECT unit, rule_id, bool_and(sim > 0) AS all_matched FROM mt GROUP BY A
 wf AS (
   SELECT unit, rule_id, list_distinct(list(var)) AS w_names,
     coalesce(list_distinct(list(sval) FILTER (WHERE sval <> '')), []) AS svals,
-    bool_or(sort IN ('V', 'E')) AS w_var_var
+    bool_or(sort = 'E') AS w_empty
   FROM wt GROUP BY ALL),
 rn AS (SELECT unit, rule_id, list_distinct(list(var)) AS r_names FROM rr GROUP BY ALL),
 st0 AS (
-  SELECT v.unit, v.rule_id, v.screen, sk.n_slots, sk.dnf, lf.lit_err, lf.empty_val, lf.var_var, lf.symbols,
-    mf.all_matched, sf.similarity, wf.svals, wf.w_var_var, fz.vars, fz.exist_flag,
+  SELECT v.unit, v.rule_id, v.screen, sk.n_slots, sk.dnf, lf.lit_err, lf.empty_val, lf.symbols,
+    mf.all_matched, sf.similarity, wf.svals, wf.w_empty, fz.vars, fz.exist_flag,
     CASE WHEN v.screen = 'crisp' THEN wf.w_names
          ELSE list_distinct(list_concat(coalesce(lf.l_names, []), coalesce(rn.r_names, []))) END AS names,
     b.unit IS NOT NULL AS unit_path_error
@@ -284,14 +283,13 @@ st AS (
         WHEN s.n_slots <= 1 THEN 'skip:single_literal'
         WHEN s.similarity > 0.85 AND s.similarity < 1 THEN 'skip:similarity_gate'
         WHEN NOT coalesce(i.in_source, false) THEN 'skip:names_absent'
-        WHEN coalesce(s.w_var_var, false) THEN 'undecided:var_var' END)
+        WHEN coalesce(s.w_empty, false) THEN 'undecided:empty_value' END)
     ELSE (CASE
         WHEN s.exist_flag IS NULL THEN 'quarantine:fuzzy_word_left_only'
         WHEN coalesce(s.lit_err, false) AND s.n_slots > 1 THEN 'quarantine:numeric_left_equality'
         WHEN s.dnf IS NULL THEN 'quarantine:skeleton'
         WHEN coalesce(s.empty_val, false) AND s.n_slots > 1 THEN 'quarantine:empty_value'
-        WHEN NOT coalesce(i.in_source, false) THEN 'skip:names_absent'
-        WHEN coalesce(s.var_var, false) THEN 'undecided:var_var' END) END AS reason
+        WHEN NOT coalesce(i.in_source, false) THEN 'skip:names_absent' END) END AS reason
   FROM st0 s LEFT JOIN insrc i USING (unit, rule_id)),
 ready AS (SELECT * FROM st WHERE reason IS NULL),
 -- satisfiability by candidate points
@@ -375,8 +373,8 @@ res2 AS (
     screen = 'crisp' AND NOT path_error AND covered AND kind = 'error' AND err_cover AND values_in AND sat_err AS hit
   FROM res),
 vd AS (
-  SELECT unit, rule_id, CAST(count(result) AS INTEGER) AS n_results,
-    CAST(count(*) FILTER (WHERE result) AS INTEGER) AS n_true, bool_or(hit) AS hit,
+  SELECT unit, rule_id, count(result) AS n_results,
+    count(*) FILTER (WHERE result) AS n_true, bool_or(hit) AS hit,
     CASE WHEN bool_or(hit) THEN 'BAD_ERROR'
          WHEN count(result) > 0 AND count(*) FILTER (WHERE result) = 0 THEN
            (CASE WHEN any_value(screen) = 'fuzzy' THEN 'BAD_FUZZY' ELSE 'BAD' END)
