@@ -18,11 +18,11 @@ def confusion_counts(labels: DataFrame) -> DataFrame:
     """Total, consistent, inconsistent, fp, fn in one aggregate."""
     lab = F.col("label")
     return labels.agg(
-        F.count(F.lit(1)).cast("int").alias("total"),
-        F.count_if(lab == "consistent").cast("int").alias("consistent"),
-        F.count_if(lab == "inconsistent").cast("int").alias("inconsistent"),
-        F.count_if(lab == "FP").cast("int").alias("fp"),
-        F.count_if(lab == "FN").cast("int").alias("fn"))
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(lab == "consistent").alias("consistent"),
+        F.count_if(lab == "inconsistent").alias("inconsistent"),
+        F.count_if(lab == "FP").alias("fp"),
+        F.count_if(lab == "FN").alias("fn"))
 
 
 def quality_metrics(counts: DataFrame) -> DataFrame:
@@ -47,15 +47,15 @@ def method_comparison(records: DataFrame) -> DataFrame:
     """Correct / incorrect / missing / accuracy per extraction method."""
     miss = F.coalesce(F.col("note") == "miss", F.lit(False))
     return records.groupBy("method").agg(
-        F.count_if(~miss & (F.col("consistent") == 1)).cast("int").alias("correct"),
-        F.count_if(~miss & (F.col("consistent") == 0)).cast("int").alias("incorrect"),
-        F.count_if(miss).cast("int").alias("missing"),
+        F.count_if(~miss & (F.col("consistent") == 1)).alias("correct"),
+        F.count_if(~miss & (F.col("consistent") == 0)).alias("incorrect"),
+        F.count_if(miss).alias("missing"),
         (F.count_if(~miss & (F.col("consistent") == 1)) / F.count(F.lit(1))).alias("accuracy"))
 
 
 def confirmation_rate(issues: DataFrame, group: str = "source") -> DataFrame:
     """Confirmed / reported per group."""
     return issues.groupBy(group).agg(
-        F.count_if(F.col("quality") == 1).cast("int").alias("confirmed"),
-        F.count(F.lit(1)).cast("int").alias("reported")).withColumn(
+        F.count_if(F.col("quality") == 1).alias("confirmed"),
+        F.count(F.lit(1)).alias("reported")).withColumn(
         "rate", F.col("confirmed") / F.col("reported"))

@@ -1,7 +1,9 @@
 """Parameter tables from docstrings: cleaning (E6), comma expansion (E7), overlay.
 
-Rows are ``(unit, project, section, pos, name, descr)``; ``pos`` is the entry's order in
-the docstring (a later entry with the same name replaces an earlier one)."""
+Rows are ``(project, unit, member, section, pos, name, descr)``; ``pos`` is the entry's order in
+the docstring (a later entry with the same name replaces an earlier one). The three keys name
+what a docstring belongs to: two projects may hold units of one name, and ``member`` is the
+method of a class, empty for the class or function itself."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 
 # FIXED VALUES: projects whose "(a, b)" names become one joined name "a_and_b".
 AND_PROJECTS = ("scipy", "example")
-SUB_BASE = 1000  # order key = pos * SUB_BASE + position inside an expanded name
+UNIT = ["project", "unit", "member"]
+SUB_BITS = 32  # order key: pos, then the position inside an expanded name, each below 2^31
 
 
 def clean_param_rows(params: DataFrame) -> DataFrame:
@@ -21,14 +24,14 @@ def clean_param_rows(params: DataFrame) -> DataFrame:
     the text of its last entry."""
     paren = F.locate("(", F.col("name"))
     name = F.when(paren > 1, F.trim(F.expr("substring(name, 1, locate('(', name) - 1)"))).otherwise(F.col("name"))
-    with_args = params.where(F.col("section") == "param").select("unit").distinct()
-    cleaned = (params.join(with_args, "unit", "left_semi")
+    with_args = params.where(F.col("section") == "param").select(*UNIT).distinct()
+    cleaned = (params.join(with_args, UNIT, "left_semi")
                .withColumn("name", name)
                .withColumn("descr", F.regexp_replace("descr", r"\s*,\s*", ", ")))
     bad = (F.col("name").contains("*") | F.col("name").contains(".") | F.col("name").contains("[")
            | F.col("name").contains("]") | (F.col("name").contains(" ") & ~F.col("name").contains(",")))
     kept = cleaned.where(~bad)
-    return (kept.groupBy("unit", "project", "section", "name")
+    return (kept.groupBy(*UNIT, "section", "name")
             .agg(F.max_by("descr", "pos").alias("descr"), F.min("pos").alias("pos")))
 
 
@@ -46,19 +49,18 @@ def expand_comma_names(params: DataFrame, and_projects: Sequence[str] = AND_PROJ
                                           F.array(F.array_join(trim_all(F.split(parens, ",")), "_and_")))
                      .otherwise(trim_all(F.split(parens, ","))))
                .otherwise(trim_all(F.split(F.col("name"), ","))))
-    exploded = params.select("unit", "project", "section", "pos", "descr",
+    exploded = params.select(*UNIT, "section", "pos", "descr",
                              F.posexplode(aliases).alias("sub", "alias"))
-    ranked = exploded.select("unit", "project", "section", F.col("alias").alias("name"), "descr",
-                             (F.col("pos").cast("long") * SUB_BASE + F.col("sub")).alias("order"))
-    return (ranked.groupBy("unit", "project", "section", "name")
+    ranked = exploded.select(*UNIT, "section", F.col("alias").alias("name"), "descr",
+                             (F.shiftleft(F.col("pos").cast("long"), SUB_BITS) + F.col("sub")).alias("order"))
+    return (ranked.groupBy(*UNIT, "section", "name")
             .agg(F.max_by("descr", "order").alias("descr"), F.min("order").alias("order")))
 
 
 def overlay_params(params: DataFrame) -> DataFrame:
     """The 'pa' map: parameters overlaid by attributes of the same name."""
     prio = F.when(F.col("section") == "attr", F.lit(1)).otherwise(F.lit(0))
-    return (params.withColumn("k", prio.cast("long") * (1 << 40) + F.col("order"))
-            .groupBy("unit", "project", "name").agg(F.max_by("descr", "k").alias("descr")))
+    return params.groupBy(*UNIT, "name").agg(F.max_by("descr", F.struct(prio, "order")).alias("descr"))
 
 
 def param_table(raw: DataFrame, and_projects: Sequence[str] = AND_PROJECTS) -> DataFrame:
@@ -108,7 +110,7 @@ def parse_sections(lines: DataFrame, style: str = "flag") -> DataFrame:
     at the document's first key indent starts a key; deeper ``:`` lines and plain lines
     continue it.  Deeper ``:`` lines met while no key is open wait for the next key.
     Dialects other than 'Parameters', 'Parameters:' and 'Args:' yield nothing."""
-    w = Window.partitionBy("unit").orderBy("line_no")
+    w = Window.partitionBy("project", "unit").orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     after = w.rowsBetween(1, Window.unboundedFollowing)
@@ -138,7 +140,7 @@ def parse_sections(lines: DataFrame, style: str = "flag") -> DataFrame:
     keys = parts.where("is_key").select("unit", "project", F.col("line_no").alias("owner"), "section",
                                         _strip(F.substring_index("line", ":", 1)).alias("name"))
     vals = (parts.where(F.col("owner").isNotNull())
-            .groupBy("unit", "owner").agg(F.sort_array(F.collect_list(F.struct("line_no", "part"))).alias("ps")))
+            .groupBy("project", "unit", "owner").agg(F.sort_array(F.collect_list(F.struct("line_no", "part"))).alias("ps")))
     joined = F.regexp_replace(_strip(F.array_join(F.transform("ps", lambda x: x["part"]), " ")), r"\s*,\s*", ", ")
-    return (keys.join(vals, ["unit", "owner"])
+    return (keys.join(vals, ["project", "unit", "owner"])
             .select("unit", "project", "section", F.col("owner").cast("int").alias("pos"), "name", joined.alias("descr")))

@@ -15,7 +15,7 @@ def name_universe(*tables: DataFrame) -> DataFrame:
     u = tagged[0]
     for t in tagged[1:]:
         u = u.unionByName(t)
-    return u.groupBy("unit", "name").agg(F.countDistinct("list").cast("int").alias("n_lists"))
+    return u.groupBy("unit", "name").agg(F.countDistinct("list").alias("n_lists"))
 
 
 def undefined_names(uses: DataFrame, defs: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
@@ -35,7 +35,7 @@ def dictionary(df: DataFrame, col: str) -> DataFrame:
     offsets = sizes.withColumn("offset", F.coalesce(
         F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(offsets.select("pid", "offset")), "pid").select(
-        "value", (F.col("offset") + F.col("rn")).cast("int").alias("code"))
+        "value", (F.col("offset") + F.col("rn")).cast("long").alias("code"))
 
 
 def dict_encode(df: DataFrame, col: str, dictionary_df: DataFrame) -> DataFrame:

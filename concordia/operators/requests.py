@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordia.operators.extract import UNIT
+
 CHUNK_SIZE = 1500      # FIXED VALUE: characters per chunk
 CHUNK_MIN_LEN = 1000   # FIXED VALUE: only longer texts are chunked
 
@@ -18,10 +20,10 @@ CLOSING_TEMPLATES = (
 
 
 def render_doc(params: DataFrame) -> DataFrame:
-    """``unit, text, param_list`` from an expanded parameter table (section, name,
+    """``project, unit, member, text, param_list`` from an expanded parameter table (section, name,
     descr, order): a Parameters block, an Attributes block, and the overlay's names."""
     entry = F.struct("order", "name", "descr")
-    per_unit = params.groupBy("unit").agg(
+    per_unit = params.groupBy(*UNIT).agg(
         F.sort_array(F.collect_list(F.when(F.col("section") == "param", entry))).alias("ps"),
         F.sort_array(F.collect_list(F.when(F.col("section") == "attr", entry))).alias("ats"))
     lines = lambda arr: F.array_join(F.transform(arr, lambda x: F.concat(F.lit("\n"), x["name"], F.lit(":"), x["descr"])), "")
@@ -30,7 +32,7 @@ def render_doc(params: DataFrame) -> DataFrame:
         F.when(F.size("ats") > 0, F.lit("\nAttributes\n----------")).otherwise(F.lit("")), lines(F.col("ats")))
     pnames = F.transform("ps", lambda x: x["name"])
     anames = F.filter(F.transform("ats", lambda x: x["name"]), lambda n: ~F.array_contains(pnames, n))
-    return per_unit.select("unit", text.alias("text"), F.array_join(F.concat(pnames, anames), ",").alias("param_list"))
+    return per_unit.select(*UNIT, text.alias("text"), F.array_join(F.concat(pnames, anames), ",").alias("param_list"))
 
 
 def chunk_text(df: DataFrame, key: str, text: str = "text", size: int = CHUNK_SIZE,

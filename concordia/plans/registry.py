@@ -195,11 +195,11 @@ from concordia.sources.tables import table  # noqa: E402
 _X1_SQL = f"""WITH {duckdb_ctes('fx_verdicts')},
 x1 AS (SELECT *, CASE WHEN predicted <> oracle THEN (CASE WHEN predicted THEN 'FN' ELSE 'FP' END)
                       WHEN predicted THEN 'consistent' ELSE 'inconsistent' END AS label FROM fx_verdicts),
-x2 AS (SELECT CAST(count(*) AS INTEGER) AS total,
-              CAST(count(*) FILTER (WHERE label = 'consistent') AS INTEGER) AS consistent,
-              CAST(count(*) FILTER (WHERE label = 'inconsistent') AS INTEGER) AS inconsistent,
-              CAST(count(*) FILTER (WHERE label = 'FP') AS INTEGER) AS fp,
-              CAST(count(*) FILTER (WHERE label = 'FN') AS INTEGER) AS fn FROM x1)
+x2 AS (SELECT count(*) AS total,
+              count(*) FILTER (WHERE label = 'consistent') AS consistent,
+              count(*) FILTER (WHERE label = 'inconsistent') AS inconsistent,
+              count(*) FILTER (WHERE label = 'FP') AS fp,
+              count(*) FILTER (WHERE label = 'FN') AS fn FROM x1)
 """
 
 
@@ -234,9 +234,9 @@ def q_x4(spark, sf_dir):
 
 @register("x5_method_comparison", f"""WITH {duckdb_ctes('fx_records')}
 SELECT method,
-  CAST(count(*) FILTER (WHERE coalesce(note, '') <> 'miss' AND consistent = 1) AS INTEGER) AS correct,
-  CAST(count(*) FILTER (WHERE coalesce(note, '') <> 'miss' AND consistent = 0) AS INTEGER) AS incorrect,
-  CAST(count(*) FILTER (WHERE note = 'miss') AS INTEGER) AS missing,
+  count(*) FILTER (WHERE coalesce(note, '') <> 'miss' AND consistent = 1) AS correct,
+  count(*) FILTER (WHERE coalesce(note, '') <> 'miss' AND consistent = 0) AS incorrect,
+  count(*) FILTER (WHERE note = 'miss') AS missing,
   count(*) FILTER (WHERE coalesce(note, '') <> 'miss' AND consistent = 1) / count(*) AS accuracy
 FROM fx_records GROUP BY method""")
 def q_x5(spark, sf_dir):
@@ -244,7 +244,7 @@ def q_x5(spark, sf_dir):
 
 
 @register("x6_confirmation_rate", """SELECT d.source,
-  CAST(count(*) FILTER (WHERE l.quality = 1) AS INTEGER) AS confirmed, CAST(count(*) AS INTEGER) AS reported,
+  count(*) FILTER (WHERE l.quality = 1) AS confirmed, count(*) AS reported,
   count(*) FILTER (WHERE l.quality = 1) / count(*) AS rate
 FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source""")
 def q_x6(spark, sf_dir):
@@ -271,7 +271,7 @@ p AS (SELECT file,
         CASE WHEN line = 'BAD CONSTRAINT' THEN line ELSE regexp_extract(line, {O.q(S.COUNTER_RE)}, 1) END AS metric,
         CASE WHEN line = 'BAD CONSTRAINT' THEN NULL ELSE CAST(regexp_extract(line, {O.q(S.COUNTER_RE)}, 2) AS BIGINT) END AS value
       FROM fx_logs)
-SELECT file, metric, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(value) AS BIGINT) AS total FROM p WHERE metric <> '' GROUP BY ALL""")
+SELECT file, metric, count(*) AS n_lines, CAST(sum(value) AS BIGINT) AS total FROM p WHERE metric <> '' GROUP BY ALL""")
 def q_s9(spark, sf_dir):
     return S.parse_run_log(fixture(spark, sf_dir, "fx_logs"), "file")
 
@@ -281,17 +281,17 @@ from concordia.operators import align as A, extract as E, requests as T, xref as
 
 _PARAMS_SQL = f"""WITH {duckdb_ctes('fx_params', 'fx_signatures')},
 e6b AS (
-  SELECT unit, project, section, pos,
+  SELECT project, unit, member, section, pos,
     CASE WHEN strpos(name, '(') > 1 THEN trim(substr(name, 1, strpos(name, '(') - 1)) ELSE name END AS name,
     regexp_replace(descr, '\\s*,\\s*', ', ', 'g') AS descr
-  FROM fx_params WHERE unit IN (SELECT unit FROM fx_params WHERE section = 'param')),
+  FROM fx_params WHERE (project, unit, member) IN (SELECT (project, unit, member) FROM fx_params WHERE section = 'param')),
 e6 AS (
-  SELECT unit, project, section, name, arg_max(descr, pos) AS descr, min(pos) AS pos FROM e6b
+  SELECT project, unit, member, section, name, arg_max(descr, pos) AS descr, min(pos) AS pos FROM e6b
   WHERE NOT (contains(name, '*') OR contains(name, '.') OR contains(name, '[') OR contains(name, ']')
              OR (contains(name, ' ') AND NOT contains(name, ',')))
   GROUP BY ALL),
 e7a AS (
-  SELECT unit, project, section, pos, descr,
+  SELECT project, unit, member, section, pos, descr,
     CASE WHEN NOT contains(name, ',') THEN [name]
       WHEN regexp_extract(name, '\\{{([^{{}}]+)\\}}_([a-zA-Z0-9_]+)', 1) <> '' THEN
         list_transform(string_split(regexp_extract(name, '\\{{([^{{}}]+)\\}}_([a-zA-Z0-9_]+)', 1), ','),
@@ -302,20 +302,20 @@ e7a AS (
          ELSE list_transform(string_split(regexp_extract(name, '\\(([^()]+)\\)', 1), ','), lambda x: trim(x)) END)
       ELSE list_transform(string_split(name, ','), lambda x: trim(x)) END AS aliases
   FROM e6),
-e7b AS (SELECT unit, project, section, descr, aliases[k] AS name, CAST(pos AS BIGINT) * 1000 + (k - 1) AS ord
+e7b AS (SELECT project, unit, member, section, descr, aliases[k] AS name, CAST(pos AS BIGINT) * 4294967296 + (k - 1) AS ord
         FROM (SELECT *, unnest(generate_series(1, len(aliases))) AS k FROM e7a)),
-e7 AS (SELECT unit, project, section, name, arg_max(descr, ord) AS descr, min(ord) AS "order" FROM e7b GROUP BY ALL),
-e8 AS (SELECT unit, project, name,
-         arg_max(descr, (CASE WHEN section = 'attr' THEN 1 ELSE 0 END) * CAST(1099511627776 AS BIGINT) + "order") AS descr
+e7 AS (SELECT project, unit, member, section, name, arg_max(descr, ord) AS descr, min(ord) AS "order" FROM e7b GROUP BY ALL),
+e8 AS (SELECT project, unit, member, name,
+         arg_max(descr, (CASE WHEN section = 'attr' THEN 1 ELSE 0 END, "order")) AS descr
        FROM e7 GROUP BY ALL),
-doc AS (SELECT DISTINCT unit, name FROM e7 WHERE section = 'param' AND NOT contains(name, '*')
+doc AS (SELECT DISTINCT project, unit, member, name FROM e7 WHERE section = 'param' AND NOT contains(name, '*')
           AND NOT contains(name, 'kwargs') AND name <> 'cls'),
-code AS (SELECT DISTINCT unit, name FROM (SELECT unit, unnest(params) AS name FROM fx_signatures)
+code AS (SELECT DISTINCT project, unit, member, name FROM (SELECT project, unit, member, unnest(params) AS name FROM fx_signatures)
          WHERE name <> 'self' AND NOT starts_with(name, '*') AND NOT contains(name, 'kwargs') AND name <> 'cls'),
-sides AS (SELECT coalesce(d.unit, c.unit) AS unit, coalesce(d.name, c.name) AS name,
-            d.name IS NOT NULL AS in_doc, c.name IS NOT NULL AS in_code
-          FROM doc d FULL OUTER JOIN code c ON d.unit = c.unit AND d.name = c.name),
-g1 AS (SELECT s.unit, s.name AS src, d.name AS dst FROM e8 s JOIN e8 d USING (unit)
+sides AS (SELECT project, unit, member, name,
+            coalesce(in_d, false) AS in_doc, coalesce(in_c, false) AS in_code
+          FROM (SELECT *, true AS in_d FROM doc) d FULL OUTER JOIN (SELECT *, true AS in_c FROM code) c USING (project, unit, member, name)),
+g1 AS (SELECT project, unit, member, s.name AS src, d.name AS dst FROM e8 s JOIN e8 d USING (project, unit, member)
        WHERE s.name <> d.name AND (CASE WHEN length(s.name) >= 3 THEN contains(d.descr, s.name)
                                         ELSE contains(d.descr, '`' || s.name || '`') END))
 """
@@ -330,7 +330,7 @@ def _pa(spark, sf_dir):
 
 
 def _doc_code(spark, sf_dir):
-    doc = _params(spark, sf_dir).where(F.col("section") == "param").select("unit", "name")
+    doc = _params(spark, sf_dir).where(F.col("section") == "param").select(*E.UNIT, "name")
     code = A.declared_names(fixture(spark, sf_dir, "fx_signatures"))
     return doc, code
 
@@ -350,38 +350,38 @@ def q_e8(spark, sf_dir):
     return _pa(spark, sf_dir)
 
 
-@register("a1_drop_variadic", _PARAMS_SQL + """SELECT unit, CAST(k - 1 AS INTEGER) AS pos, params[k] AS name
-FROM (SELECT unit, params, unnest(generate_series(1, len(params))) AS k FROM fx_signatures)
+@register("a1_drop_variadic", _PARAMS_SQL + """SELECT project, unit, member, CAST(k - 1 AS INTEGER) AS pos, params[k] AS name
+FROM (SELECT project, unit, member, params, unnest(generate_series(1, len(params))) AS k FROM fx_signatures)
 WHERE NOT contains(params[k], '*') AND NOT contains(params[k], 'kwargs') AND params[k] <> 'cls'""")
 def q_a1(spark, sf_dir):
-    sig = fixture(spark, sf_dir, "fx_signatures").select("unit", F.posexplode("params").alias("pos", "name"))
-    return A.drop_variadic(sig.select("unit", F.col("pos").cast("int").alias("pos"), "name"))
+    sig = fixture(spark, sf_dir, "fx_signatures").select(*E.UNIT, F.posexplode("params").alias("pos", "name"))
+    return A.drop_variadic(sig.select(*E.UNIT, F.col("pos").cast("int").alias("pos"), "name"))
 
 
-@register("a2_param_mismatch", _PARAMS_SQL + """SELECT unit,
+@register("a2_param_mismatch", _PARAMS_SQL + """SELECT project, unit, member,
   coalesce(list_sort(list(name) FILTER (WHERE in_doc)), []) AS doc,
   coalesce(list_sort(list(name) FILTER (WHERE in_code)), []) AS code,
   coalesce(list_sort(list(name) FILTER (WHERE NOT (in_doc AND in_code))), []) AS difference
-FROM sides GROUP BY unit HAVING count(*) FILTER (WHERE NOT (in_doc AND in_code)) > 0""")
+FROM sides GROUP BY project, unit, member HAVING count(*) FILTER (WHERE NOT (in_doc AND in_code)) > 0""")
 def q_a2(spark, sf_dir):
     return A.param_mismatch(*_doc_code(spark, sf_dir))
 
 
-@register("a3_mismatch_side", _PARAMS_SQL + """SELECT unit, name, CASE WHEN in_doc THEN 'doc' ELSE 'code' END AS side
+@register("a3_mismatch_side", _PARAMS_SQL + """SELECT project, unit, member, name, CASE WHEN in_doc THEN 'doc' ELSE 'code' END AS side
 FROM sides WHERE NOT (in_doc AND in_code)""")
 def q_a3(spark, sf_dir):
     return A.mismatch_side(*_doc_code(spark, sf_dir))
 
 
-@register("c10_list_relations", _PARAMS_SQL + """SELECT d.unit, list_has_any(d.names, c.names) AS intersects,
+@register("c10_list_relations", _PARAMS_SQL + """SELECT project, unit, member, list_has_any(d.names, c.names) AS intersects,
   len(list_filter(d.names, lambda x: NOT list_contains(c.names, x))) = 0 AS contained
-FROM (SELECT unit, list(name) AS names FROM doc GROUP BY unit) d
-JOIN (SELECT unit, list(name) AS names FROM code GROUP BY unit) c USING (unit)""")
+FROM (SELECT project, unit, member, list(name) AS names FROM doc GROUP BY ALL) d
+JOIN (SELECT project, unit, member, list(name) AS names FROM code GROUP BY ALL) c USING (project, unit, member)""")
 def q_c10(spark, sf_dir):
     doc, code = _doc_code(spark, sf_dir)
-    d = A.drop_variadic(doc).groupBy("unit").agg(F.collect_set("name").alias("doc"))
-    c = A.drop_variadic(code).groupBy("unit").agg(F.collect_set("name").alias("code"))
-    return R.list_relations(d.join(c, "unit"), "doc", "code").select("unit", "intersects", "contained")
+    d = A.drop_variadic(doc).groupBy(*E.UNIT).agg(F.collect_set("name").alias("doc"))
+    c = A.drop_variadic(code).groupBy(*E.UNIT).agg(F.collect_set("name").alias("code"))
+    return R.list_relations(d.join(c, E.UNIT), "doc", "code").select(*E.UNIT, "intersects", "contained")
 
 
 @register("g1_xref_edges", _PARAMS_SQL + "SELECT * FROM g1")
@@ -389,35 +389,39 @@ def q_g1(spark, sf_dir):
     return G.xref_edges(_pa(spark, sf_dir))
 
 
-@register("g2_xref_degree", _PARAMS_SQL + "SELECT unit, src, CAST(count(*) AS INTEGER) AS n FROM g1 GROUP BY ALL")
+@register("g2_xref_degree", _PARAMS_SQL + "SELECT project, unit, member, src, count(*) AS n FROM g1 GROUP BY ALL")
 def q_g2(spark, sf_dir):
     return G.xref_degree(G.xref_edges(_pa(spark, sf_dir)))
 
 
-@register("g3_prune_units", _PARAMS_SQL + "SELECT DISTINCT unit, project FROM e8 WHERE unit IN (SELECT unit FROM g1)")
+@register("g3_prune_units", _PARAMS_SQL + """SELECT DISTINCT project, unit, member, EXISTS (
+  SELECT 1 FROM g1 WHERE g1.project = e8.project AND g1.unit = e8.unit AND g1.member = e8.member) AS has_map FROM e8
+WHERE EXISTS (SELECT 1 FROM g1 WHERE g1.project = e8.project AND g1.unit = e8.unit AND g1.member = '')""")
 def q_g3(spark, sf_dir):
     pa = _pa(spark, sf_dir)
-    return G.prune_units(pa.select("unit", "project").distinct(), G.xref_edges(pa))
+    return G.prune_units(pa, G.xref_edges(pa))
 
 
-@register("g4_prune_summary", _PARAMS_SQL + """SELECT project, CAST(count(DISTINCT unit) AS INTEGER) AS n_before,
-  CAST(count(DISTINCT unit) FILTER (WHERE unit IN (SELECT unit FROM g1)) AS INTEGER) AS n_after FROM e8 GROUP BY project""")
+@register("g4_prune_summary", _PARAMS_SQL + """SELECT project, count(*) FILTER (WHERE member = '') AS n_before,
+  count(*) FILTER (WHERE member = '' AND kept) AS n_after, count(*) FILTER (WHERE member <> '') AS members_before,
+  count(*) FILTER (WHERE member <> '' AND kept) AS members_after
+FROM (SELECT DISTINCT project, unit, member, (project, unit) IN (SELECT (project, unit) FROM g1 WHERE member = '') AS kept FROM e8) GROUP BY project""")
 def q_g4(spark, sf_dir):
     pa = _pa(spark, sf_dir)
-    return G.prune_summary(pa.select("unit", "project"), G.xref_edges(pa))
+    return G.prune_summary(pa, G.xref_edges(pa))
 
 
 @register("t1_render_doc", _PARAMS_SQL + """, pn AS (
-  SELECT unit, name, CASE WHEN section = 'param' THEN 0 ELSE 1 END AS r, "order" FROM e7 e
-  WHERE section = 'param' OR NOT EXISTS (SELECT 1 FROM e7 x WHERE x.unit = e.unit AND x.section = 'param' AND x.name = e.name))
-SELECT t.unit, t.text, p.param_list FROM (
-  SELECT unit,
+  SELECT project, unit, member, name, CASE WHEN section = 'param' THEN 0 ELSE 1 END AS r, "order" FROM e7 e
+  WHERE section = 'param' OR NOT EXISTS (SELECT 1 FROM e7 x WHERE x.unit = e.unit AND x.project = e.project AND x.member = e.member AND x.section = 'param' AND x.name = e.name))
+SELECT project, unit, member, t.text, p.param_list FROM (
+  SELECT project, unit, member,
     (CASE WHEN count(*) FILTER (WHERE section = 'param') > 0 THEN 'Parameters' || chr(10) || '----------' ELSE '' END)
     || coalesce(string_agg(chr(10) || name || ':' || descr, '' ORDER BY "order") FILTER (WHERE section = 'param'), '')
     || (CASE WHEN count(*) FILTER (WHERE section = 'attr') > 0 THEN chr(10) || 'Attributes' || chr(10) || '----------' ELSE '' END)
     || coalesce(string_agg(chr(10) || name || ':' || descr, '' ORDER BY "order") FILTER (WHERE section = 'attr'), '') AS text
-  FROM e7 GROUP BY unit) t
-JOIN (SELECT unit, string_agg(name, ',' ORDER BY r, "order") AS param_list FROM pn GROUP BY unit) p USING (unit)""")
+  FROM e7 GROUP BY project, unit, member) t
+JOIN (SELECT project, unit, member, string_agg(name, ',' ORDER BY r, "order") AS param_list FROM pn GROUP BY ALL) p USING (project, unit, member)""")
 def q_t1(spark, sf_dir):
     return T.render_doc(_params(spark, sf_dir))
 
@@ -482,7 +486,7 @@ def q_l1(spark, sf_dir):
     return L.norm_levenshtein_pairs(pairs, "a", "b")
 
 
-@register("d1_name_universe", """SELECT unit, name, CAST(count(DISTINCT lst) AS INTEGER) AS n_lists FROM (
+@register("d1_name_universe", """SELECT unit, name, count(DISTINCT lst) AS n_lists FROM (
   SELECT DISTINCT c_nationkey AS unit, c_mktsegment AS name, 0 AS lst FROM customer
   UNION ALL SELECT DISTINCT s_nationkey, s_name, 1 FROM supplier
   UNION ALL SELECT DISTINCT n_nationkey, n_name, 2 FROM nation) GROUP BY ALL""")
@@ -493,20 +497,20 @@ def q_d1(spark, sf_dir):
     return D.name_universe(c, s, n)
 
 
-@register("d2_undefined_names", _PARAMS_SQL + """SELECT DISTINCT u.unit, u.name FROM e7 u
-WHERE u.section = 'param' AND NOT EXISTS (SELECT 1 FROM code c WHERE c.unit = u.unit AND c.name = u.name)
-  AND NOT EXISTS (SELECT 1 FROM e7 a WHERE a.section = 'attr' AND a.unit = u.unit AND a.name = u.name)""")
+@register("d2_undefined_names", _PARAMS_SQL + """SELECT DISTINCT project, unit, member, name FROM e7 u
+WHERE u.section = 'param' AND NOT EXISTS (SELECT 1 FROM code c WHERE (c.project, c.unit, c.member, c.name) = (u.project, u.unit, u.member, u.name))
+  AND NOT EXISTS (SELECT 1 FROM e7 a WHERE a.section = 'attr' AND (a.project, a.unit, a.member, a.name) = (u.project, u.unit, u.member, u.name))""")
 def q_d2(spark, sf_dir):
     params = _params(spark, sf_dir)
-    uses = params.where(F.col("section") == "param").select("unit", "name").distinct()
-    defs = (fixture(spark, sf_dir, "fx_signatures").select("unit", F.explode("params").alias("name"))
+    uses = params.where(F.col("section") == "param").select(*E.UNIT, "name").distinct()
+    defs = (fixture(spark, sf_dir, "fx_signatures").select(*E.UNIT, F.explode("params").alias("name"))
             .where((F.col("name") != "self") & ~F.col("name").startswith("*") & ~F.col("name").contains("kwargs")
                    & (F.col("name") != "cls"))
-            .unionByName(params.where(F.col("section") == "attr").select("unit", "name")))
-    return D.undefined_names(uses, defs, ["unit", "name"])
+            .unionByName(params.where(F.col("section") == "attr").select(*E.UNIT, "name")))
+    return D.undefined_names(uses, defs, [*E.UNIT, "name"])
 
 
-@register("d3_dict_encode", """WITH dct AS (SELECT p_type AS value, CAST(dense_rank() OVER (ORDER BY p_type) AS INTEGER) AS code
+@register("d3_dict_encode", """WITH dct AS (SELECT p_type AS value, CAST(dense_rank() OVER (ORDER BY p_type) AS BIGINT) AS code
                    FROM (SELECT DISTINCT p_type FROM part))
 SELECT p.p_partkey, p.p_type, d.code AS p_type_code, d.value AS decoded FROM part p JOIN dct d ON p.p_type = d.value""")
 def q_d3(spark, sf_dir):
@@ -569,8 +573,8 @@ def q_p3(spark, sf_dir):
     return Tr.render_paths(p, conds)
 
 
-@register("s3_param_json", _PARAMS_SQL + """SELECT unit, section, name, descr FROM e7
-UNION ALL SELECT unit, 'pa', name, descr FROM e8""")
+@register("s3_param_json", _PARAMS_SQL + """SELECT project, unit, member, section, name, descr FROM e7
+UNION ALL SELECT project, unit, member, 'pa', name, descr FROM e8""")
 def q_s3(spark, sf_dir):
     params = _params(spark, sf_dir)
     return ST.read_param_json(ST.write_param_json(params, E.overlay_params(params)))
@@ -637,7 +641,7 @@ def _hkind_sql() -> str:
             f"WHEN flag = 'Args:' THEN ({cases(V.GOOGLE_HEADERS, False)}) END")
 
 
-_W = "PARTITION BY unit ORDER BY line_no"
+_W = "PARTITION BY project, unit ORDER BY line_no"
 _SECTIONS_SQL = f"""WITH {duckdb_ctes('fx_docs')},
 ln AS (SELECT unit, project, flag, CAST(i AS INTEGER) AS line_no, regexp_replace(parts[i], '[ \\t\\r\\f\\x0B]+$', '') AS line
        FROM (SELECT unit, project, flag, parts, unnest(generate_series(1, len(parts))) AS i

@@ -163,7 +163,8 @@ FROM {events}
 # block per part; names exercise cleaning, comma expansion, overlay and cross-references.
 FIXTURE_SQL["fx_params"] = """
 WITH p AS (SELECT p_partkey AS unit, p_type AS project, p_size, p_brand,
-                  CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM {part})
+                  CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM {part}),
+own AS (
 SELECT unit, project, 'param' AS section, CAST(0 AS INT) AS pos, 'size' AS name,
        'int, default=' || CAST(p_size AS STRING) || '. Number of items'
          || CASE WHEN p_size % 3 = 0 THEN ' , like `brand`' ELSE '' END AS descr FROM p
@@ -175,16 +176,34 @@ UNION ALL SELECT unit, project, 'param', CAST(5 AS INT), '**kw', 'dict. Extra op
 UNION ALL SELECT unit, project, 'param', CAST(6 AS INT), 'shape (n,)', 'tuple. Output shape.' FROM p
 UNION ALL SELECT unit, project, 'param', CAST(7 AS INT), 'opts.verbose', 'bool. Verbose output.' FROM p
 UNION ALL SELECT unit, project, 'attr', CAST(8 AS INT), 'price_', 'float. Retail price ' || CAST(cents AS STRING) || ' cents.' FROM p
-UNION ALL SELECT unit, project, 'attr', CAST(9 AS INT), 'size', 'int. Size set from the `brand` table.' FROM p WHERE unit % 4 = 0
+UNION ALL SELECT unit, project, 'attr', CAST(9 AS INT), 'size', 'int. Size set from the `brand` table.' FROM p WHERE unit % 4 = 0),
+mirror AS (
+SELECT unit, 'MIRROR' AS project, 'param' AS section, CAST(0 AS INT) AS pos, 'alpha' AS name,
+       'int. ' || CASE WHEN p_size % 2 = 0 THEN 'Less than gamma.' ELSE 'Free.' END AS descr FROM p WHERE unit % 3 = 0
+UNION ALL SELECT unit, 'MIRROR', 'param', CAST(1 AS INT), 'gamma', 'float. Upper limit, not the size.' FROM p WHERE unit % 3 = 0
+UNION ALL SELECT unit, 'MIRROR', 'param', CAST(2 AS INT), repeat('a, ', 1200) || 'last', 'Many aliases of one entry.' FROM p WHERE unit = 3
+UNION ALL SELECT unit, 'MIRROR', 'param', CAST(3 AS INT), 'last', 'A later entry.' FROM p WHERE unit = 3),
+members AS (
+SELECT unit, project, 'resize' AS member, 'param' AS section, CAST(0 AS INT) AS pos, 'factor' AS name,
+       'float. Scales ' || CASE WHEN p_size % 2 = 0 THEN 'like `by` does.' ELSE 'all.' END AS descr FROM p WHERE unit % 2 = 0
+UNION ALL SELECT unit, project, 'resize', 'param', CAST(1 AS INT), 'by', 'str. Unit of the factor.' FROM p WHERE unit % 2 = 0 AND p_size % 5 <> 0
+UNION ALL SELECT unit, project, 'price', 'param', CAST(0 AS INT), 'cents', 'int. No other name.' FROM p WHERE unit % 5 = 0)
+SELECT project, unit, '' AS member, section, pos, name, descr FROM own
+UNION ALL SELECT project, unit, '', section, pos, name, descr FROM mirror
+UNION ALL SELECT project, unit, member, section, pos, name, descr FROM members
 """
 
-# fx_signatures: declared parameters of every part's constructor.
+# fx_signatures: declared parameters of every part's constructor, of the mirrored units and of
+# the members.
 FIXTURE_SQL["fx_signatures"] = """
-SELECT p_partkey AS unit, p_type AS project,
+SELECT p_type AS project, p_partkey AS unit, '' AS member,
   split('self,size' || CASE WHEN p_size % 5 = 0 THEN '' ELSE ',brand' END || ',lo,hi,*args'
         || CASE WHEN p_size % 7 = 0 THEN ',extra' ELSE '' END
         || CASE WHEN p_partkey % 11 = 0 THEN ',cls' ELSE '' END, ',') AS params
 FROM {part}
+UNION ALL SELECT 'MIRROR', p_partkey, '', split('self,alpha,gamma' || CASE WHEN p_size % 4 = 0 THEN ',delta' ELSE '' END, ',')
+FROM {part} WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_type, p_partkey, 'resize', split('self,factor,by', ',') FROM {part} WHERE p_partkey % 2 = 0
 """
 
 # fx_edges: decision trees: region -> nation -> supplier, rooted at each region.

@@ -33,7 +33,7 @@ def parse_run_log(lines: DataFrame, key: str = "file") -> DataFrame:
     value = F.when(F.col("line") == VERDICT_LINE, F.lit(None).cast("long")).otherwise(
         F.regexp_extract("line", COUNTER_RE, 2).cast("long"))
     parsed = lines.select(key, metric.alias("metric"), value.alias("value")).where(F.col("metric") != "")
-    return parsed.groupBy(key, "metric").agg(F.count(F.lit(1)).cast("int").alias("n_lines"),
+    return parsed.groupBy(key, "metric").agg(F.count(F.lit(1)).alias("n_lines"),
                                              F.sum("value").alias("total"))
 
 
