@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordia.functions import logic
+from concordia.session import materialize
 from concordia.operators.rules import literals_from_text, normalize_constants, templated_expr, typed_literals
 
 
@@ -85,24 +86,27 @@ def path_clauses(parts: DataFrame, keys: Sequence[str] = ("unit", "path_no"), ne
     ``keys + (pclause, pos, negated)`` of its disjunctive normal form, or of that of its
     negation. A path without them is one clause of all its literals and has no rows here;
     a path that cannot be read has none either (``path_logic_error``)."""
-    dnf = _logic(parts, keys).select(*keys, F.posexplode(logic.clauses(
-        F.concat("prog", F.array(F.lit(logic.NOT))) if negate else F.col("prog"))).alias("pclause", "lits"))
+    dnf = _logic(parts, keys, negate).select(*keys, F.posexplode("dnf").alias("pclause", "lits"))
     return dnf.select(*keys, "pclause", F.explode("lits").alias("signed")).select(
         *keys, "pclause", (F.abs("signed") - 1).alias("pos"), (F.col("signed") < 0).alias("negated"))
 
 
 def path_logic_error(parts: DataFrame, keys: Sequence[str] = ("unit", "path_no")) -> DataFrame:
     """``keys`` of the paths with OR or NOT whose logic cannot be read."""
-    return _logic(parts, keys).where("prog is null").select(*keys)
+    return _logic(parts, keys).where("dnf is null").select(*keys)
 
 
-def _logic(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys + prog`` of the paths with OR or NOT; a single literal stands for itself."""
+def _logic(parts: DataFrame, keys: Sequence[str], negate: bool = False) -> DataFrame:
+    """``keys + dnf`` of the paths with OR or NOT, read once a template; a single literal
+    stands for itself."""
     staged = parts.where(F.col("conditions").rlike(LOGIC_RE)).select(*keys, normalize_constants(F.col("conditions")).alias("norm"))
     templated = staged.select(*keys, templated_expr(F.col("norm")).alias("templated"))
+    shapes = materialize(templated.select("templated").distinct())  # few; each is read once
     single = F.size(F.split("templated", r"\{\}")) == 2
     prog = F.when(single, F.array(F.lit(0))).otherwise(logic.program(logic.mark_text(F.col("templated"))))
-    return templated.select(*keys, prog.alias("prog"))
+    progs = materialize(shapes.select("templated", prog.alias("prog")))
+    dnf = logic.clauses(F.concat("prog", F.array(F.lit(logic.NOT))) if negate else F.col("prog"))
+    return templated.join(materialize(progs.select("templated", dnf.alias("dnf"))), "templated").select(*keys, "dnf")
 
 
 def paren_contents(df: DataFrame, text: str, out: str = "contents") -> DataFrame:

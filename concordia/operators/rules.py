@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from concordia.functions import logic, vocab
 from concordia.functions.exprs import CALL_DETECT_RE, CALL_LITERAL_RE, LITERAL_RE, W, is_number
+from concordia.session import materialize
 
 QUOTED_CONSTANT_RE = "[\"'](None|False|True)[\"']"
 
@@ -152,21 +153,29 @@ def symbols_expr(var: Column, sval: Column, chars: Sequence[str] = vocab.SYMBOL_
 def skeleton_columns(templated: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Logic of every row of ``keys + (templated,)``: logic, n_slots, dnf, rpn, skeleton error.
 
-    A text of one literal is a condition whatever surrounds it, but has no similarity program."""
+    The logic depends on the template alone, of which there are few: it is read once for each
+    distinct one and joined back. A text of one literal is a condition whatever surrounds it,
+    but has no similarity program."""
     marks, prog, n = F.col("__marks"), F.col("__prog"), F.col("n_slots")
-    read = (templated.withColumn("__marks", logic.mark_text(F.col("templated")))
-            .withColumn("n_slots", F.coalesce(F.size(F.split("templated", r"\{\}")) - 1, F.lit(0)))
+    read = (materialize(templated.where(F.col("templated").isNotNull()).select("templated").distinct())
+            .withColumn("__marks", logic.mark_text(F.col("templated")))
+            .withColumn("n_slots", F.size(F.split("templated", r"\{\}")) - 1)
             .withColumn("__prog", F.when(n > 1, logic.program(marks))))
     fold = F.when(logic.readable_as_score(marks, prog), prog)
-    error = (F.when(F.col("templated").isNull(), "null").when(n == 0, "no_literal").when(n == 1, "single_literal")
-             .when(prog.isNull(), "skeleton").when(fold.isNull(), "fold"))
-    return read.select(*keys, logic.logic_text(marks).alias("logic"), "n_slots",
-                       F.when(n == 1, F.array(F.array(F.lit(1)))).otherwise(logic.clauses(prog)).alias("dnf"),
-                       fold.alias("rpn"), error.alias("skeleton_error"))
+    error = (F.when(n == 0, "no_literal").when(n == 1, "single_literal")
+             .when(prog.isNull(), "skeleton").when(fold.isNull(), "fold").otherwise(""))
+    # cut, so that no later plan has to analyse these deep expressions again
+    shapes = materialize(read.select("templated", logic.logic_text(marks).alias("logic"), "n_slots",
+                         F.when(n == 1, F.array(F.array(F.lit(1)))).otherwise(logic.clauses(prog)).alias("dnf"),
+                         fold.alias("rpn"), error.alias("skeleton_error")))
+    found = F.coalesce("skeleton_error", F.lit("null"))
+    return templated.join(shapes, "templated", "left").select(
+        *keys, "logic", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "dnf", "rpn",
+        F.when(found != "", found).alias("skeleton_error"))
 
 
 def rule_skeletons(rules: DataFrame, text: str = "text", keys: Sequence[str] = ("unit", "rule_id")) -> DataFrame:
-    """Logic of every rule: logic, n_slots, dnf, rpn, skeleton error. Row by row: no shuffle."""
+    """Logic of every rule: logic, n_slots, dnf, rpn, skeleton error."""
     staged = rules.select(*keys, normalize_constants(F.col(text)).alias("__norm"))
     return skeleton_columns(staged.select(*keys, templated_expr(F.col("__norm")).alias("templated")), keys)
 

@@ -304,7 +304,7 @@ class AuditPlan:
                    .select(*KEYS, F.col("clause_id").cast("int").alias("clause_id"), F.explode("lits").alias("signed"))
                    .select(*KEYS, "clause_id", (F.abs("signed") - 1).alias("slot"), (F.col("signed") < 0).alias("negated")))
         sat_neg = decide.refutation(decide.clause_literals(checked, clauses), decide.negated_path_scopes(plits, self.path_stage[2][True]),
-                                    materialize=materialize if self.checkpoint else None)
+                                    cut=materialize if self.checkpoint else None)
         pairs = (ready.select(*KEYS, "names").join(info.select("unit", "path_no", "kind", "pnames"), "unit")
                  .select(*KEYS, "path_no", "kind", decide.covers(F.col("names"), F.col("pnames")).alias("covered")))
         return decide.entails(sat_neg, pairs)

@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.operators import paths as P, rules as R, similarity as L
+from concordia.operators import decide, paths as P, rules as R, similarity as L
 from concordia.plans import oracle as O
 from concordia.plans.audit import KEYS, AuditPlan
+from concordia.session import materialize
 from concordia.sources.fixtures import duckdb_ctes, fixture
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -698,6 +699,47 @@ def q_entails(spark, sf_dir):
     return _plan(spark, sf_dir).entailment()
 
 
+# ---- paths with OR, NOT and comparisons of two variables (C5, V1, V2) ------------------------------------
+# The oracle evaluates each template by itself over a grid that separates chains of three variables
+# between whole numbers, for every pair of constants; orders then look their constants up.
+_LOGIC_SQL = """WITH v AS (SELECT CAST(x AS DOUBLE) / 4 AS x FROM (SELECT unnest(generate_series(-4, 24)) AS x)),
+g AS (SELECT a.x AS a, b.x AS b, c.x AS c FROM v a, v b, v c),
+k AS (SELECT q, d FROM (SELECT unnest(range(5)) AS q), (SELECT unnest(range(4)) AS d)),
+e AS (SELECT q, d, d AS rule, p,
+        CASE d WHEN 0 THEN a = q AND b > d WHEN 1 THEN a >= b AND c < a WHEN 2 THEN b < 2 OR (c >= d AND a = 1) ELSE c <> d AND a > c END AS r_true,
+        CASE p WHEN 0 THEN a = q OR (b = d AND c = 0) WHEN 1 THEN a >= q AND b <= c AND c = d WHEN 2 THEN a < b AND b < c AND c = q
+               WHEN 3 THEN NOT (a = q OR b > d) AND c <> 1 ELSE (a > q OR b < d) AND c = 1 AND a <> 2 END AS p_true
+      FROM g, k, (SELECT unnest(range(5)) AS p)),
+t AS (SELECT q, d, p, bool_or(r_true AND p_true) AS sat, bool_or(r_true AND NOT p_true) AS sat_not FROM e GROUP BY ALL),
+o AS (SELECT o_orderkey AS unit, o_orderkey AS rule_id, CAST(t.p AS INTEGER) AS path_no, t.sat, t.sat_not
+      FROM orders JOIN t ON t.q = o_custkey % 5 AND t.d = o_orderkey % 4)
+"""
+
+
+def _logic_inputs(spark, sf_dir):
+    rules, parts = fixture(spark, sf_dir, "fx_logic_rules"), materialize(P.path_parts(fixture(spark, sf_dir, "fx_logic_paths")))
+    lits = R.typed_literals(R.rule_literals(rules))
+    clauses = R.rule_clauses(rules).select(*KEYS, "clause_id", "slot", "negated")
+    return decide.clause_literals(lits, clauses), materialize(P.path_literals(parts, with_logic=True)), parts
+
+
+@register("v1_path_logic", _LOGIC_SQL + "SELECT unit, rule_id, path_no FROM o WHERE sat")
+def q_path_logic(spark, sf_dir):
+    """Rules and paths of one unit that can hold together."""
+    c_lits, p_lits, parts = _logic_inputs(spark, sf_dir)
+    scoped = decide.path_scopes(p_lits, P.path_clauses(parts))
+    return decide.jointly_satisfiable(c_lits, scoped, cut=materialize).select(*KEYS, "path_no")
+
+
+@register("v2_path_logic", _LOGIC_SQL + "SELECT unit, rule_id, path_no, NOT sat_not AS holds FROM o")
+def q_not_path_logic(spark, sf_dir):
+    """Whether a rule leaves no state outside of a path."""
+    c_lits, p_lits, parts = _logic_inputs(spark, sf_dir)
+    scoped = decide.negated_path_scopes(p_lits, P.path_clauses(parts, negate=True))
+    pairs = (parts.select("unit", "path_no", "kind").join(c_lits.select(*KEYS).distinct(), "unit").withColumn("covered", F.lit(True)))
+    return decide.entails(decide.refutation(c_lits, scoped, cut=materialize), pairs)
+
+
 # ---- units from source files (E1-E3), file scan (S1) ------------------------------------------------------
 from concordia.operators import units as U  # noqa: E402
 

@@ -309,3 +309,24 @@ SELECT p_type AS project,
   || '    def nested(d):~        return d~    return nested(a) + b~', '~', chr(10)), 'QQQ', chr(34) || chr(34) || chr(34)) AS content
 FROM {part}
 """
+
+# fx_logic_paths, fx_logic_rules: per order five paths with OR, NOT and comparisons of two variables,
+# and one rule; <q> and <d> are small constants of the order.
+LOGIC_PATHS = (
+    "(a = <q>) || (b = <d>) -> ~(c = 0)~",
+    "!(a < <q>) -> (b <= c) -> ~(c = <d>)~",
+    "(a < b) -> (b < c) -> ~(c = <q>)~",
+    "!(a = <q> || b > <d>) -> ~(c != 1)~",
+    "((a > <q>) || (b < <d>)) && (c = 1) -> ~(a != 2)~",
+)
+LOGIC_RULES = (
+    "(a = <q>) -> (b > <d>)",
+    "(a >= b) -> (c < a)",
+    "(b < 2) || (c >= <d>) -> (a = 1)",
+    "!(c = <d>) -> (a > c)",
+)
+_FILL = "replace(replace(replace({0}, '<q>', CAST(o_custkey % 5 AS STRING)), '<d>', CAST(o_orderkey % 4 AS STRING)), '~', chr(34))"
+FIXTURE_SQL["fx_logic_paths"] = " UNION ALL ".join(
+    f"SELECT o_orderkey AS unit, CAST({i} AS INT) AS path_no, " + _FILL.format(f"'{t}'") + " AS text FROM {orders}" for i, t in enumerate(LOGIC_PATHS))
+FIXTURE_SQL["fx_logic_rules"] = ("SELECT o_orderkey AS unit, o_orderkey AS rule_id, "
+                                 + _FILL.format(_case("CAST(o_orderkey % 4 AS INT)", LOGIC_RULES)) + " AS text FROM {orders}")
