@@ -41,7 +41,8 @@ LONG_FORMS = ("re", "ve", "ll")
 
 WINDOW = 1 << 20
 BLOCK = 64
-CACHE = 500_000
+CACHE = 100_000  # about 30 MB
+SLICE_BYTES = 1 << 20  # text in work at once; a longer text is one slice
 TOGETHER = 64    # fewer new slices are merged one by one
 WIDEST = 32      # as are slices of more bytes
 NO_PAIR = 1 << 24
@@ -395,19 +396,15 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", to: str = "bpe")
         lengths = vocabulary(ranks)[2]
         table = np.frombuffer(zlib.decompress(packed), np.uint8)
         cache = PieceIds(ranks, pairs)
-        for batch in batches:
-            out = []
+        for batch in batches:  # results leave slice by slice, so none piles up
             sizes = pc.binary_length(batch.cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
-            for at, to_ in byte_slices(sizes + 1, 4 << 20):
+            for at, to_ in byte_slices(sizes + 1, SLICE_BYTES):
                 ids, ends = encode_texts(as_texts(batch[at:to_]), table, scan, cache)
                 offset = np.cumsum(lengths[ids])
                 base = np.concatenate([[0], offset])[np.concatenate([[0], ends[:-1]])]
                 offset -= np.repeat(base, np.diff(ends, prepend=0))
-                out.append(pa.StructArray.from_arrays(
-                    [list_array(ids, ends, pa.int32()), list_array(offset.astype(np.int32), ends, pa.int32())],
-                    ["ids", "ends"]))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.struct(
-                [("ids", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]))
+                yield pa.StructArray.from_arrays(
+                    [list_array(ids, ends, pa.int32()), list_array(offset.astype(np.int32), ends, pa.int32())], ["ids", "ends"])
 
     return df.withColumn(to, run(F.col(text)))
 
@@ -420,9 +417,8 @@ def decode(df: DataFrame, ranks_path: str, tokens: str = "bpe", to: str = "decod
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         data, starts, lengths = vocabulary(load_ranks(ranks_path))
         for batch in batches:
-            out = []
             sizes = pc.list_value_length(batch.field("ids")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, to_ in byte_slices(sizes * 4 + 1, 4 << 20):
+            for at, to_ in byte_slices(sizes * 4 + 1, SLICE_BYTES):
                 ids_col, ends_col = batch[at:to_].flatten()
                 ids, ends = ids_col.flatten().to_numpy(), ends_col.flatten().to_numpy().astype(np.int64)
                 row_ends = np.cumsum(sizes[at:to_]).astype(np.int64)
@@ -432,8 +428,7 @@ def decode(df: DataFrame, ranks_path: str, tokens: str = "bpe", to: str = "decod
                 shift = starts[ids] - (base + ends - size)  # where a token lies in data, less where it goes
                 where = np.repeat(shift, size)
                 where += np.arange(len(where))
-                out.append(binary_array(data[where], total))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.binary())
+                yield binary_array(data[where], total)
 
     return df.withColumn(to, run(F.col(tokens)))
 
