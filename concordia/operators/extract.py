@@ -22,6 +22,8 @@ def clean_param_rows(params: DataFrame) -> DataFrame:
     blank without a comma dropped; ``\\s*,\\s*`` normalised to ``, `` in descriptions;
     units without any parameter entry dropped; a repeated name keeps its first place and
     the text of its last entry."""
+    if "member" not in params.columns:  # documents of units only
+        params = params.withColumn("member", F.lit(""))
     paren = F.locate("(", F.col("name"))
     name = F.when(paren > 1, F.trim(F.expr("substring(name, 1, locate('(', name) - 1)"))).otherwise(F.col("name"))
     with_args = params.where(F.col("section") == "param").select(*UNIT).distinct()
