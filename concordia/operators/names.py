@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from concordia.session import materialize
+
 
 def name_universe(*tables: DataFrame) -> DataFrame:
     """Union of several (unit, name) lists, deduplicated, in long form
@@ -29,7 +31,7 @@ def dictionary(df: DataFrame, col: str) -> DataFrame:
     partition, plus the count of all earlier partitions (a table as small as the
     partition count)."""
     vals = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct().orderBy("value")
-    vals = vals.withColumn("pid", F.spark_partition_id())
+    vals = materialize(vals.withColumn("pid", F.spark_partition_id()))  # written once: both readers see the same ranges
     local = vals.withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy("value")))
     sizes = vals.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.withColumn("offset", F.coalesce(
