@@ -3,8 +3,11 @@
 Vectors are compared only where labels are equal. Equal vectors of a label are one class.
 Each tree splits the classes by random projections at thresholds fitted on a bounded sample
 (SAMPLE rows); a band of quantiles around each threshold goes to both sides, so near pairs
-are seldom parted. Every class is indexed in every tree; classes that meet in a leaf are
-compared exactly in double precision, links are united, and components run over them.
+are seldom parted. Every class is indexed in every tree. What travels to the leaves is a
+sketch of a byte a component with the length of its error, so the cosine of two that meet in
+a leaf has strict bounds: pairs whose bounds lie on one side of the limit are decided, the
+others are compared in double precision on the vectors. Links are united, and components run
+over them. TOGETHER trees are worked through at a time and their files deleted.
 
 Splits are at quantiles of at least FITTED sample rows, and a label goes as deep as its own
 rows need for leaves near LEAF, so the forest has a bounded size and leaves grow with the
@@ -18,14 +21,15 @@ has a null component and is kept; extra columns are not read; an empty table giv
 table."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import ship, stage
+from concordia.llm.common import drop_stage, ship, stage
 from concordia.llm.components import components
 
 COSINE = 0.98
@@ -35,6 +39,8 @@ MOST = 1024
 SPILL = 0.08
 SAMPLE = 20_000
 FITTED = 100
+TOGETHER = 4
+ROUNDING = 1e-6
 
 
 def fit_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float]]:
@@ -71,6 +77,30 @@ def leaves(unit: np.ndarray, nodes: list[tuple[np.ndarray, float, float]], depth
     return row, node
 
 
+def normal(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; the largest component goes first, so that squares keep in range."""
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def sketch(unit: np.ndarray) -> np.ndarray:
+    """A row of bytes a vector: components as whole steps of -127 to 127, the step, and the length of the error."""
+    step = (np.abs(unit).max(axis=1, keepdims=True) / 127).astype(np.float32)
+    whole = np.rint(unit / step).clip(-127, 127).astype(np.int8)
+    error = np.linalg.norm(unit - whole * step.astype(float), axis=1, keepdims=True).astype(np.float32)
+    return np.hstack([whole.view(np.uint8), step.view(np.uint8), error.view(np.uint8)])
+
+
+def cosine_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the cosine of every pair of sketches: |u.v - p.q| <= |u - p| |v| + |p| |v - q|, |p| <= 1 + |u - p|."""
+    width = a.shape[1] - 8
+    exact = np.float32 if width * 127 * 127 < 1 << 24 else np.float64  # sums of whole numbers stay exact
+    (p, s, e), (q, t, f) = ((np.ascontiguousarray(c[:, :width]).view(np.int8).astype(exact), np.ascontiguousarray(c[:, width:width + 4]).view(np.float32).astype(float),
+                             np.ascontiguousarray(c[:, width + 4:]).view(np.float32).astype(float)) for c in (a, b))
+    about, off = (p @ q.T) * (s * t.T), e + (1 + e) * f.T + ROUNDING
+    return about - off, about + off
+
+
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
@@ -110,8 +140,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 def _links(classes: DataFrame, n: int, width: int, cosine: float, trees: int) -> DataFrame:
     picked = classes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < min(1_000_000, 1_100_000 * SAMPLE // max(n, 1)))
     sample = np.array([r.x for r in picked.select("x").limit(2 * SAMPLE).collect()], float).reshape(-1, width)
-    sample = sample / np.abs(sample).max(axis=1, keepdims=True) if len(sample) else sample
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else 1.0
+    sample = normal(sample) if len(sample) else sample
     fitted = 1 + int(np.log(len(sample) / FITTED) / -np.log(0.5 + SPILL)) if len(sample) >= FITTED else 0
     sizes = classes.groupBy("label").agg(F.count("*").alias("n"))
     wanted = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / LEAF)) / F.lit(float(1 - np.log2(1 + 2 * SPILL))))
@@ -119,65 +148,88 @@ def _links(classes: DataFrame, n: int, width: int, cosine: float, trees: int) ->
     deepest = depths.agg(F.max("depth").alias("d")).first().d or 0
     forest = [fit_tree(sample, deepest, np.random.default_rng([17, t])) for t in range(trees)]
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                m = _matrix(part.column(2), width)
-                unit = m / np.abs(m).max(axis=1, keepdims=True)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                flat, depth = unit.ravel(), part.column(3).to_numpy()
-                for t, nodes in enumerate(forest):
-                    row, leaf = [], []
-                    for d in np.unique(depth).tolist():
-                        own = np.flatnonzero(depth == d)
-                        r, k = leaves(unit[own], nodes, d)
-                        row.append(own[r])
-                        leaf.append(k)
-                    row, leaf = np.concatenate(row), np.concatenate(leaf)
-                    xs = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * width, pa.int32()),
-                                                  pa.array(flat.reshape(-1, width)[row].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(leaf), part.column(0).take(pa.array(row)),
-                                                      part.column(1).take(pa.array(row)), xs], ["tree", "leaf", "label", "node", "x"])
+    def assign(first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    part = batch.slice(at, 2000)
+                    unit, depth = normal(_matrix(part.column(2), width)), part.column(3).to_numpy()
+                    codes = pa.array([c.tobytes() for c in sketch(unit)], pa.binary())
+                    for t in range(first, min(first + TOGETHER, trees)):
+                        row, leaf = [], []
+                        for d in np.unique(depth).tolist():
+                            own = np.flatnonzero(depth == d)
+                            r, k = leaves(unit[own], forest[t], d)
+                            row.append(own[r])
+                            leaf.append(k)
+                        row, leaf = pa.array(np.concatenate(row)), np.concatenate(leaf)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(leaf), part.column(0).take(row),
+                                                          part.column(1).take(row), codes.take(row)], ["tree", "leaf", "label", "node", "code"])
+        return run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sides, xs = None, [], [], []
+        key, held = None, []  # rows of the cell being read: nodes, sides, sketches
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(nodes) > 1:
-                ids, side, m = np.array(nodes), np.array(sides), np.stack(xs)
-                for at in range(0, len(ids), 512):
-                    dots = m[at:at + 512] @ m.T
-                    a, b = np.nonzero(dots >= cosine)
-                    a += at
-                    ok = (ids[a] < ids[b]) & ((side[a] != side[b]) | (side.min() == side.max()))
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], ["a", "b"])
-            nodes.clear(), sides.clear(), xs.clear()
+            ids, side, code = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            split = side.min() != side.max()
+            for at in range(0, len(ids) if len(ids) > 1 else 0, 512):
+                low, high = cosine_bounds(code[at:at + 512], code)
+                a, b = np.nonzero(high >= cosine)
+                sure = low[a, b] >= cosine
+                a += at
+                ok = (ids[a] < ids[b]) & ((side[a] != side[b]) | (not split))
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]]), pa.array(sure[ok])], ["a", "b", "sure"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(5))))
-            ids, side, m = batch.column(5).to_pylist(), batch.column(6).to_pylist(), _matrix(batch.column(7), width)
-            for i, k in enumerate(keys):
-                if k != key:
-                    yield from flush()
-                    key = k
-                nodes.append(ids[i])
-                sides.append(side[i])
-                xs.append(m[i])
-        yield from flush()
+            keys = [batch.column(k) for k in range(5)]
+            change = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                k = k.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                change[1:] |= k[1:] != k[:-1]
+            ids, side = (batch.column(k).to_numpy() for k in (5, 6))
+            code = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, width + 8)
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                if at < to:
+                    own = tuple(k[at].as_py() for k in keys)
+                    if own != key and held:
+                        yield from flush()
+                    key = own
+                    held.append((ids[at:to], side[at:to], code[at:to]))
+        if held:
+            yield from flush()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.einsum("ij,ij->i", normal(_matrix(batch.column(2), width)), normal(_matrix(batch.column(3), width))) >= cosine
+            yield batch.select([0, 1]).filter(pa.array(near))
 
     kind = classes.schema["label"].dataType.simpleString()
-    at = stage(classes.join(depths, "label").select("label", "node", "x", "depth").mapInArrow(assign, f"tree int, leaf long, label {kind}, node long, x array<double>"), "leaves")
-    leaf = ["tree", "leaf", "label"]
-    parts = at.groupBy(*leaf).agg(F.ceil(F.count("*") * 2 / MOST).cast("int").alias("parts"))
-    # a leaf of up to MOST / 2 rows is one cell; of a larger one each pair of parts is a cell
-    spread = at.join(parts, leaf).withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = spread.select(*leaf, F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node",
-                          F.when(F.col("p") <= F.col("q"), 0).otherwise(1).alias("side"), "x")
-    where = [*leaf, "i", "j"]
-    return (cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(compare, "a long, b long")).distinct()
+    leaf, placed = ["tree", "leaf", "label"], classes.join(depths, "label").select("label", "node", "x", "depth")
+    where, met = [*leaf, "i", "j"], []
+    for first in range(0, trees, TOGETHER):
+        at = stage(placed.mapInArrow(assign(first), f"tree int, leaf long, label {kind}, node long, code binary"), "leaves")
+        parts = at.groupBy(*leaf).agg(F.ceil(F.count("*") * 2 / MOST).cast("int").alias("parts")).where("parts > 1")
+        # a leaf of up to MOST / 2 rows is one cell; of a larger one each pair of parts is a cell
+        spread = (at.join(parts, leaf, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+                  .withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+                  .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+        cells = spread.select(*leaf, F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node",
+                              F.when(F.col("p") <= F.col("q"), 0).otherwise(1).alias("side"), "code")
+        pairs = cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(compare, "a long, b long, sure boolean")
+        met.append(stage(pairs.distinct(), "pairs"))
+        drop_stage(at)
+    found = reduce(DataFrame.union, met).distinct()
+    xs = classes.select("node", "x")
+    open_ = (found.where("not sure").join(xs.toDF("a", "xa"), "a").join(xs.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+             .mapInArrow(confirm, "a long, b long"))
+    links = stage(found.where("sure").select("a", "b").union(open_), "links")
+    for m in met:
+        drop_stage(m)
+    return links
 
 
 ship(__name__)

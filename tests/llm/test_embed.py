@@ -53,6 +53,28 @@ def test_recall_and_no_false_links(spark, tmp_path, monkeypatch):
     assert np.mean([got[i] == want[i] for i in want]) >= 0.98
 
 
+def test_bounds_of_sketches_hold():
+    rng = np.random.default_rng(3)
+    for width in (1, 3, 64, 1100):
+        m = embed.normal(rng.normal(size=(60, width)) * rng.choice([1e-30, 1, 1e30], size=(60, 1)))
+        m = np.vstack([m, embed.normal(m[:20] + rng.normal(scale=0.2 / np.sqrt(width), size=(20, width)))])
+        low, high = embed.cosine_bounds(embed.sketch(m), embed.sketch(m))
+        assert (low <= m @ m.T).all() and (m @ m.T <= high).all() and (high - low).max() < 0.08
+
+
+def test_pairs_near_the_limit_are_confirmed(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):  # cosines within the sketches' error of 0.98
+        u, v = rng.normal(size=(2, 16))
+        u /= np.linalg.norm(u)
+        v -= (v @ u) * u
+        c = 0.98 + rng.uniform(-0.004, 0.004)
+        rows += [(2 * i, u.tolist(), i), (2 * i + 1, (c * u + np.sqrt(1 - c * c) * v / np.linalg.norm(v)).tolist(), i)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embed.near_vectors(df).collect()} == brute(rows)[0]
+
+
 def test_large_leaves_are_compared_in_parts(spark, monkeypatch):
     monkeypatch.setattr(embed, "MOST", 64)
     rows = data(1, 700)
