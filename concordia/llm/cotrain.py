@@ -8,7 +8,9 @@ other as training rows. At last both calibrated views are combined, by a logisti
 calibration rows, and every document is scored on its whole text.
 
 A document is good where its quality is 1 and it is not toxic. The fit reads a bounded sample,
-LABELLED rows with labels and POOL rows without, as features made in the tasks.
+at most LABELLED rows with labels and POOL rows without (parameters), as features made in the
+tasks: the rows of the smallest hashes of id and content, of equal rows one. Equal texts under
+different ids are rows of their own, in the sample at their share.
 
 Defined cases: a null text is as an empty one; null metadata is a value of its own; labels
 that are null count for nothing, of repeated ones the worst counts; without labels of both
@@ -187,7 +189,7 @@ def fit(labelled: tuple, pool: tuple) -> Model | None:
 
 
 def _features(rows: DataFrame, cols: tuple[str, str, str, str], n: int, label: str | None) -> tuple:
-    """Features of about ``n`` rows, picked by a hash (all, where there are fewer)."""
+    """Features of at most ``n`` distinct rows, those of the smallest hashes of id and content."""
     @F.arrow_udf("struct<stats: binary, words: binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = WordHashes()
@@ -198,24 +200,25 @@ def _features(rows: DataFrame, cols: tuple[str, str, str, str], n: int, label: s
 
     text, source, lang, chars = cols
     total = rows.count()
-    cut = min(2**63 - 1, int(n / max(1, total) * 2**63))
-    got = (rows.where((F.xxhash64(text, source, F.lit(5)).bitwiseAND(F.lit(2**63 - 1))) <= F.lit(cut))
+    cut = min(2**63 - 1, int(2 * n / max(1, total) * 2**63))  # twice as many as wanted, so that the sort is small
+    at = F.xxhash64("__id", *cols, *([label] if label else [])).bitwiseAND(F.lit(2**63 - 1))
+    got = (rows.withColumn("__at", at).where(F.col("__at") <= F.lit(cut)).dropDuplicates(["__at"])
            .select(run(F.col(text)).alias("f"), F.col(source).cast("string"), F.col(lang).cast("string"), F.col(chars).cast("long"),
-                   *([F.col(label)] if label else []), F.xxhash64(text, source, chars).alias("__at")).collect())
-    got.sort(key=lambda r: (r["__at"], r[4] if label else 0))
+                   *([F.col(label)] if label else []), "__at").orderBy("__at").limit(n).collect())
     return (np.frombuffer(b"".join([r.f.stats for r in got])).reshape(-1, STATS), [np.frombuffer(r.f.words, np.uint64) for r in got],
             meta_ids([(r[1], r[2], r[3]) for r in got]), *([np.array([r[4] for r in got], float)] if label else []))
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
-             chars: str = "n_chars", to: str = "good") -> DataFrame:
-    """Add ``to``: the probability that a document is good (null if nothing could be learned)."""
+             chars: str = "n_chars", to: str = "good", labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+    """Add ``to``: the probability that a document is good (null if nothing could be learned). The
+    fit reads at most ``labelled`` rows with labels and ``pool`` rows without; every row is scored."""
     known = (labels.select(F.col(doc_id).alias("__id"), "quality", "toxic").where("quality is not null and toxic is not null and __id is not null")
              .groupBy("__id").agg((F.min("quality") * (1 - F.max("toxic"))).alias("__good")))
     cols = (text, source, lang, chars)
     slim = docs.select(F.col(doc_id).alias("__id"), *cols)
-    model = fit(_features(slim.join(known, "__id"), cols, LABELLED, "__good"),
-                _features(slim.join(known, "__id", "left_anti"), cols, POOL, None))
+    model = fit(_features(slim.join(known, "__id"), cols, labelled, "__good"),
+                _features(slim.join(known, "__id", "left_anti"), cols, pool, None))
     if model is None:
         return docs.withColumn(to, F.lit(None).cast("double"))
 

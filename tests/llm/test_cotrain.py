@@ -45,6 +45,17 @@ def test_pool_rows_are_exchanged():
     assert ((p >= 0.5) == (y == 1)).mean() > 0.97
 
 
+def test_the_sample_is_bounded_and_copies_have_their_share(spark):
+    rows = [(i, "the same text", "en", "a", 13) for i in range(20_000)] + [(20_000 + i, f"text {i}", "en", "b", 6) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "__id long, text string, lang string, source string, n_chars long")
+    cols = ("text", "source", "lang", "n_chars")
+    _, words, _ = cotrain._features(df, cols, 3000, None)
+    copies = sum(len(w) == 3 for w in words)  # the, same, text
+    assert len(words) == 3000 and abs(copies / 3000 - 2 / 3) < 0.05
+    repeated = df.unionByName(df.where("__id = 7").crossJoin(spark.range(5000).select()))
+    assert len(cotrain._features(repeated, cols, 40_000, None)[1]) == len(rows)  # fully equal rows count once
+
+
 def test_odd_rows(spark):
     rows = [(i, f"good text number {i} with words", "en", "a", 20, 1) for i in range(40)] + [(100 + i, "bad bad bad bad", None, None, None, 1) for i in range(40)]
     rows += [(200, None, None, None, None, 1), (201, "", "en", "a", 0, 1), (None, "x " * 100_000, "en", "a", 3, 1), (0, "good text number 0 with words", "en", "a", 20, 1)]
