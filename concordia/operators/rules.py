@@ -190,6 +190,17 @@ def rule_clauses(rules: DataFrame, text: str = "text", keys: Sequence[str] = ("u
         (F.abs(F.col("signed")) - 1).alias("slot"), (F.col("signed") < 0).alias("negated"))
 
 
+def names_in_source(names: DataFrame, sources: DataFrame, keys: Sequence[str] = ("unit", "rule_id")) -> DataFrame:
+    """``keys + in_source``: whether every name of a rule (rows ``keys + name``) occurs in a
+    source text of its unit (``unit, text``). A unit's name is looked for once, whatever number of
+    rules has it; a unit without a source holds no name."""
+    asked = names.select("unit", "name").distinct()
+    found = (asked.join(sources.select("unit", "text"), "unit").where(F.col("text").contains(F.col("name")))
+             .select("unit", "name").distinct().withColumn("found", F.lit(True)))
+    return (names.join(found, ["unit", "name"], "left")
+            .groupBy(*keys).agg(F.bool_and(F.coalesce("found", F.lit(False))).alias("in_source")))
+
+
 def fuzzy_vars(rules: DataFrame, text: str = "text", keys: Sequence[str] = ("unit", "rule_id"),
                existence: Sequence[str] = vocab.FUZZY_EXISTENCE,
                nonexistence: Sequence[str] = vocab.FUZZY_NONEXISTENCE) -> DataFrame:

@@ -96,8 +96,9 @@ class AuditPlan:
     so a query that needs only an early stage never runs the later ones."""
 
     def __init__(self, rules: DataFrame, paths: DataFrame, exempt_names: Sequence[str] = (),
-                 checkpoint: bool = True):
+                 checkpoint: bool = True, sources: DataFrame | None = None):
         self.rules, self.paths, self.exempt_names, self.checkpoint = rules, paths, tuple(exempt_names), checkpoint
+        self.sources = sources
         self._cache: dict[str, object] = {}
 
     def _get(self, name, build):
@@ -192,11 +193,9 @@ class AuditPlan:
               .withColumn("names", F.when(F.col("screen") == "crisp", F.col("w_names"))
                           .otherwise(F.array_union(F.coalesce("l_names", _empty()), F.coalesce("right_names", _empty())))))
 
-        # ---- source gate: every checked name occurs in the unit's observed text ----------------------
+        # ---- source gate: every checked name occurs in the unit's source (else its observed paths) ----
         name_rows = st.where(F.col("names").isNotNull()).select(*KEYS, F.explode("names").alias("name"))
-        found = (name_rows.join(info.select("unit", "line"), "unit")
-                 .groupBy(*KEYS, "name").agg(F.bool_or(F.col("line").contains(F.col("name"))).alias("found"))
-                 .groupBy(*KEYS).agg(F.bool_and("found").alias("in_source")))
+        found = R.names_in_source(name_rows, info.select("unit", F.col("line").alias("text")) if self.sources is None else self.sources, KEYS)
         self._cache["found"] = found
         bad_units = info.where("path_error").select("unit").distinct().withColumn("unit_path_error", F.lit(True))
         st = st.join(found, KEYS, "left").join(bad_units, "unit", "left")
@@ -339,9 +338,9 @@ class AuditPlan:
 
 
 def audit(rules: DataFrame, paths: DataFrame, exempt_names: Sequence[str] = (),
-          checkpoint: bool = True) -> DataFrame:
+          checkpoint: bool = True, sources: DataFrame | None = None) -> DataFrame:
     """One row per rule: unit, rule_id, screen, verdict, reason, similarity (hundredths),
-    n_results, n_true.
+    n_results, n_true. ``sources`` (unit, text): where a rule's names must occur (none: paths).
 
     verdict: BAD | BAD_ERROR | BAD_FUZZY | CONSISTENT | SKIPPED | QUARANTINED | UNDECIDED."""
-    return AuditPlan(rules, paths, exempt_names, checkpoint).report()
+    return AuditPlan(rules, paths, exempt_names, checkpoint, sources).report()

@@ -160,7 +160,7 @@ def _audit_ctes() -> str:
     exist_re = "([A-Za-z0-9_]+)\\s*(?:=|!=)\\s*['\"](?:" + "|".join(vocab.FUZZY_EXISTENCE) + ")['\"]"
     nonexist_re = "([A-Za-z0-9_]+)\\s*(?:=|!=)\\s*['\"](?:" + "|".join(vocab.FUZZY_NONEXISTENCE) + ")['\"]"
     return f"""
-WITH {duckdb_ctes('fx_rules', 'fx_paths')},
+WITH {duckdb_ctes('fx_rules', 'fx_paths', 'fx_unit_sources')},
 {opcos_values()},
 scr AS (SELECT unit, rule_id, text, {screen_sql('text')} AS screen FROM fx_rules),
 live AS (
@@ -266,9 +266,9 @@ st0 AS (
   LEFT JOIN fz USING (unit, rule_id) LEFT JOIN rn USING (unit, rule_id) LEFT JOIN bad_units b USING (unit)),
 insrc AS (
   SELECT unit, rule_id, bool_and(found) AS in_source FROM (
-    SELECT n.unit, n.rule_id, n.name, bool_or(contains(p.line, n.name)) AS found
+    SELECT n.unit, n.rule_id, n.name, coalesce(bool_or(contains(p.text, n.name)), false) AS found
     FROM (SELECT unit, rule_id, unnest(names) AS name FROM st0 WHERE names IS NOT NULL) n
-    JOIN pinfo p USING (unit) GROUP BY ALL) GROUP BY ALL),
+    LEFT JOIN fx_unit_sources p USING (unit) GROUP BY ALL) GROUP BY ALL),
 st AS (
   SELECT s.* EXCLUDE (similarity),
     CASE WHEN coalesce(s.all_matched, false) AND s.n_slots > 1 THEN s.similarity END AS similarity,

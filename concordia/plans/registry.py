@@ -28,7 +28,7 @@ def register(name: str, sql: str | None):
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> AuditPlan:
-    return AuditPlan(fixture(spark, sf_dir, "fx_rules"), fixture(spark, sf_dir, "fx_paths"))
+    return AuditPlan(fixture(spark, sf_dir, "fx_rules"), fixture(spark, sf_dir, "fx_paths"), sources=fixture(spark, sf_dir, "fx_unit_sources"))
 
 
 # ---- flagship ------------------------------------------------------------------------------------
@@ -277,6 +277,24 @@ def q_s9(spark, sf_dir):
     return S.parse_run_log(fixture(spark, sf_dir, "fx_logs"), "file")
 
 
+def _field_sql(name: str) -> str:
+    return f"nullif(regexp_extract(chr(10) || body, '\\n{name}: ([^\\n]*)', 1), '')"
+
+
+@register("s9_findings", f"""WITH {duckdb_ctes('fx_run_logs')},
+p AS (SELECT file, replace(replace(text, chr(27) || '[91m', ''), chr(27) || '[0m', '') AS t FROM fx_run_logs),
+b AS (SELECT file, t, strpos(t, '[ BAD') AS head, split_part(substr(t, strpos(t, '[ BAD')), repeat('#', 50), 2) AS body,
+        CASE WHEN contains(t, 'normal results: ') THEN string_split(regexp_extract(t, 'normal results: \\[([^\\]]*)\\]', 1), ', ') END AS flags
+      FROM p WHERE contains(t, '[ BAD'))
+SELECT file, CAST(len(string_split(substr(t, 1, head - 1), chr(10))) AS INTEGER) AS line_no,
+  CASE WHEN contains(t, ' WITH ERROR ]') THEN 'BAD_ERROR' WHEN contains(t, ' WITH FUZZY ]') THEN 'BAD_FUZZY' ELSE 'BAD' END AS verdict,
+  {", ".join(f"{_field_sql(n)} AS {c}" for n, c in S.FINDING_FIELDS.items())},
+  CAST(len(flags) AS BIGINT) AS n_results, CAST(len(list_filter(flags, lambda x: x = 'True')) AS BIGINT) AS n_true
+FROM b""")
+def q_findings(spark, sf_dir):
+    return S.parse_findings(S.scan_lines(fixture(spark, sf_dir, "fx_run_logs"), "file"))
+
+
 # ---- parameter tables (E6-E8), alignment (A), cross references (G), requests (T) ------------------------
 from concordia.operators import align as A, extract as E, requests as T, xref as G  # noqa: E402
 
@@ -615,7 +633,30 @@ def q_s7(spark, sf_dir):
     return S.attach_results(table(spark, sf_dir, "labels"), units)
 
 
-@register("s8_read_records", None)
+@register("s7_placed_results", """SELECT l.doc_id, l.quality, l.toxic, d.lang, d.source FROM labels l JOIN documents d USING (doc_id)""")
+def q_s7_placed(spark, sf_dir):
+    placed = S.attach_results(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "lang", "source"))
+    root = ST.scratch_path(spark, "placed")
+    S.place_results(placed, root, ("lang", "source"))
+    return S.read_placed(spark, root, placed.schema)
+
+
+@register("s8_extraction_records", f"""WITH {duckdb_ctes('fx_records')}
+SELECT 'm' || method AS lib, 'sha' || doc_id AS sha, CASE WHEN consistent = 1 THEN 'issue' || doc_id END AS issue_sha, CAST(consistent AS INTEGER) AS consistent,
+  note, CASE WHEN consistent = 0 THEN 'said "no",' || chr(10) || 'twice' END AS human, '(a = ' || doc_id || ') -> (b != ''None'')' AS model FROM fx_records""")
+def q_s8_records(spark, sf_dir):
+    path = ST.scratch_path(spark, "extraction")
+    records = fixture(spark, sf_dir, "fx_records").select(
+        F.expr("concat('\"lib\": \"m', method, '\",\n \"sha\": \"sha', doc_id, if(consistent = 1, concat('\",\n \"issue_sha\": \"issue', doc_id), ''), '\"')")
+        .alias("INFO (lib, sha, issue_sha)"), F.col("consistent").alias("Consistency?"), F.col("note").alias("Note"),
+        F.when(F.col("consistent") == 0, F.lit('said "no",\ntwice')).alias("Human label"),
+        F.concat(F.lit("(a = "), F.col("doc_id").cast("string"), F.lit(") -> (b != 'None')")).alias("LLM output"))
+    records.write.option("header", True).option("escape", '"').csv(path)
+    return ST.record_info(ST.read_records(spark, path, ST.RECORD_SCHEMA)).select("lib", "sha", "issue_sha", "consistent", "note", "human", "model")
+
+
+@register("s8_read_records", """SELECT CAST(item_id AS BIGINT) AS item_id, text || chr(10) || 'note: "quoted", line' AS info,
+  regexp_extract(text || chr(10), '^([A-Za-z]+)', 1) AS lib FROM benchmark""")
 def q_s8(spark, sf_dir):
     path = ST.scratch_path(spark, "records")
     (table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.col("text"), F.lit("\nnote: \"quoted\", line")).alias("info"))
@@ -834,14 +875,15 @@ def q_e3(spark, sf_dir):
     return U.signature_params(_structure(spark, sf_dir))
 
 
-@register("s1_scan_sources", None)
+@register("s1_scan_sources", f"""WITH {duckdb_ctes('fx_sources')}
+SELECT project, regexp_extract(path, '([^/]*)\\.py$', 1) AS fname, content || chr(10) AS content FROM fx_sources WHERE NOT contains(path, '{{')""")
 def q_s1(spark, sf_dir):
     root = ST.scratch_path(spark, "sources")
     src = fixture(spark, sf_dir, "fx_sources").select(
         "project", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.py$", "").alias("fname"), "content")
     # one file per source: a folder per (project, file name), the content as a single text value
     src.repartition("project", "fname").write.partitionBy("project", "fname").text(root)
-    return ST.scan_sources(spark, root, "*.txt")
+    return ST.scan_sources(spark, root, "*.txt").select("project", F.regexp_extract("path", "/fname=([^/]*)/", 1).alias("fname"), "content")
 
 
 @register("p4_decision_table", O.audit_with("""

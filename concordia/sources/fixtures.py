@@ -127,6 +127,34 @@ def duckdb_ctes(*names: str) -> str:
     return ",\n".join(parts)
 
 
+# fx_unit_sources: the source of each order's unit. Some lack the name discount, some have no source.
+FIXTURE_SQL["fx_unit_sources"] = """
+SELECT o_orderkey AS unit,
+  replace(replace('def check_' || CAST(o_orderkey AS STRING) || '(returnflag, linestatus, quantity=' || CAST(o_custkey % 50 AS STRING)
+    || CASE WHEN o_custkey % 13 = 0 THEN '' ELSE ', discount=0' END || '):~    if returnflag == `R` and not linestatus:~'
+    || '        raise ValueError(`flag`)~    return quantity * price~', '~', chr(10)), '`', chr(39)) AS text
+FROM {orders} WHERE o_custkey % 29 <> 0
+"""
+
+# fx_run_logs: one log per event. Errors and clicks end in a finding block (clicks without a results
+# line before it), other logs hold a fence without a title; every 150th log is long.
+FIXTURE_SQL["fx_run_logs"] = """
+SELECT 'c' || CAST(event_id AS STRING) || '-' || CAST(event_id % 3 AS STRING) AS file,
+  replace('=== PROJECT: c' || CAST(user_id AS STRING) || ' ===~CLASS: ' || CAST(CAST(floor(value) AS INT) AS STRING) || '~Library: none yet~'
+    || repeat('a step of the run~', CASE WHEN event_id % 150 = 0 THEN 300 ELSE 2 END)
+    || CASE event_type WHEN 'error' THEN 'normal results: [False, False]~~~' WHEN 'view' THEN 'normal results: [True, False, True]~' ELSE '' END
+    || CASE WHEN event_type IN ('error', 'click') THEN
+         chr(27) || '[91m[ BAD CONSTRAINT' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' WITH ERROR' ELSE ' WITH FUZZY' END || ' ]' || chr(27) || '[0m~'
+         || repeat('#', 50) || '~'
+         || CASE WHEN event_id % 3 = 1 THEN 'Type: Raise Error~path: (a = ' || CAST(user_id AS STRING) || ') -> (b: c)~' ELSE '' END
+         || 'Library: c' || CAST(user_id AS STRING) || '~'
+         || CASE WHEN user_id % 4 = 0 THEN 'Function: f' || CAST(event_id AS STRING) ELSE 'Class: K' || CAST(user_id AS STRING) || '~Memberfunc: fit' END
+         || '~Constraint: (a = ' || CAST(user_id AS STRING) || ') -> (b = 2)~path file: /info/c' || CAST(user_id AS STRING) || '/x_path.txt~'
+         || repeat('#', 50) || '~Library: after the block~~BAD CONSTRAINT~'
+       ELSE repeat('#', 50) || '~Constraint: of no block~' END, '~', chr(10)) AS text
+FROM {events}
+"""
+
 # fx_verdicts: predicted vs oracle consistency per labelled document; family 1..72 x variant 0..2.
 FIXTURE_SQL["fx_verdicts"] = """
 SELECT doc_id,
