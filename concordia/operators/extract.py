@@ -72,7 +72,8 @@ def param_table(raw: DataFrame, and_projects: Sequence[str] = AND_PROJECTS) -> D
 
 # ---- section parsers (E4 numpy, E5 google) --------------------------------------------------------------
 from concordia.functions import vocab  # noqa: E402
-from pyspark.sql import Column, Window  # noqa: E402
+from concordia.functions.scan import exclusive_scan  # noqa: E402
+from pyspark.sql import Column  # noqa: E402
 
 _WS = "[ \\t\\r\\n\\f\\x0B]"
 
@@ -111,38 +112,66 @@ def parse_sections(lines: DataFrame, style: str = "flag") -> DataFrame:
     such headers every second one is swallowed).  In a read section a line with ``:``
     at the document's first key indent starts a key; deeper ``:`` lines and plain lines
     continue it.  Deeper ``:`` lines met while no key is open wait for the next key.
-    Dialects other than 'Parameters', 'Parameters:' and 'Args:' yield nothing."""
-    w = Window.partitionBy("project", "unit").orderBy("line_no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    Dialects other than 'Parameters', 'Parameters:' and 'Args:' yield nothing.
+
+    A line is a transition of the reader (`_step`), and transitions compose, so lines are read
+    by two associative scans in chunks (`functions.scan`): the longest docstring is spread
+    over tasks, and no window spans a document. Only one entry's lines come together."""
+    keys, none = ["project", "unit"], F.lit(None)
+    number = F.col("line_no").cast("long")
     kind, skips = _header_kind(F.col("line"), F.col(style))
-    s1 = lines.select("unit", "project", style, "line_no", "line", kind.alias("hkind"), skips.alias("hskip"))
-    run = (F.col("line_no") - 1) - F.coalesce(F.max(F.when(~F.col("hskip"), F.col("line_no"))).over(before), F.lit(0))
-    s2 = s1.withColumn("skipped", (run % 2) == 1)
-    s2 = s2.withColumn("hdr", F.col("hkind").isNotNull() & ~F.col("skipped"))
-    s3 = s2.withColumn("section", F.last(F.when(F.col("hdr"), F.col("hkind")), ignorenulls=True).over(upto))
-    content = ~F.col("hdr") & ~F.col("skipped") & F.col("section").isin("param", "attr")
     indent = F.length("line") - F.length(F.regexp_replace("line", "^ +", ""))
-    s4 = (s3.withColumn("content", content).withColumn("colon", F.col("line").contains(":"))
-          .withColumn("indent", indent))
-    s4 = s4.withColumn("first_indent", F.first(F.when(F.col("content") & F.col("colon"), F.col("indent")),
-                                               ignorenulls=True).over(whole))
-    s5 = s4.withColumn("is_key", F.col("content") & F.col("colon") & (F.col("indent") == F.col("first_indent")))
-    last_key = F.max(F.when(F.col("is_key"), F.col("line_no"))).over(before)
-    last_hdr = F.max(F.when(F.col("hdr"), F.col("line_no"))).over(before)
-    next_key = F.min(F.when(F.col("is_key"), F.col("line_no"))).over(after)
-    open_key = last_key.isNotNull() & (last_hdr.isNull() | (last_key > last_hdr))
-    owner = (F.when(F.col("is_key"), F.col("line_no"))
-             .when(F.col("content") & open_key, last_key)
-             .when(F.col("content") & F.col("colon"), next_key))
+    read = lines.select("unit", "project", "line_no", "line", kind.alias("hkind"), F.coalesce(skips, F.lit(False)).alias("hskip"),
+                        F.col("line").contains(":").alias("colon"), indent.alias("indent"))
+    top = read.agg(F.max("line_no")).first()[0] or 0
+    steps = read.withColumn("step", F.array(*(_step(state, number) for state in range(4))))
+    still = F.array(*(F.struct(F.lit(state).alias("end"), none.cast(HEADER).alias("hdr"), none.cast("int").alias("first")) for state in range(4)))
+    known = exclusive_scan(steps, keys, "line_no", "step", still, _then, top=top).withColumn("at", F.get("before", F.lit(0)))
+    swallowed = (F.col("at.end") % 2) == 1
+    content = F.col("hkind").isNull() & ~swallowed & (F.col("at.end") >= 2)
+    found = known.select(*keys, "line_no", "line", content.alias("content"), "colon", F.col("at.hdr").alias("hdr"),
+                         F.coalesce(content & F.col("colon") & (F.col("indent") == F.coalesce("at.first", "indent")), F.lit(False)).alias("is_key"))
+    # keys before a line, and the line of the last one
+    counted = found.withColumn("key", F.struct(F.col("is_key").cast("long").alias("n"), F.when(F.col("is_key"), number).alias("line")))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), none.cast("long").alias("line"))
+    owned = exclusive_scan(counted, keys, "line_no", "key", zero, lambda a, b: F.struct(
+        (a["n"] + b["n"]).alias("n"), F.coalesce(b["line"], a["line"]).alias("line")), top=top)
+    is_open = F.col("before.line") > F.col("hdr.line")  # content always has a header before it
+    owner = (F.when(F.col("is_key"), F.col("before.n") + 1)
+             .when(F.col("content") & is_open, F.col("before.n"))
+             .when(F.col("content") & F.col("colon"), F.col("before.n") + 1))
     part = F.when(F.col("is_key"), _strip(F.expr("substring(line, instr(line, ':') + 1)"))).otherwise(_strip(F.col("line")))
-    parts = s5.select("unit", "project", "line_no", "is_key", "section", "line", owner.alias("owner"), part.alias("part"))
-    keys = parts.where("is_key").select("unit", "project", F.col("line_no").alias("owner"), "section",
-                                        _strip(F.substring_index("line", ":", 1)).alias("name"))
-    vals = (parts.where(F.col("owner").isNotNull())
-            .groupBy("project", "unit", "owner").agg(F.sort_array(F.collect_list(F.struct("line_no", "part"))).alias("ps")))
+    entry = F.when(F.col("is_key"), F.struct(F.col("line_no").alias("pos"), F.col("hdr.kind").alias("section"),
+                                             _strip(F.substring_index("line", ":", 1)).alias("name")))
+    parts = owned.select(*keys, owner.alias("owner"), entry.alias("entry"), F.struct("line_no", part.alias("part")).alias("p"))
+    entries = (parts.where(F.col("owner").isNotNull()).groupBy(*keys, "owner")
+               .agg(F.max("entry").alias("entry"), F.sort_array(F.collect_list("p")).alias("ps"))
+               .where(F.col("entry").isNotNull()))  # lines that wait for a key that never comes
     joined = F.regexp_replace(_strip(F.array_join(F.transform("ps", lambda x: x["part"]), " ")), r"\s*,\s*", ", ")
-    return (keys.join(vals, ["project", "unit", "owner"])
-            .select("unit", "project", "section", F.col("owner").cast("int").alias("pos"), "name", joined.alias("descr")))
+    return entries.select("unit", "project", "entry.section", F.col("entry.pos").cast("int").alias("pos"), "entry.name", joined.alias("descr"))
+
+
+HEADER = "struct<line: bigint, kind: string>"
+
+
+def _step(state: int, number: Column) -> Column:
+    """What a line does to a reader in ``state``: the state after it, the header it is, if any,
+    and the indent of its key, if it is content with a colon. States: 1 is added where the
+    line is swallowed, 2 where the section is read."""
+    swallowed, read = state % 2 == 1, state >= 2
+    no_header, no_indent = F.lit(None).cast(HEADER), F.lit(None).cast("int")
+    if swallowed:
+        return F.struct(F.lit(2 * read).alias("end"), no_header.alias("hdr"), no_indent.alias("first"))
+    header = F.col("hkind").isNotNull()
+    return F.struct(
+        F.when(header, F.col("hskip").cast("int") + 2 * F.col("hkind").isin("param", "attr").cast("int")).otherwise(2 * read).alias("end"),
+        F.when(header, F.struct(number.alias("line"), F.col("hkind").alias("kind"))).alias("hdr"),
+        (F.when(~header & F.col("colon"), F.col("indent")) if read else no_indent).alias("first"))
+
+
+def _then(a: Column, b: Column) -> Column:
+    """Transition of two runs of lines, the second after the first."""
+    def step(x: Column) -> Column:
+        y = F.get(b, x["end"])
+        return F.struct(y["end"].alias("end"), F.coalesce(y["hdr"], x["hdr"]).alias("hdr"), F.coalesce(x["first"], y["first"]).alias("first"))
+    return F.transform(a, step)
