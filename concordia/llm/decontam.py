@@ -5,18 +5,21 @@ similarity of 0.75 or more with it: the sum of smaller over the sum of larger co
 5-word shingles of both (of an item with fewer words, its whole sequence). Such a window
 shares a shingle with the item, so windows are taken wherever one occurs, in whole texts. A
 document of fewer words than the item is one window, as a whole.
-Each window gets a 64-bit SimHash, from prefix sums of its shingles' signed bits. Eight
-blocks of eight bits index the items' fingerprints: two fingerprints within RADIUS agree in
-some block up to RADIUS // 8 bits, so the index misses none of them; what it yields is held
-to the radius (5 standard deviations above the mean distance at the threshold) and then to
-the exact similarity.
+Each window gets a 256-bit SimHash, from prefix sums of its shingles' signed bits. Two
+fingerprints within a radius agree in one of sixteen blocks of 16 bits up to a sixteenth of
+it, so the index over blocks misses none of them (of random pairs 47 % pass it, and next to
+none the radius); what it yields is held to the radius and then to the exact similarity. The
+radius is 5 standard deviations above the mean distance of the least cosine that the
+threshold allows: 74 bits without repeated shingles, more where some repeat (`reach`).
 
-The benchmark is read in blocks of a bounded size, each shipped to the tasks that scan the
-documents; documents are neither shuffled nor sampled.
+The benchmark is read in blocks of a bounded size, one at a time: a block is shipped to the
+tasks that scan the documents, and what they find is written before the next one is read.
+Documents are neither shuffled nor sampled.
 
 Defined cases: a null or word-less text or item matches nothing; repeated items of one text
 count once; a null doc_id is a plain row; of equal windows the first is reported; extra
-columns stay, and a column of the result's name is replaced; empty tables give no match."""
+columns stay, and a column of the result's name is replaced; very long texts are scanned
+whole; empty tables give no match."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -27,26 +30,40 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import as_bytes, byte_slices, ship
+from concordia.llm.common import as_bytes, byte_slices, drop_stage, mix64, ship, stage
 from concordia.llm.minhash import WORDS, WordHashes, shingle_hashes, word_hashes
 
 SIMILARITY = 0.75
-RADIUS = 27
+DEVIATIONS = 5
+PRINT_BITS = 256
+BLOCKS = 16
 BLOCK_BYTES = 8 << 20
 MATCHES = "array<struct<item_id: bigint, start_word: bigint, n_words: bigint, similarity: double>>"
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint8)
 
 
 def signed_bits(hashes: np.ndarray) -> np.ndarray:
-    """One row of 64 values, 1 or -1, for each hash."""
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    """One row of PRINT_BITS values, 1 or -1, for each hash."""
+    words = np.stack([mix64(hashes ^ salt) for salt in mix64(np.arange(1, PRINT_BITS // 64 + 1, dtype=np.uint64))], axis=1)
+    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32) * 2 - 1
 
 
 def fingerprint(sums: np.ndarray) -> np.ndarray:
-    """Eight bytes for each row of 64 sums."""
+    """The bytes of a fingerprint for each row of sums."""
     return np.packbits(sums > 0, axis=-1)
 
 
+def reach(n: np.ndarray, repeats: np.ndarray, total: int, norm: float) -> np.ndarray:
+    """Radius for windows of ``n`` shingles, at most ``repeats`` of them repeated, and items of
+    ``total`` shingles whose squared counts sum up to ``norm`` at most. At the threshold the
+    smaller counts sum up to a share of all, and so do their products at least; the squared
+    counts of a window are the most if one shingle has all repeats."""
+    least = SIMILARITY / (1 + SIMILARITY) * (n + total)
+    most = n - repeats - 1 + (repeats + 1.0) ** 2
+    p = np.arccos(np.minimum(1, least / np.sqrt(most * norm))) / np.pi
+    return np.minimum(PRINT_BITS, PRINT_BITS * p + DEVIATIONS * np.sqrt(PRINT_BITS * p * (1 - p))).astype(np.int64)
+
+
 class Items:
     """Items of one number of words: their shingles with counts, and the index of blocks."""
 
@@ -55,15 +72,19 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.shingles = [np.unique(shingle_hashes(w, self.length), return_counts=True) for _, w in rows]
         self.prints = np.concatenate([fingerprint((signed_bits(h) * c[:, None]).sum(axis=0, keepdims=True)) for h, c in self.shingles])
+        self.norm = max(float((c.astype(np.float64) ** 2).sum()) for _, c in self.shingles)
         value = np.arange(256, dtype=np.uint8)
-        self.near = np.stack([np.packbits(BITS[value[:, None] ^ self.prints[None, :, b]] <= RADIUS // 8, axis=1) for b in range(8)])
-
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) within RADIUS, the nearest first."""
-        some = np.bitwise_or.reduce([self.near[b][prints[:, b]] for b in range(8)])
-        w, g = np.nonzero(np.unpackbits(some, axis=1, count=len(self.ids)))
-        distance = BITS[prints[w] ^ self.prints[g]].sum(axis=1)
-        ok = np.flatnonzero(distance <= RADIUS)
+        self.bits = [BITS[value[:, None] ^ self.prints[None, :, b]] for b in range(PRINT_BITS // 8)]  # byte x item
+
+    def candidates(self, prints: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) within the window's radius, the nearest first."""
+        some = np.zeros((len(prints), len(self.ids)), bool)
+        near, wide = (radius // BLOCKS)[:, None], PRINT_BITS // 8 // BLOCKS
+        for block in range(0, PRINT_BITS // 8, wide):
+            some |= sum(self.bits[b][prints[:, b]] for b in range(block, block + wide)) <= near
+        w, g = np.nonzero(some)
+        distance = BITS[prints[w] ^ self.prints[g]].sum(axis=1, dtype=np.int64)
+        ok = np.flatnonzero(distance <= radius[w])
         ok = ok[np.argsort(distance[ok], kind="stable")]
         return w[ok], g[ok]
 
@@ -96,12 +117,16 @@ def short(every: np.ndarray, begins: np.ndarray, ends: np.ndarray, docs: np.ndar
     n = ends[docs] - begins[docs] - g.length + 1  # shingles; similarity is at most their share of the item's
     ok = (ends[docs] - begins[docs] < g.size) & (n / (g.size - g.length + 1) >= SIMILARITY)
     docs, n = docs[ok], n[ok]
-    for at in range(0, len(docs), 1024):
-        d, m = docs[at:at + 1024], n[at:at + 1024]
+    for at in range(0, len(docs), 256):
+        d, m = docs[at:at + 256], n[at:at + 256]
         stop = np.cumsum(m)
         where = np.repeat(begins[d] - (stop - m), m) + np.arange(m.sum())
         prints = fingerprint(np.add.reduceat(signed_bits(every[where]), stop - m, axis=0))
-        for w, item in zip(*(x.tolist() for x in g.candidates(prints))):
+        row = np.repeat(np.arange(len(d)), m)
+        order = np.lexsort((every[where], row))
+        same = (every[where[order[1:]]] == every[where[order[:-1]]]) & (row[order[1:]] == row[order[:-1]])
+        radius = reach(m, np.bincount(row[order[1:]][same], minlength=len(d)), g.size - g.length + 1, g.norm)
+        for w, item in zip(*(x.tolist() for x in g.candidates(prints, radius))):
             value = g.similarity(item, every[begins[d[w]]:begins[d[w]] + m[w]])
             if value >= SIMILARITY:
                 yield int(d[w]), item, value
@@ -143,9 +168,16 @@ def matches(words: np.ndarray, ends: np.ndarray, groups: list[Items], hits: dict
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > g.size) + 1):
                 for part in np.array_split(run, -(-len(run) // 4096)):
                     a = int(part[0])
-                    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signed_bits(every[a:int(part[-1]) + wide + 1]), axis=0)])
+                    here = every[a:int(part[-1]) + wide + 1]
+                    sums = np.concatenate([np.zeros((1, PRINT_BITS), np.int32), np.cumsum(signed_bits(here), axis=0)])
                     prints = fingerprint(sums[part - a + wide + 1] - sums[part - a])
-                    for w, item in zip(*(x.tolist() for x in g.candidates(prints))):
+                    order = np.argsort(here, kind="stable")
+                    again = (here[order[1:]] == here[order[:-1]]) & (np.diff(order) <= wide)
+                    repeats = np.zeros(len(here) + 1, np.int64)
+                    repeats[order[1:][again] + 1] = 1
+                    repeats = np.cumsum(repeats)
+                    radius = reach(wide + 1, repeats[part - a + wide + 1] - repeats[part - a], wide + 1, g.norm)
+                    for w, item in zip(*(x.tolist() for x in g.candidates(prints, radius))):
                         s = int(part[w])
                         value = g.similarity(item, every[s:s + wide + 1])
                         d = int(np.searchsorted(ends, s, "right"))
@@ -161,13 +193,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    found = F.array().cast(MATCHES)
+    out, before = docs.withColumn(to, F.array().cast(MATCHES)), None
     for b in range(blocks):
         block = [(r.item_id, r.text.encode("utf-8", "replace")) for r in  # about BLOCK_BYTES
                  items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
         if block:
-            found = F.concat(found, _scan(sorted(block, key=lambda r: (r[0] is None, r)))(F.col(text)))
-    return docs.withColumn(to, found)
+            out = out.withColumn(to, F.concat(to, _scan(sorted(block, key=lambda r: (r[0] is None, r)))(F.col(text))))
+        if b + 1 < blocks:
+            out = stage(out, "decontaminate")
+            if before is not None:
+                drop_stage(before)
+            before = out
+    return out
 
 
 def _scan(items: list[tuple[int, bytes]]):

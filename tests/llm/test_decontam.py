@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from concordia.llm import decontam
 from concordia.llm.queries import op4_decontaminate
 
@@ -117,3 +119,28 @@ def test_documents_shorter_than_the_item(spark):
     out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     got = {(x.doc_id, m.item_id): (m.start_word, m.n_words, m.similarity) for x in out for m in x.matches}
     assert got == brute(docs, dict(items).items()) | short
+
+
+def test_share_of_pairs_after_each_step():
+    r = np.random.default_rng(2)
+    items = decontam.Items(40, [(i, r.integers(0, 1 << 63, 40).astype(np.uint64)) for i in range(200)])
+    prints = r.integers(0, 256, (500, decontam.PRINT_BITS // 8)).astype(np.uint8)
+    radius = decontam.reach(np.full(500, 36), np.zeros(500), 36, items.norm)
+    assert set(radius.tolist()) == {74}
+    bits = decontam.BITS[prints[:, None] ^ items.prints[None]].reshape(500, 200, decontam.BLOCKS, -1).sum(axis=3)
+    assert (bits <= 74 // decontam.BLOCKS).any(axis=2).mean() < 0.5
+    assert len(items.candidates(prints, radius)[0]) / 100_000 < 0.01
+
+
+def test_windows_with_a_shingle_repeated_often(spark):
+    r = random.Random(8)
+    items, docs = [], []
+    for i in range(60):
+        item = [f"i{i}w{k}" for k in range(r.randrange(120, 200))]
+        n = (len(item) - 4) // 8
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(["x"] * n + item[n:])))  # n - 4 windows of one shingle
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, m.item_id): (m.start_word, m.n_words, m.similarity) for x in out for m in x.matches}
+    want = brute(docs, items)
+    assert len(want) > 20 and got == want
