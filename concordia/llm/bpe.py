@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import as_texts, binary_array, byte_slices, list_array, ship
+from concordia.llm.common import as_texts, binary_array, byte_slices, list_array, release, ship
 
 # Classes of code points. Apostrophes, spaces before a word and the last white space of a
 # run depend on what follows and are told apart by shifted comparisons.
@@ -405,6 +405,9 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", to: str = "bpe")
                 offset -= np.repeat(base, np.diff(ends, prepend=0))
                 yield pa.StructArray.from_arrays(
                     [list_array(ids, ends, pa.int32()), list_array(offset.astype(np.int32), ends, pa.int32())], ["ids", "ends"])
+                del ids, ends, offset, base
+        cache.clear()
+        release()
 
     return df.withColumn(to, run(F.col(text)))
 
@@ -429,6 +432,8 @@ def decode(df: DataFrame, ranks_path: str, tokens: str = "bpe", to: str = "decod
                 where = np.repeat(shift, size)
                 where += np.arange(len(where))
                 yield binary_array(data[where], total)
+                del where, shift, base
+        release()
 
     return df.withColumn(to, run(F.col(tokens)))
 

@@ -1,9 +1,11 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,14 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give the memory that a task freed back to the system: Python workers outlive their tasks,
+    and what their allocators keep would count against the next task's."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(doc_id: str | Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id,

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.common import as_texts, byte_slices, mix64, ship
+from concordia.llm.common import as_texts, byte_slices, mix64, release, ship
 
 SAMPLE_CHARS = 400_000
 FEATURES = 1 << 16
@@ -381,6 +381,10 @@ def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text:
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64()),
                                               *([pa.array(more, pa.float64())] if evidence else [])],
                                              ["lang", "score", *(["evidence"] if evidence else [])])
+        known.clear()
+        words.clear()
+        table.clear()
+        release()
 
     return docs.withColumn(to, run(F.col(text)))
 
