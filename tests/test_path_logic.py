@@ -116,3 +116,17 @@ def test_whole_plan(spark):
         covered = names[r] <= in_path[p]
         assert h == (not covered or not any(rule_value(r, e) and not value(p, e) for e in envs)), (RULES[r], PATHS[p])
     assert len(holds_) == 24
+
+
+def test_pairs_are_decided_in_their_row(spark):
+    """Literals are shuffled once by owner and its rows once by unit; no round over pairs."""
+    sides = [spark.createDataFrame([(1, 1, "full", 0, "a", "V", "<", None, None, "b", False), (1, 1, "full", 0, "b", "R", "<=", x, None, None, False)],
+                                   "unit int, key int, scope string, clause int, var string, sort string, rop string, num double, sv string, sval string, falsum boolean")
+             for x in (2.0, 3.0)]
+    paths = sides[0].withColumnsRenamed({"key": "path_no", "clause": "pclause"}).unionByName(spark.createDataFrame(
+        [(1, 2, "full", 0, "a", "R", ">=", 3.0, None, None, False)], "unit int, path_no int, scope string, pclause int, var string, sort string, rop string, num double, sv string, sval string, falsum boolean"))
+    found = decide.jointly_satisfiable(sides[1].drop("scope").withColumnsRenamed({"key": "rule_id", "clause": "clause_id"}), paths)
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 1, "full")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    physical = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Join") == 1 and physical.count("Exchange hashpartitioning") <= 4
