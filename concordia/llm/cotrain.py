@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordia.llm.common import as_bytes, byte_slices, ship
@@ -188,8 +188,10 @@ def fit(labelled: tuple, pool: tuple) -> Model | None:
     return model
 
 
-def _features(rows: DataFrame, cols: tuple[str, str, str, str], n: int, label: str | None) -> tuple:
-    """Features of at most ``n`` distinct rows, those of the smallest hashes of id and content."""
+def _features(rows: DataFrame, cols: tuple[str, str, str, str], n: int, label: str | None, known: DataFrame | None = None) -> tuple:
+    """Features of at most ``n`` distinct rows, those of the smallest hashes of id and content. With
+    ``known`` (__id, label; an id once) they are of the rows that it holds, with ``label`` in the hash,
+    or, without ``label``, of the others. Only ids and hashes are joined: a text is read where it lies."""
     @F.arrow_udf("struct<stats: binary, words: binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = WordHashes()
@@ -199,10 +201,26 @@ def _features(rows: DataFrame, cols: tuple[str, str, str, str], n: int, label: s
                                               pa.array([x.tobytes() for x in words], pa.binary())], ["stats", "words"])
 
     text, source, lang, chars = cols
-    total = rows.count()
+    ids = rows.select("__id")
+    total = rows.count() if known is None else ids.join(known.select("__id"), "__id", "inner" if label else "left_anti").count()
     cut = min(2**63 - 1, int(2 * n / max(1, total) * 2**63))  # twice as many as wanted, so that the sort is small
-    at = F.xxhash64("__id", *cols, *([label] if label else [])).bitwiseAND(F.lit(2**63 - 1))
-    got = (rows.withColumn("__at", at).where(F.col("__at") <= F.lit(cut)).dropDuplicates(["__at"])
+
+    def hashed(*more: Column) -> Column:
+        return F.xxhash64("__id", *cols, *more).bitwiseAND(F.lit(2**63 - 1)).alias("__at")
+
+    if label:  # one hash a label, of which there are few; the join keeps the row's own
+        kind = known.schema[label].dataType
+        values = [F.lit(r[0]).cast(kind) for r in known.select(label).distinct().collect()] or [F.lit(None).cast(kind)]
+        marks = F.filter(F.array(*(F.struct(hashed(v), v.alias(label)) for v in values)), lambda m: m["__at"] <= F.lit(cut))
+        marked = rows.select("*", F.explode(marks).alias("m")).select("__id", *cols, "m.*")
+    else:
+        marked = rows.select("*", hashed()).where(F.col("__at") <= F.lit(cut))
+    if known is not None:
+        keys = ["__id", label] if label else ["__id"]
+        own = marked.select(*keys, "__at").join(known.select(*keys), keys, "inner" if label else "left_anti")
+        chosen = own.select("__at").distinct().orderBy("__at").limit(n)
+        marked = marked.join(F.broadcast(chosen), "__at")  # n hashes at most
+    got = (marked.dropDuplicates(["__at"])
            .select(run(F.col(text)).alias("f"), F.col(source).cast("string"), F.col(lang).cast("string"), F.col(chars).cast("long"),
                    *([F.col(label)] if label else []), "__at").orderBy("__at").limit(n).collect())
     return (np.frombuffer(b"".join([r.f.stats for r in got])).reshape(-1, STATS), [np.frombuffer(r.f.words, np.uint64) for r in got],
@@ -217,8 +235,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
              .groupBy("__id").agg((F.min("quality") * (1 - F.max("toxic"))).alias("__good")))
     cols = (text, source, lang, chars)
     slim = docs.select(F.col(doc_id).alias("__id"), *cols)
-    model = fit(_features(slim.join(known, "__id"), cols, labelled, "__good"),
-                _features(slim.join(known, "__id", "left_anti"), cols, pool, None))
+    model = fit(_features(slim, cols, labelled, "__good", known), _features(slim, cols, pool, None, known))
     if model is None:
         return docs.withColumn(to, F.lit(None).cast("double"))
 

@@ -67,3 +67,22 @@ def test_odd_rows(spark):
     assert len(out) == len(rows) and by[39] > 0.5 > by[139] and all(r.good is not None for r in out)
     assert {r.good for r in cotrain.classify(df, labels.limit(0)).collect()} == {None}
     assert cotrain.classify(df.limit(0), labels).count() == 0
+
+
+def test_only_ids_and_hashes_are_joined(spark, monkeypatch):
+    rows = [(i % 90 if i % 9 else None, f"text {i % 80}", "en", "a", i % 7) for i in range(300)]
+    docs = spark.createDataFrame(rows, "__id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame([(i, i % 3) for i in range(0, 120, 2)], "__id long, good int")
+    cols = ("text", "source", "lang", "n_chars")
+    plans, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or collect(self))
+    for n in (1000, 20):
+        for label, joined in (("good", docs.join(known, "__id")), (None, docs.join(known, "__id", "left_anti"))):
+            at = F.xxhash64("__id", *cols, *([label] if label else [])).bitwiseAND(F.lit(2**63 - 1))
+            want = joined.select(at.alias("at"), "text").distinct().orderBy("at").limit(n).collect()
+            plans.clear()
+            got = cotrain._features(docs, cols, n, label, known)
+            assert len(got[1]) == len(want) and {w.tobytes() for w in got[1]} == {
+                w.tobytes() for w in cotrain.text_stats([r.text.encode() for r in want], cotrain.WordHashes())[1]}
+            joins = [p for p in plans[-1].split("\n") if "Join " in p and "__id" in p]
+            assert joins and "rightHint=(strategy=broadcast)" in plans[-1]
