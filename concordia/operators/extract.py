@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordia.session import partitions
+
 # FIXED VALUES: projects whose "(a, b)" names become one joined name "a_and_b".
 AND_PROJECTS = ("scipy", "example")
 UNIT = ["project", "unit", "member"]
@@ -27,7 +29,7 @@ def clean_param_rows(params: DataFrame) -> DataFrame:
     paren = F.locate("(", F.col("name"))
     name = F.when(paren > 1, F.trim(F.expr("substring(name, 1, locate('(', name) - 1)"))).otherwise(F.col("name"))
     with_args = params.where(F.col("section") == "param").select(*UNIT).distinct()
-    cleaned = (params.join(with_args, UNIT, "left_semi")
+    cleaned = (params.join(with_args.hint("merge"), UNIT, "left_semi")  # both by unit, as the groups below
                .withColumn("name", name)
                .withColumn("descr", F.regexp_replace("descr", r"\s*,\s*", ", ")))
     bad = (F.col("name").contains("*") | F.col("name").contains(".") | F.col("name").contains("[")
@@ -66,7 +68,8 @@ def overlay_params(params: DataFrame) -> DataFrame:
 
 
 def param_table(raw: DataFrame, and_projects: Sequence[str] = AND_PROJECTS) -> DataFrame:
-    """E6 then E7."""
+    """E6 then E7, in partitions by unit that both keep."""
+    raw = raw.repartition(partitions(raw), *(c for c in UNIT if c in raw.columns))
     return expand_comma_names(clean_param_rows(raw), and_projects)
 
 

@@ -1,10 +1,12 @@
 """What keeps large inputs cheap gives the same results, on in-line rows."""
 import random
 
+from concordia import session
 from concordia.functions.exprs import is_number
 from concordia.functions.scan import exclusive_scan
-from concordia.operators import paths as P, similarity as L
+from concordia.operators import extract as E, paths as P, rules as R, similarity as L
 from concordia.session import SHUFFLE_CLEANUP, materialize
+from concordia.sources import structured as ST
 from pyspark.sql import functions as F
 
 
@@ -42,3 +44,28 @@ def test_large_units_are_dealt_to_cells(spark, monkeypatch):
     monkeypatch.setattr(L, "SPLIT", 3)
     lits = spark.createDataFrame([("a", i) for i in range(7)] + [("b", 0)], "unit string, pos int")
     assert [tuple(r) for r in L.large_units(lits).collect()] == [("a", 3)]
+
+
+def test_rules_are_not_sorted_for_their_templates(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["{} -> {}", "({}) && {}", None, "{}", "{} -> {}"])], "i int, templated string")
+    want = sorted(map(repr, R.skeleton_columns(rows, ["i"]).collect()))
+    for few, join in ((R.TEMPLATES, "BroadcastHashJoin"), (1, "ShuffledHashJoin")):
+        monkeypatch.setattr(R, "TEMPLATES", few)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            got = R.skeleton_columns(rows, ["i"])
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert join in plan and "SortMergeJoin" not in plan and sorted(map(repr, got.collect())) == want
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS", 10)
+    raw = spark.createDataFrame([("p", i, "", "param", 0, "a,b", "d") for i in range(400)],
+                                "project string, unit long, member string, section string, pos int, name string, descr string")
+    params = E.param_table(raw)
+    assert params.rdd.getNumPartitions() == 40 and params.count() == 800
+    json = ST.write_param_json(params, E.overlay_params(params))
+    assert json.rdd.getNumPartitions() == 80 and ST.read_param_json(json).count() == 1600
