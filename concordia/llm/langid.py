@@ -37,6 +37,7 @@ LENGTH = 32
 BLOCK = 64
 EPOCHS = 4
 KNOWN_WORDS = 200_000
+SLICE = 1 << 19  # bytes of texts whose words are in arrays at once
 START, END = 2, 3
 SLOTS = 1 << 18
 BACK = 5.0
@@ -358,6 +359,23 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> list[tuple[str
     return out
 
 
+def identify_batches(batches: Iterator[pa.Array], model: Model, chars: Characters | None) -> Iterator[pa.Array]:
+    """lang, score and, with ``chars``, evidence of each text, SLICE bytes at a time."""
+    known: dict[str, float] = {}
+    words, table = Words(), [np.zeros((0, len(model.langs)), np.float32), np.zeros(0)]
+    for batch in batches:
+        sizes = pc.binary_length(batch.cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
+        out, more = [], []
+        for at, to in byte_slices(sizes + 1, SLICE):
+            texts = as_texts(batch[at:to])
+            out += predict_texts(texts, model, words, table) if model.langs else [
+                (None if any(map(str.isalpha, t)) else "und", 0.0) for t in texts]
+            more += chars.of_texts(texts, known) if chars else []
+        yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64()),
+                                          *([pa.array(more, pa.float64())] if chars else [])],
+                                         ["lang", "score", *(["evidence"] if chars else [])])
+
+
 def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
              to: str = "language", evidence: bool = False) -> DataFrame:
     """Add ``to``: struct(lang string, score double), learned from ``labelled`` rows; with
@@ -368,22 +386,7 @@ def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text:
 
     @F.arrow_udf("struct<lang: string, score: double, evidence: double>" if evidence else "struct<lang: string, score: double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, float] = {}
-        words, table = Words(), [np.zeros((0, len(model.langs)), np.float32), np.zeros(0)]
-        for batch in batches:
-            sizes = pc.binary_length(batch.cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
-            out, more = [], []
-            for at, to_ in byte_slices(sizes + 1, 2 << 20):
-                texts = as_texts(batch[at:to_])
-                out += predict_texts(texts, model, words, table) if model.langs else [
-                    (None if any(map(str.isalpha, t)) else "und", 0.0) for t in texts]
-                more += chars.of_texts(texts, known) if evidence else []
-            yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64()),
-                                              *([pa.array(more, pa.float64())] if evidence else [])],
-                                             ["lang", "score", *(["evidence"] if evidence else [])])
-        known.clear()
-        words.clear()
-        table.clear()
+        yield from identify_batches(batches, model, chars)
         release()
 
     return docs.withColumn(to, run(F.col(text)))

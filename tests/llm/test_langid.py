@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from concordia.llm import langid
 from concordia.llm.queries import op8_langid
@@ -63,3 +65,23 @@ def test_odd_rows(spark):
     assert langid.identify(df.limit(0), df).count() == 0
     unlearned = {r.doc_id: r.language.lang for r in langid.identify(df, df.limit(0)).collect()}
     assert unlearned[1] is None and unlearned[3] == unlearned[5] == "und"
+
+
+def test_arrays_hold_a_slice_of_a_batch():
+    rows = [("en", "the cat and the dog " * 30), ("de", "der hund und die katze " * 30)]
+    model = langid.fit(rows)
+    chars = langid.Characters(rows, model.langs)
+    batch = pa.array([" ".join(f"w{i * 250 + j:x}" for j in range(250)) for i in range(1500)])  # 375,000 distinct words, 2.2 MB
+    peak, out, own = [], [], langid.SLICE
+    try:
+        for langid.SLICE in (own, 1 << 30):
+            tracemalloc.start()
+            out += langid.identify_batches([batch], model, chars)
+            peak.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    finally:
+        langid.SLICE = own
+    assert peak[0] < 0.5 * peak[1] and len(out[0]) == len(out[1]) == 1500
+    for name in ("score", "evidence"):
+        assert np.allclose(*(x.field(name).to_numpy() for x in out))
+    assert out[0].field("lang") == out[1].field("lang")
