@@ -101,3 +101,13 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 130)] + [(200, 200), (None, 3), (7, 6), (7, 6)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(1, 51)} | {k: 100 for k in range(101, 130)}
+
+
+def test_only_texts_of_shared_keys_are_kept_for_comparison(spark, monkeypatch):
+    staged, stage = {}, minhash.stage
+    monkeypatch.setattr(minhash, "stage", lambda df, name: staged.setdefault(name, stage(df, name)) if name == "texts" else stage(df, name))
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), *((k, f"lone text number {k} of few words") for k in range(3, 9)), (9, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1} | {k: k for k in range(3, 10)}
+    assert {1, 2} <= {r.node for r in staged["texts"].collect()} and staged["texts"].count() < 6

@@ -83,3 +83,19 @@ def test_mixtures_stay_and_junk_goes(spark):
           sorted((x.evidence, x.score, x.doc_id) for x in found)[:5], [x for x in found if x.doc_id >= 10**9])
     ids = {x.doc_id for x in corpus_pipeline.language(spark, df.union(extra), SF).collect()}
     assert ids == {d.doc_id for d in docs} | {10**9}
+
+
+def test_rows_are_shuffled_once_for_near_dedup(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(3, " ".join(words), "x"), (5, " ".join(words[:-1]), "y"), (7, "other text", None), (7, "another one", "z"), (None, "nameless", "n"), (8, None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_dedup(spark, docs, None)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, out.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([rows[0], *rows[2:]], key=repr)
+    assert "Bucketed: true" in plan
