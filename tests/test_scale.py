@@ -69,3 +69,24 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     assert params.rdd.getNumPartitions() == 40 and params.count() == 800
     json = ST.write_param_json(params, E.overlay_params(params))
     assert json.rdd.getNumPartitions() == 80 and ST.read_param_json(json).count() == 1600
+
+
+def test_texts_of_a_small_table_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    spark.range(60).selectExpr("id % 50 as k", "'a' as text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    dealt = session.spread(table, "k")
+    assert table.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, table.collect()))
+    monkeypatch.setattr(session, "TEXTS", 1)
+    assert session.spread(table, "k").rdd.getNumPartitions() == 60
+    sizes = session.spread(table, "k").rdd.glom().map(len).collect()
+    assert max(sizes) < 20
+
+
+def test_cuts_run_no_method_the_jvm_leaves_interpreted(spark, monkeypatch):
+    before, seen = spark.conf.get(session.HUGE_METHOD), []
+    rows = spark.range(3)
+    writer = type(rows.write)
+    parquet = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, *a, **k: (seen.append(spark.conf.get(session.HUGE_METHOD)), parquet(self, *a, **k))[1])
+    assert materialize(rows).count() == 3 and seen == ["8000"] and spark.conf.get(session.HUGE_METHOD) == before
