@@ -90,3 +90,17 @@ def test_cuts_run_no_method_the_jvm_leaves_interpreted(spark, monkeypatch):
     parquet = writer.parquet
     monkeypatch.setattr(writer, "parquet", lambda self, *a, **k: (seen.append(spark.conf.get(session.HUGE_METHOD)), parquet(self, *a, **k))[1])
     assert materialize(rows).count() == 3 and seen == ["8000"] and spark.conf.get(session.HUGE_METHOD) == before
+
+
+def test_decision_table_reads_its_rows_and_paths_once(spark):
+    from concordia.operators import trees as Tr
+
+    rows = spark.createDataFrame([(1, "a", 3, 2), (1, "b", None, 1), (2, "a", 3, 1), (None, "a", 3, 1)], "unit int, name string, size int, n_rows int")
+    rows = rows.groupBy("unit", "name", "size").agg(F.sum("n_rows").alias("n_rows"))
+    parts = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "unit int, path_no int, effect string")
+    lits = spark.createDataFrame([(1, 1, "name", "S", "=", None, "a"), (1, 1, "size", "R", ">", 3.0, None), (1, 2, "size", "R", "<=", 3.0, None),
+                                  (2, 1, "name", "S", "!=", None, "b")], "unit int, path_no int, var string, sort string, rop string, num double, sv string")
+    done = Tr.apply_decision_table(rows, parts, lits, {"name": "name"}, {"size": "size"})
+    assert sorted(map(str, done.collect())) == sorted(map(str, spark.createDataFrame(
+        [(1, "a", 3, 2, 2, "y"), (1, "b", None, 1, None, "Unknown"), (2, "a", 3, 1, 1, "z"), (None, "a", 3, 1, None, "Unknown")], done.schema).collect()))
+    assert "Union" not in done._jdf.queryExecution().executedPlan().toString()
