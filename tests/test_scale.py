@@ -104,3 +104,12 @@ def test_decision_table_reads_its_rows_and_paths_once(spark):
     assert sorted(map(str, done.collect())) == sorted(map(str, spark.createDataFrame(
         [(1, "a", 3, 2, 2, "y"), (1, "b", None, 1, None, "Unknown"), (2, "a", 3, 1, 1, "z"), (None, "a", 3, 1, None, "Unknown")], done.schema).collect()))
     assert "Union" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_are_written_by_all_cores(spark, tmp_path):
+    from concordia.plans.registry import REGISTRY
+
+    spark.range(1, 61).selectExpr("id as p_partkey", "'n' as p_name", "concat('T', id % 3) as p_type", "'b' as p_brand", "cast(id % 9 as int) as p_size",
+                                  "1.5D as p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    done = REGISTRY["s1_scan_sources"][0](spark, str(tmp_path))
+    assert done.count() == 54 and len({f.rsplit("/", 1)[1].split("-")[1] for f in done.inputFiles()}) > 1
